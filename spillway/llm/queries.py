@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spillway.llm import neardup
+from spillway.llm import decontaminate, neardup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_simhash_neardup": neardup.op9_simhash_neardup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_benchmark_decontamination": decontaminate.OP8_SQL,
+}
