@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spillway.llm import decontaminate, neardup
+from spillway.llm import decontaminate, neardup, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_simhash_neardup": neardup.op9_simhash_neardup,
 }
