@@ -34,21 +34,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/spillway/{name}-{uuid.uuid4().hex}"
 
 
-def save(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def write(df: DataFrame, path: str, *partition_by: str) -> None:
+    """Write ``df`` as Parquet; the shuffle files behind it are freed at once."""
+    conf = df.sparkSession.conf
+    before = conf.get(_FREE_SHUFFLES, "false")
+    conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path, partitionBy=list(partition_by) or None)
+    finally:
+        conf.set(_FREE_SHUFFLES, before)
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no recomputation beyond the
-    written table, and the shuffle files behind it are freed at once.
+    written table.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    before = spark.conf.get(_FREE_SHUFFLES, "false")
-    spark.conf.set(_FREE_SHUFFLES, "true")
-    try:
-        df.write.parquet(path, partitionBy=list(partition_by) or None)
-    finally:
-        spark.conf.set(_FREE_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_path(df.sparkSession, name)
+    write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_saved(*frames: DataFrame) -> None:

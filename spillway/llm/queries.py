@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spillway.llm import decontaminate, neardup, packing
+from spillway.llm import decontaminate, fingerprint, neardup, packing, sharding, tokenstore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_external_shuffle": sharding.op5_external_shuffle,
+    "op6_content_addressed_store": tokenstore.op6_content_addressed_store,
+    "op7_simhash_fingerprints": fingerprint.op7_simhash_fingerprints,
     "op8_benchmark_decontamination": decontaminate.op8_benchmark_decontamination,
     "op9_simhash_neardup": neardup.op9_simhash_neardup,
 }
