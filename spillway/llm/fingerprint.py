@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,7 +18,7 @@ from spillway.llm.common import drop_saved, only, save, table, text_of
 
 BITS = 128
 WORD = re.compile(r"\w+")
-_WEIGHTS = np.array([0.0, *(1 + math.log(n) for n in range(1, 1024))], dtype=np.float32)
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
 class SimHasher:
@@ -29,25 +28,19 @@ class SimHasher:
     comes n times weighs 1 + ln n. A text without words votes as one empty term.
     """
 
-    def __init__(self, bits: int = BITS, kept: int = 200_000):
-        self.bits, self.kept, self.known = bits, kept, {}
-        self.signs = np.empty((0, bits // 8), np.uint8)
-
-    def _terms(self, text: str) -> Counter:
-        words = WORD.findall(text.lower())
-        return Counter(words) + Counter(zip(words, words[1:], strict=False)) if words else Counter([""])
-
     def __call__(self, text: str) -> bytes:
-        terms = self._terms(text)
-        counts = np.fromiter(terms.values(), np.int64, len(terms))
-        weights = np.where(counts < len(_WEIGHTS), _WEIGHTS[np.minimum(counts, len(_WEIGHTS) - 1)], 1 + np.log(counts)).astype(np.float32)
-        votes = np.zeros(self.bits)
-        keys = ["\x1f".join(t) if isinstance(t, tuple) else t for t in terms]
-        for at in range(0, len(keys), 8192):
-            raw = b"".join([xxhash.xxh3_128_digest(k.encode("utf-8", "surrogatepass")) for k in keys[at : at + 8192]])
-            bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 16), axis=1).astype(np.float32)
-            votes += weights[at : at + 8192] @ (bits * 2 - 1)
-        return np.packbits(votes > 0).tobytes()
+        words = WORD.findall(text.lower()) or [""]
+        lanes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
+        pairs = (lanes[:-1] * _MIX[0]) ^ (lanes[1:] * _MIX[1])
+        pairs = (pairs ^ (pairs >> np.uint64(29))) * _MIX[2]
+        terms = np.concatenate([lanes, pairs ^ (pairs >> np.uint64(32))])
+        _, first, counts = np.unique(terms[:, 0], return_index=True, return_counts=True)
+        weights, terms = (1 + np.log(counts)).astype(np.float32), np.ascontiguousarray(terms[first])
+        votes = np.zeros(BITS)
+        for at in range(0, len(terms), 4096):
+            bits = np.unpackbits(terms[at : at + 4096].view(np.uint8), axis=1).astype(np.float32)
+            votes += weights[at : at + 4096] @ bits
+        return np.packbits(2 * votes > weights.sum(dtype=np.float64)).tobytes()
 
 
 def likeness(a: bytes, b: bytes) -> float:

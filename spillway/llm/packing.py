@@ -169,19 +169,21 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary, True).encode, int(end_id).to_bytes(4, "little")
+        encode = encoder(vocabulary, True).encode
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            docs_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in in_slices(texts):
                 rows: list[tuple] = []
-                for doc, raw in zip(ids[a:b], encode(texts[a:b]), strict=True):
-                    raw += end
-                    n, start = len(raw) // 4, 0
+                ids, ends = encode(texts[a:b], end_id)
+                raw, first = memoryview(ids.tobytes()), 0
+                for doc, last in zip(docs_ids[a:b], ends.tolist(), strict=True):
+                    n, start = last - first, 0
                     length = n % capacity or capacity
                     for piece in range(-(-n // capacity)):
-                        part = raw[4 * start : 4 * (start + length)]
-                        rows.append((doc, piece, start, length, zlib.crc32(part), part if with_ids else None))
+                        part = raw[4 * (first + start) : 4 * (first + start + length)]
+                        rows.append((doc, piece, start, length, zlib.crc32(part), bytes(part) if with_ids else None))
                         start, length = start + length, capacity
+                    first = last
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)]
                 yield pa.RecordBatch.from_arrays(columns[: len(names)], names=names)
 

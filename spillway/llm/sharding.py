@@ -60,7 +60,7 @@ def shuffle_table(docs: DataFrame, seed: int, bucket_bytes: int = BUCKET_BYTES,
         if held:
             yield from out(pa.Table.from_batches(held))
 
-    mixed = scattered.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", "_number").mapInArrow(permute, schema)
+    mixed = scattered.repartitionById(buckets, F.col("_bucket")).sortWithinPartitions("_bucket", "_number").mapInArrow(permute, schema)
     return save(mixed, "shuffled")
 
 

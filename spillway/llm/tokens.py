@@ -1,7 +1,7 @@
 """Token ids of whole texts, with each distinct word encoded once per worker.
 
-Both tokenizers never let a token cross from a non-space to a following space,
-so a text may be cut there and its ids are those of its parts, one after another.
+Neither kind of vocabulary lets a token cross from a non-space to a following
+space, so a text may be cut there: its ids are those of its parts in a row.
 """
 
 from __future__ import annotations
@@ -10,10 +10,18 @@ import os
 import re
 from array import array
 
-#: A space that follows white space belongs to the part before it.
-CUT = re.compile(r"(?<=\S) ")
-SPACES = re.compile(r"\s ")
-WORDS_KEPT = 700_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Where a text may be cut: before a space or line break that follows no white space.
+CUT = re.compile(r"(?<=\S)(?=[ \n])")
+DOUBLE = re.compile(r"\s[ \n]")
+BAR = "\x00"
+#: ASCII punctuation but the apostrophe, which may begin a contraction.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+LATIN = "\u017f"
+WORDS_KEPT, PIECES_KEPT = 300_000, 800_000
 LONGEST_KEPT = 64
 
 
@@ -21,7 +29,9 @@ class WordEncoder:
     """Ids (unsigned 32-bit, little-endian bytes) by the ``tokenizers`` library from a vocabulary file.
 
     ``keeps_space``: a space is part of the word that follows it (byte-level
-    vocabularies); otherwise white space is only a separator.
+    vocabularies); otherwise white space only separates and case is dropped.
+    Words met are remembered up to a bound; common ones come early, and what
+    comes when all is full is encoded again.
     """
 
     def __init__(self, path: str, keeps_space: bool):
@@ -31,31 +41,67 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.keeps_space = keeps_space
-        self.known: dict[str, bytes] = {}
-
-    def _parts(self, text: str) -> tuple[str, list[str]]:
-        """The first part, and the further ones without the space before them."""
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _barred(self, text: str) -> str:
+        """The text with a bar wherever it is cut."""
+        if not self.keeps_space:
+            return text.replace("\n", BAR).replace(" ", BAR)
+        if DOUBLE.search(text):
+            return CUT.sub(BAR, text)
+        return text.replace("\n", BAR + "\n").replace(" ", BAR + " ")
+
+    def _split(self, part: str) -> list[str]:
+        """A part as pieces to be encoded one by one: letters end a token before marks, and a line break before ASCII is one alone."""
+        out = []
+        if "\u0130" in part:  # whose small letter is two characters
+            return [part]
         if self.keeps_space:
-            first, *rest = CUT.split(text) if SPACES.search(text) else text.split(" ")
-            return first, rest
-        return "", text.replace("\n", " ").split(" ")
+            if part[:1] == "\n" and " " < part[1:2] < "\x7f":
+                out.append("\n")
+                part = part[1:]
+        elif part and max(part) <= LATIN:
+            part = part.lower()
+        core = part.rstrip(MARKS)
+        if core != part and core and core[-1].isalpha() and core[-1] <= LATIN:
+            return [*out, core, part[len(core) :]]
+        return [*out, part]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._parts(x) for x in texts]
-        known, space = self.known, " " if self.keeps_space else ""
-        new = list({w for _, rest in cut for w in rest if w not in known})
-        known.update(zip(new, self._ids([space + w for w in new]), strict=True))
-        firsts = self._ids([x for x, _ in cut])
-        out = [first + b"".join([known[w] for w in rest]) for first, (_, rest) in zip(firsts, cut, strict=True)]
-        for w in new[max(0, WORDS_KEPT - len(known) + len(new)) :]:  # common words come early; what comes when all is full is encoded again
-            del known[w]
-        for w in new:
-            if len(w) > LONGEST_KEPT:
-                known.pop(w, None)
-        return out
+    def _known(self, parts: list[str]) -> list[bytes]:
+        found = list(map(self.words.get, parts))
+        split = {parts[k]: self._split(parts[k]) for k, x in enumerate(found) if x is None}
+        new = list({p for own in split.values() for p in own}.difference(self.pieces))
+        fresh = dict(zip(new, self._ids(new), strict=True))
+        ids_of = {w: b"".join([fresh[p] if p in fresh else self.pieces[p] for p in own]) for w, own in split.items()}
+        for known, made, most in ((self.words, ids_of, WORDS_KEPT), (self.pieces, fresh, PIECES_KEPT)):
+            if len(known) < most:
+                known.update((x, ids) for x, ids in made.items() if len(x) <= LONGEST_KEPT)
+        return [ids_of[w] if x is None else x for w, x in zip(parts, found, strict=True)]
+
+    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each followed by ``end_id`` if given, and where each text's ids end."""
+        whole = {k: x for k, x in enumerate(texts) if BAR in x}  # a text that has the bar is encoded at once
+        parts = pc.split_pattern(pa.array(["" if k in whole else self._barred(x) for k, x in enumerate(texts)], pa.large_string()), BAR)
+        coded = parts.flatten().dictionary_encode()
+        ids_of = self._known(coded.dictionary.to_pylist())
+        ids_of += self._ids(list(whole.values()))
+        ids = np.frombuffer(b"".join(ids_of), "<u4")
+        sizes = np.fromiter(map(len, ids_of), np.int64, len(ids_of)) // 4
+        starts = np.cumsum(sizes) - sizes
+        codes, ends = coded.indices.to_numpy().astype(np.int64), parts.offsets.to_numpy()[1:].astype(np.int64)
+        for at, k in enumerate(whole):  # the one empty part that stands for it
+            codes[ends[k] - 1] = len(ids_of) - len(whole) + at
+        own = sizes[codes]
+        after = np.cumsum(own)
+        out = ids[np.repeat(starts[codes] - after + own, own) + np.arange(after[-1] if len(after) else 0)]
+        ends = after[ends - 1] if len(texts) else ends
+        if end_id is None:
+            return out, ends
+        return np.insert(out, ends, end_id).astype("<u4"), ends + np.arange(1, len(ends) + 1)
 
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
@@ -68,7 +114,7 @@ def encoder(path: str, keeps_space: bool) -> WordEncoder:
     return _ENCODERS[path, keeps_space]
 
 
-def in_slices(texts: list[str], chars: int = 1 << 21):
+def in_slices(texts: list[str], chars: int = 1 << 23):
     """Ranges of rows of about ``chars`` characters each."""
     start = size = 0
     for k, x in enumerate(texts):

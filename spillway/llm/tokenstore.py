@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +36,17 @@ def rolling_hash(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: where the top bits of the rolling hash are zero, after LEAST to MOST ids."""
-    marks = (np.flatnonzero(rolling_hash(ids) >> np.uint32(32 - MASK_BITS) == 0) + 1).tolist()
-    ends, start, n, k = [], 0, len(ids), 0
+def marked(ids: np.ndarray) -> np.ndarray:
+    """Places after which a chunk may end: the top bits of the rolling hash are zero."""
+    return np.flatnonzero(rolling_hash(ids) >> np.uint32(32 - MASK_BITS) == 0) + 1
+
+
+def cut_points(marks: list[int], n: int) -> list[int]:
+    """Ends of the chunks of ``n`` ids: the first mark after LEAST to MOST ids, else after MOST.
+
+    LEAST is over WINDOW, so what stands before a document never moves its cuts.
+    """
+    ends, start, k = [], 0, 0
     while start < n:
         while k < len(marks) and marks[k] < start + LEAST:
             k += 1
@@ -75,34 +83,38 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) ->
     spark = docs.sparkSession
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary, False).encode, int(end_id).to_bytes(4, "little")
+        encode = encoder(vocabulary, False).encode
         for batch in batches:
             row_ids, doc_ids, texts = (c.to_pylist() for c in batch.columns)
             seen: set[bytes] = set()
             for a, b in in_slices(texts):
                 out: list[tuple] = []
-                for row, doc, raw in zip(row_ids[a:b], doc_ids[a:b], encode(texts[a:b]), strict=True):
-                    ids = np.frombuffer(raw + end, dtype="<u4")
-                    data, start, parts, sizes = ids.tobytes() if ids.max() > 0xFFFF else ids.astype("<u2").tobytes(), 0, [], []
-                    wide = len(data) // len(ids)
-                    for stop in cut_points(ids):
-                        chunk = bytes([wide]) + data[start * wide : stop * wide]
+                ids, ends = encode(texts[a:b], end_id)
+                marks, wide = marked(ids), 4 if ids.max() > 0xFFFF else 2
+                data, lead, first = ids.astype(f"<u{wide}").tobytes(), bytes([wide]), 0
+                for row, doc, last in zip(row_ids[a:b], doc_ids[a:b], ends.tolist(), strict=True):
+                    own = (marks[np.searchsorted(marks, first, "right") : np.searchsorted(marks, last, "right")] - first).tolist()
+                    start, parts, sizes = 0, [], []
+                    for stop in cut_points(own, last - first):
+                        chunk = lead + data[(first + start) * wide : (first + stop) * wide]
                         parts.append(name := digest(chunk))
                         sizes.append(stop - start)
                         start = stop
                         if name not in seen:
                             seen.add(name)
                             out.append(("object", name, chunk, None, None, None, None, None))
+                    first = last
                     out.append(("recipe", digest(row.to_bytes(8, "little")), None, row, doc, parts, sizes, merkle_root(parts)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = b""
+        last = pa.array([b""], pa.binary())
         for batch in batches:
-            hashes = batch.column(1).to_pylist()
-            fresh = [h != p for h, p in zip(hashes, [last, *hashes], strict=False)]
-            last = hashes[-1] if hashes else last
-            yield batch.filter(pa.array(fresh, pa.bool_()))
+            if batch.num_rows:
+                hashes = batch.column(1)
+                before = pa.concat_arrays([last, hashes.slice(0, len(hashes) - 1)])
+                last = hashes.slice(len(hashes) - 1)
+                yield batch.filter(pc.not_equal(hashes, before))
 
     names = ["kind", "hash", "data", "row", "doc_id", "parts", "sizes", "root"]
     kinds = [pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
