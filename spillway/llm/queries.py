@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spillway.llm import decontaminate, fingerprint, neardup, packing, sharding, tokenstore
+from spillway.llm import decontaminate, fingerprint, neardup, packing, quality, sharding, tokenstore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_quality_cnn": quality.op10_quality_cnn,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_external_shuffle": sharding.op5_external_shuffle,
     "op6_content_addressed_store": tokenstore.op6_content_addressed_store,
