@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from spillway.llm.common import only, save, table, text_of
 
-TOKENS = 3_000_000
+TOKENS = 1_500_000
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 END, START = np.uint64(1), np.uint64(2)  # what no word's hash is
@@ -36,6 +36,16 @@ def unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data) if data else b"", kind)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, all first bytes, then all second ones: the leading ones are mostly zero."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return pack(steps.view("u1").reshape(-1, 8).T)[0]
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(unpack(data, "u1").reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words in a row after lower-casing A to Z, and how many each text has."""
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -130,18 +140,17 @@ def slices(docs: DataFrame, tokens: int = TOKENS, modulus: int = 7, held: int =
     return save(rows.mapInArrow(cut, SLICE_SCHEMA), "slices")
 
 
-def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarray]], width: int, name: str, top: int = 0) -> DataFrame:
+def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarray]], width: int, name: str, parts: int, top: int = 0) -> DataFrame:
     """For each row (a slice) of ``df``: ``width`` values of each of its keys, summed over all slices.
 
-    ``give`` makes sorted distinct keys and their values from a row. Keys are
+    ``give`` makes sorted distinct keys and their values from a row; there are ``parts`` rows. Keys are
     dealt to buckets by their first bits, so that a slice's keys of a bucket
     stay together and in order, and no key has more than one row for a slice.
     Saved by kind: ``answer`` (slice, bucket, data: the sums in the order of the
     slice's keys) and ``table`` (bucket, data: distinct keys, more: their sums);
     ``counts``: how many keys have the first sum 1, 2, ... ``top``, more than 0, and the sum of all.
     """
-    parts = max(df.count(), 1)
-    bits = max(2, int(np.ceil(np.log2(2 * parts))))
+    bits = max(2, int(np.ceil(np.log2(2 * max(parts, 1)))))
     columns = df.columns
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,14 +162,14 @@ def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarra
                 edges = np.r_[edges, len(keys)]
                 for b in np.flatnonzero(np.diff(edges)).tolist():
                     own = slice(edges[b], edges[b + 1])
-                    data = [[b], [row["slice"]], *[[x] for x in pack(keys[own], values[:, own].astype("<f8"))]]
+                    data = [[b], [row["slice"]], [pack_keys(keys[own])], pack(values[:, own].astype("<f8"))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "slice", "data", "more"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
         def out(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-            keys = [unpack(r["data"], "<u8") for r in rows]
+            keys = [unpack_keys(r["data"]) for r in rows]
             values = np.concatenate([unpack(r["more"], "<f8").reshape(width, -1) for r in rows], axis=1)
             distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
             sums = np.array([np.bincount(place, weights=v, minlength=len(distinct)) for v in values])
@@ -168,7 +177,7 @@ def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarra
             for r, own in zip(rows, keys, strict=True):
                 made.append(("answer", bucket, r["slice"], *pack(sums[:, place[at : at + len(own)]]), None))
                 at += len(own)
-            made.append(("table", bucket, None, *pack(distinct, sums)))
+            made.append(("table", bucket, None, pack_keys(distinct), *pack(sums)))
             if top:
                 of = np.array([*[(sums[0] == r).sum() for r in range(1, top + 1)], (sums[0] > 0).sum(), sums[0].sum()], "<f8")
                 made.append(("counts", bucket, None, of.tobytes(), None))
@@ -272,7 +281,8 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, tokens: int = TOKENS
     partitioned by the first bits of their keys.
     """
     cut = slices(docs, tokens, modulus, held)
-    words = sum_by_key(cut, lambda r: Slice(r).word_counts(), 1, "words", DISCOUNTED + 1)
+    parts = cut.count()
+    words = sum_by_key(cut, lambda r: Slice(r).word_counts(), 1, "words", parts, DISCOUNTED + 1)
 
     def pair_counts(row: dict) -> tuple[np.ndarray, np.ndarray]:
         own = Slice(row)
@@ -280,13 +290,13 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, tokens: int = TOKENS
         counts = np.bincount(place, weights=own.trained, minlength=len(keys))
         return keys, np.array([counts, counts > 0])
 
-    pairs = sum_by_key(cut, pair_counts, 2, "pairs", DISCOUNTED + 1)
+    pairs = sum_by_key(cut, pair_counts, 2, "pairs", parts, DISCOUNTED + 1)
     n_words, n_pairs = count_of_counts(words), count_of_counts(pairs)
     texts = only(docs, "doc_id").where(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % modulus != held).count()
     if 0 < texts <= DISCOUNTED + 1:
         n_words[texts - 1] -= 1
     model = Katz(n_words, n_pairs, texts)
-    known = save(cut.join(answers(words, "c1"), "slice").join(answers(pairs, "c2"), "slice"), "known")
+    known = cut.join(answers(words, "c1"), "slice").join(answers(pairs, "c2"), "slice")
 
     def left(row: dict) -> tuple[np.ndarray, np.ndarray]:
         """What follows each history; a pair that came in several slices counts in each by its share."""
@@ -299,7 +309,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, tokens: int = TOKENS
         sums = [np.bincount(history, weights=share * x, minlength=len(own.words)) for x in (model.kept(c2), model.word(c1[own.codes[first]]))]
         return own.words, np.array(sums)
 
-    histories = sum_by_key(known, left, 2, "histories")
+    histories = sum_by_key(known, left, 2, "histories", parts)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

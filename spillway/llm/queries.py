@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spillway.llm import decontaminate, fingerprint, katz, neardup, packing, pii, quality, sharding, tokenstore
+from spillway.llm import decontaminate, fingerprint, katz, neardup, packing, pii, quality, sharding, substring, tokenstore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_cnn": quality.op10_quality_cnn,
     "op1_katz_backoff": katz.op1_katz_backoff,
+    "op2_collinear_chains": substring.op2_collinear_chains,
     "op3_pii_boosting": pii.op3_pii_boosting,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_external_shuffle": sharding.op5_external_shuffle,
