@@ -11,7 +11,20 @@ from pyspark.sql import functions as F
 _FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Rows that a Python worker gets at once: texts may be long.
+BATCH_ROWS = 1000
+
+
+def batches_of(spark: SparkSession, rows: int) -> str:
+    """Set how many rows go to a Python worker at once; returns what was set before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    return before
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    batches_of(spark, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

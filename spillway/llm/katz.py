@@ -20,9 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spillway.llm.common import only, save, table, text_of
+from spillway.llm.common import batches_of, only, save, table, text_of
 
-TOKENS = 1_500_000
+TOKENS = 1_000_000
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 END, START = np.uint64(1), np.uint64(2)  # what no word's hash is
@@ -282,6 +282,7 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, tokens: int = TOKENS
     """
     cut = slices(docs, tokens, modulus, held)
     parts = cut.count()
+    before = batches_of(docs.sparkSession, 1)  # a row is a whole slice from here on
     words = sum_by_key(cut, lambda r: Slice(r).word_counts(), 1, "words", parts, DISCOUNTED + 1)
 
     def pair_counts(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -327,7 +328,9 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, tokens: int = TOKENS
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     full = known.join(answers(histories, "left"), "slice")
-    return full.mapInArrow(final, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = save(full.mapInArrow(final, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
+    batches_of(docs.sparkSession, int(before))
+    return scored
 
 
 def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
     return fit(*labelled_pieces(docs, labels))
 
 
-def _scored(network: Network, texts: list[str | None], at_once: int = 1 << 20) -> np.ndarray:
+def _scored(network: Network, texts: list[str | None], at_once: int = 1 << 18) -> np.ndarray:
     raw = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
     out, start, size = [], 0, 0
     for k, x in enumerate(raw):

@@ -21,7 +21,7 @@ BAR = "\x00"
 #: ASCII punctuation but the apostrophe, which may begin a contraction.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 LATIN = "\u017f"
-WORDS_KEPT, PIECES_KEPT = 300_000, 800_000
+WORDS_KEPT, PIECES_KEPT = 150_000, 450_000
 LONGEST_KEPT = 64
 
 
@@ -114,7 +114,7 @@ def encoder(path: str, keeps_space: bool) -> WordEncoder:
     return _ENCODERS[path, keeps_space]
 
 
-def in_slices(texts: list[str], chars: int = 1 << 23):
+def in_slices(texts: list[str], chars: int = 1 << 22):
     """Ranges of rows of about ``chars`` characters each."""
     start = size = 0
     for k, x in enumerate(texts):
