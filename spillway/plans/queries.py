@@ -175,7 +175,7 @@ def by_hour(spark, d):
 @query("w1_trailing_features", """WITH p AS (SELECT a.event_id, b.event_type AS o, b.ts FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts >= a.ts - INTERVAL 60 SECOND * 60 AND (b.ts < a.ts OR b.ts = a.ts AND b.event_id < a.event_id)),
  c AS (SELECT event_id, o, count(*) AS k FROM p GROUP BY 1, 2), e AS (SELECT event_id, sum(k) AS n, count(*) AS u FROM c GROUP BY 1), h AS (SELECT c.event_id, -sum(k / n * log2(k / n)) AS h FROM c JOIN e USING (event_id) GROUP BY 1),
  g AS (SELECT event_id, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / nullif(count(*) - 1, 0) AS gap FROM p GROUP BY 1)
- SELECT v.event_id, coalesce(n, 0)::BIGINT AS flows, coalesce(u, 0) AS distinct_others, round(coalesce(h, 0), 9) AS entropy, coalesce(u / n, 0) AS fanout_ratio, coalesce(gap, 0) AS mean_gap FROM events v LEFT JOIN e USING (event_id) LEFT JOIN h USING (event_id) LEFT JOIN g USING (event_id)""")
+ SELECT v.event_id, coalesce(n, 0)::BIGINT AS flows, coalesce(u, 0) AS distinct_others, round(coalesce(h, 0), 9) + 0.0 AS entropy, coalesce(u / n, 0) AS fanout_ratio, coalesce(gap, 0) AS mean_gap FROM events v LEFT JOIN e USING (event_id) LEFT JOIN h USING (event_id) LEFT JOIN g USING (event_id)""")
 def trailing_features(spark, d):
     ev = read(spark, d, "events").select("event_id", "user_id", "event_type", "ts")
     out = windows.trailing(ev, "user_id", "event_type", "ts", "event_id", seconds=3600)
