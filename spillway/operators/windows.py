@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spillway.operators.ordered import running_sums
+
 
 def trailing(df: DataFrame, entity: str, other: str, ts: str, row: str, seconds: int = 60, most: int = 5000) -> DataFrame:
     """Counts, distinct partners, entropy and mean gap over an entity's earlier rows of the last ``seconds``.
@@ -37,6 +39,17 @@ def sessions(df: DataFrame, keys: list[str], ts: str, row: str, gap: str) -> Dat
 
 
 def at_most_benign(df: DataFrame, label: str, score: str, row: str, budget: int) -> DataFrame:
-    """Rows in order of score while fewer than ``budget`` benign ones came before; ties in order of ``row``."""
-    w = Window.orderBy(F.col(score).desc(), row).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("_before", F.coalesce(F.sum(1 - F.col(label)).over(w), F.lit(0))).withColumn("flagged", F.col("_before") < budget).drop("_before")
+    """Add ``flagged``: rows in order of score while fewer than ``budget`` benign ones came before; ties in order of ``row``.
+
+    Scores are counted first; only the rows of the one score at which the
+    budget runs out are put in order.
+    """
+    by = df.groupBy(F.col(score).alias("_s")).agg(F.sum(1 - F.col(label)).alias("_n"))
+    spent = running_sums(by, "_s", {"_upto": "_n"}, descending=True).where(F.col("_upto") >= budget)
+    at = spent.agg(F.max(F.struct("_s", (F.col("_upto") - F.col("_n")).alias("_before"))).alias("x")).first()["x"]
+    if at is None:
+        return df.withColumn("flagged", F.lit(True))
+    clear = df.where(F.col(score) != at["_s"]).withColumn("flagged", F.col(score) > at["_s"])
+    tied = df.where(F.col(score) == at["_s"]).withColumn("_b", 1 - F.col(label))
+    tied = running_sums(tied, row, {"_upto": "_b"}).withColumn("flagged", F.col("_upto") - F.col("_b") + at["_before"] < budget)
+    return clear.unionByName(tied.drop("_b", "_upto"))

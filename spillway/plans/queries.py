@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spillway.functions import scoring
-from spillway.operators import metrics, windows
+from spillway.operators import metrics, ordered, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -185,7 +185,7 @@ def trailing_features(spark, d):
 @query("w4_trailing_hundred", """WITH p AS (SELECT event_id, user_id, row_number() OVER (ORDER BY event_id) AS pos FROM events) SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY pos RANGE BETWEEN 100 PRECEDING AND 1 PRECEDING) AS n FROM p""")
 def trailing_hundred(spark, d):
     ev = read(spark, d, "events").select("event_id", "user_id")
-    pos = ev.withColumn("pos", F.row_number().over(Window.orderBy("event_id")).cast("long"))
+    pos = ordered.positions(ev, "event_id")
     return pos.select("event_id", F.count("*").over(Window.partitionBy("user_id").orderBy("pos").rangeBetween(-100, -1)).alias("n"))
 
 
