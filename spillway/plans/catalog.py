@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spillway.plans import statistics  # noqa: F401 - adds its queries
+from spillway.plans import detection, statistics  # noqa: F401 - add their queries
 from spillway.plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "w5_incident_sessions"
