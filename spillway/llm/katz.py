@@ -46,6 +46,45 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(unpack(data, "u1").reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
+def pack_numbers(rows: np.ndarray) -> bytes:
+    """Rows of numbers: whole ones in as few bytes as the largest needs, others as doubles or, if many repeat, places among the distinct ones.
+
+    A head of two numbers for each row (bytes of a number, how many distinct
+    ones are listed) comes first. Numbers of several bytes are stored as all
+    first bytes, then all second ones.
+    """
+    head, parts = [], []
+    for row in rows:
+        listed = np.empty(0, "<f8")
+        whole = len(row) == 0 or (row.min() >= 0 and row.max() < 2**32 and (row == np.floor(row)).all())
+        if not whole:
+            distinct, place = np.unique(row, return_inverse=True)
+            if 2 * len(distinct) < len(row):
+                listed, row, whole = distinct.astype("<f8"), place, True
+        top = row.max(initial=0) if whole else 0
+        size = 8 if not whole else 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+        head += [size, len(listed)]
+        numbers = row.astype(f"<u{size}").view("u1").reshape(-1, size).T if whole else row.astype("<f8")
+        parts += [listed.tobytes(), numbers.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(np.array(head, "<u4").tobytes() + b"".join(parts))
+
+
+def unpack_numbers(data: bytes, width: int) -> np.ndarray:
+    """The ``width`` rows of ``pack_numbers`` as doubles."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    head, at, rows = np.frombuffer(raw, "<u4", 2 * width).reshape(width, 2).tolist(), 8 * width, []
+    n = (len(raw) - at - 8 * sum(k for _, k in head)) // sum(size for size, _ in head)
+    for size, k in head:
+        listed, at = np.frombuffer(raw, "<f8", k, at), at + 8 * k
+        if size == 8:
+            row = np.frombuffer(raw, "<f8", n, at)
+        else:
+            row = np.ascontiguousarray(np.frombuffer(raw, "u1", size * n, at).reshape(size, n).T).view(f"<u{size}").ravel()
+        rows.append(listed[row] if k else row.astype("<f8"))
+        at += size * n
+    return np.array(rows)
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words in a row after lower-casing A to Z, and how many each text has."""
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -71,7 +110,11 @@ class Slice:
     def __init__(self, row: dict):
         self.ids, self.held, self.ends = unpack(row["ids"], "<i8"), unpack(row["held"], "u1").astype(bool), unpack(row["ends"], "<i8")
         self.null = unpack(row["no_id"], "u1").astype(bool)
-        self.words, self.codes = unpack(row["words"], "<u8"), unpack(row["codes"], "<u4")
+        stored = unpack(row["words"], "<u8")
+        by_hash = np.argsort(stored)
+        place = np.empty(len(stored), "<u4")
+        place[by_hash] = np.arange(len(stored))
+        self.words, self.codes = stored[by_hash], place[unpack_numbers(row["codes"], 1)[0].astype(np.int64)]
         sizes = np.diff(np.r_[0, self.ends])
         self.firsts = self.ends - sizes
         self.owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -119,7 +162,10 @@ def slices(docs: DataFrame, tokens: int = TOKENS, modulus: int = 7, held: int =
             place = np.searchsorted(words, hashes).astype("<u4")
             end = np.uint32(np.searchsorted(words, END))
             codes = np.insert(place[coded.indices.to_numpy()], np.cumsum(counts), end).astype("<u4")
-            row = [[(part << 24) + number], *[[x] for x in pack(ids, no_id, out_of, np.cumsum(counts + 1).astype("<i8"), words, codes)]]
+            common = np.argsort(-np.bincount(codes, minlength=len(words)), kind="stable")  # stored so that most codes are small
+            rank = np.empty(len(words), "<u4")
+            rank[common] = np.arange(len(words))
+            row = [[(part << 24) + number], *[[x] for x in pack(ids, no_id, out_of, np.cumsum(counts + 1).astype("<i8"), words[common])], [pack_numbers(rank[codes][None])]]
             number, waiting, size = number + 1, [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int64()) for k, c in enumerate(row)], names=["slice", "ids", "no_id", "held", "ends", "words", "codes"])
 
@@ -140,15 +186,16 @@ def slices(docs: DataFrame, tokens: int = TOKENS, modulus: int = 7, held: int =
     return save(rows.mapInArrow(cut, SLICE_SCHEMA), "slices")
 
 
-def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarray]], width: int, name: str, parts: int, top: int = 0) -> DataFrame:
+def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarray]], width: int, name: str, parts: int, top: int = 0, owner: bool = False, finish: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """For each row (a slice) of ``df``: ``width`` values of each of its keys, summed over all slices.
 
     ``give`` makes sorted distinct keys and their values from a row; there are ``parts`` rows. Keys are
     dealt to buckets by their first bits, so that a slice's keys of a bucket
     stay together and in order, and no key has more than one row for a slice.
     Saved by kind: ``answer`` (slice, bucket, data: the sums in the order of the
-    slice's keys) and ``table`` (bucket, data: distinct keys, more: their sums);
-    ``counts``: how many keys have the first sum 1, 2, ... ``top``, more than 0, and the sum of all.
+    slice's keys; with ``owner`` a further 1 where the slice is the first that has
+    the key, else 0) and ``table`` (bucket, data: distinct keys, more: their sums);
+    ``finish`` makes what is kept of the sums from them. ``counts``: how many keys have the first sum 1, 2, ... ``top``, more than 0, and the sum of all.
     """
     bits = max(2, int(np.ceil(np.log2(2 * max(parts, 1)))))
     columns = df.columns
@@ -162,7 +209,7 @@ def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarra
                 edges = np.r_[edges, len(keys)]
                 for b in np.flatnonzero(np.diff(edges)).tolist():
                     own = slice(edges[b], edges[b + 1])
-                    data = [[b], [row["slice"]], [pack_keys(keys[own])], pack(values[:, own].astype("<f8"))]
+                    data = [[b], [row["slice"]], [pack_keys(keys[own])], [pack_numbers(values[:, own])]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "slice", "data", "more"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,14 +217,17 @@ def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarra
 
         def out(rows: list[dict]) -> Iterator[pa.RecordBatch]:
             keys = [unpack_keys(r["data"]) for r in rows]
-            values = np.concatenate([unpack(r["more"], "<f8").reshape(width, -1) for r in rows], axis=1)
-            distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+            values = np.concatenate([unpack_numbers(r["more"], width) for r in rows], axis=1)
+            distinct, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            owned = np.zeros((int(owner), len(place)))
+            owned[:, first] = 1
             sums = np.array([np.bincount(place, weights=v, minlength=len(distinct)) for v in values])
+            sums = finish(sums) if finish else sums
             bucket, at, made = rows[0]["bucket"], 0, []
             for r, own in zip(rows, keys, strict=True):
-                made.append(("answer", bucket, r["slice"], *pack(sums[:, place[at : at + len(own)]]), None))
+                made.append(("answer", bucket, r["slice"], pack_numbers(np.concatenate([sums[:, place[at : at + len(own)]], owned[:, at : at + len(own)]])), None))
                 at += len(own)
-            made.append(("table", bucket, None, pack_keys(distinct), *pack(sums)))
+            made.append(("table", bucket, None, pack_keys(distinct), pack_numbers(sums)))
             if top:
                 of = np.array([*[(sums[0] == r).sum() for r in range(1, top + 1)], (sums[0] > 0).sum(), sums[0].sum()], "<f8")
                 made.append(("counts", bucket, None, of.tobytes(), None))
@@ -205,7 +255,7 @@ def answers(summed: DataFrame, name: str) -> DataFrame:
 
 
 def sums_of(parts: list[bytes], width: int) -> np.ndarray:
-    return np.concatenate([unpack(x, "<f8").reshape(width, -1) for x in parts], axis=1) if parts else np.empty((width, 0))
+    return np.concatenate([unpack_numbers(x, width) for x in parts], axis=1) if parts else np.empty((width, 0))
 
 
 def count_of_counts(summed: DataFrame) -> np.ndarray:
@@ -257,17 +307,23 @@ class Katz:
         """Discounted counts of pairs."""
         return self._ratio(self.pair_ratio, counts)
 
-    def pair(self, counts: np.ndarray, history: np.ndarray, word: np.ndarray, held: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """The probability of pairs: discounted if they came, else the history's weight times the word's.
+    def backoff(self, sums: np.ndarray) -> np.ndarray:
+        """What a history's counts are divided by, and its weight of words that never followed it.
 
-        history: how often it came; held: the sum of ``kept`` over all that followed
-        it; seen: the sum of their probabilities as words. A history whose
-        counts leave nothing gets one more observation, which goes to the unseen.
+        Rows of ``sums``: of all that followed it, the sum of ``kept`` and that of
+        their probabilities as words; how often it came, once for each slice;
+        in how many slices. A history whose counts leave nothing gets one more
+        observation, which goes to the unseen.
         """
+        held, seen, history = sums[0], sums[1], sums[2] / sums[3]
         left = history - held
         none = left <= 1e-9 * np.maximum(history, 1)
         below = np.where(history > 0, history + none, 1)
         weight = np.where(history > 0, np.where(none, 1, left) / below / np.maximum(1 - seen, 1e-300), 1)
+        return np.array([below, weight])
+
+    def pair(self, counts: np.ndarray, below: np.ndarray, weight: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The probability of pairs: discounted if they came, else the history's weight times the word's."""
         return np.where(counts > 0, self.kept(counts) / below, weight * word)
 
 
@@ -288,10 +344,9 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, tokens: int = TOKENS
     def pair_counts(row: dict) -> tuple[np.ndarray, np.ndarray]:
         own = Slice(row)
         keys, place, _ = own.pairs()
-        counts = np.bincount(place, weights=own.trained, minlength=len(keys))
-        return keys, np.array([counts, counts > 0])
+        return keys, np.bincount(place, weights=own.trained, minlength=len(keys))[None]
 
-    pairs = sum_by_key(cut, pair_counts, 2, "pairs", parts, DISCOUNTED + 1)
+    pairs = sum_by_key(cut, pair_counts, 1, "pairs", parts, DISCOUNTED + 1, owner=True)
     n_words, n_pairs = count_of_counts(words), count_of_counts(pairs)
     texts = only(docs, "doc_id").where(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % modulus != held).count()
     if 0 < texts <= DISCOUNTED + 1:
@@ -300,17 +355,16 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, tokens: int = TOKENS
     known = cut.join(answers(words, "c1"), "slice").join(answers(pairs, "c2"), "slice")
 
     def left(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        """What follows each history; a pair that came in several slices counts in each by its share."""
+        """What follows each history; a pair that came in several slices counts in the first of them."""
         own = Slice(row)
-        _, place, first = own.pairs()
-        c1, (c2, parts) = sums_of(row["c1"], 1)[0], sums_of(row["c2"], 2)
-        trained = np.bincount(place, weights=own.trained, minlength=len(first)) > 0
-        share = trained / np.maximum(parts, 1)
+        _, _, first = own.pairs()
+        c1, (c2, owned) = sums_of(row["c1"], 1)[0], sums_of(row["c2"], 2)
+        once = owned * (c2 > 0)
         history = own.histories()[first]
-        sums = [np.bincount(history, weights=share * x, minlength=len(own.words)) for x in (model.kept(c2), model.word(c1[own.codes[first]]))]
-        return own.words, np.array(sums)
+        sums = [np.bincount(history, weights=once * x, minlength=len(own.words)) for x in (model.kept(c2), model.word(c1[own.codes[first]]))]
+        return own.words, np.array([*sums, c1, np.ones(len(c1))])
 
-    histories = sum_by_key(known, left, 2, "histories", parts)
+    histories = sum_by_key(known, left, 4, "histories", parts, finish=model.backoff)
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,9 +372,9 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, tokens: int = TOKENS
                 row = {c: batch.column(i)[k].as_py() for i, c in enumerate(batch.schema.names)}
                 own = Slice(row)
                 _, place, _ = own.pairs()
-                c1, c2, (held_sum, seen) = sums_of(row["c1"], 1)[0], sums_of(row["c2"], 2)[0], sums_of(row["left"], 2)
+                c1, c2, (below, weight) = sums_of(row["c1"], 1)[0], sums_of(row["c2"], 2)[0], sums_of(row["left"], 2)
                 history = own.histories()
-                p = model.pair(c2[place], c1[history], model.word(c1[own.codes]), held_sum[history], seen[history])
+                p = model.pair(c2[place], below[history], weight[history], model.word(c1[own.codes]))
                 base = np.log10((c1[own.codes] + 1) / (model.total + 1 * (model.distinct + 1)))
                 by = lambda x: np.bincount(own.owner, weights=x, minlength=len(own.ids))  # noqa: B023, E731
                 n, n_known = by(None).astype(np.int64), by(c1[own.codes] > 0).astype(np.int64)
