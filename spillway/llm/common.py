@@ -69,6 +69,14 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def save_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``save`` in as many buckets of ``key`` as shuffles have partitions, so that joins on it move only their other side."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    own = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(own, format="parquet", path=path)
+    return spark.table(own)
+
+
 def drop_saved(*frames: DataFrame) -> None:
     """Delete the files of tables written by ``save`` that no later step reads."""
     for df in frames:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spillway.llm.common import batches_of, only, save, table, text_of
+from spillway.llm.common import batches_of, only, save, save_bucketed, table, text_of
 
 TOKENS = 1_000_000
 #: Counts up to this are discounted.
@@ -183,7 +183,7 @@ def slices(docs: DataFrame, tokens: int = TOKENS, modulus: int = 7, held: int =
 
     crc = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), text_of().alias("text"), (crc % modulus == held).cast("tinyint").alias("held"))
-    return save(rows.mapInArrow(cut, SLICE_SCHEMA), "slices")
+    return save_bucketed(rows.mapInArrow(cut, SLICE_SCHEMA), "slices", "slice")
 
 
 def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarray]], width: int, name: str, parts: int, top: int = 0, owner: bool = False, finish: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
