@@ -94,15 +94,17 @@ class Pivots:
         return np.bitwise_count(fps[:, None] ^ self.refs[None, -self.extra :]).astype(np.int8)
 
 
-def _settle(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray) -> None:
-    """Give both ends of each pair their smaller label until nothing changes."""
+def _settle(i: np.ndarray, j: np.ndarray, label: np.ndarray) -> None:
+    """Join the sets of both ends of each pair. ``label`` holds each row's root, the smallest row of its set, before and after."""
     while True:
-        m = np.minimum(label[i], label[j])
-        if (label[i] == m).all() and (label[j] == m).all():
+        a, b = label[i], label[j]
+        apart = a != b
+        if not apart.any():
             return
-        np.minimum.at(label, i, m)
-        np.minimum.at(label, j, m)
-        label[:] = label[label]
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))  # the larger root, and so all of its set, goes below the smaller
+        while (label[label] != label).any():
+            label[:] = label[label]
 
 
 def _cell_links(cell: np.ndarray, fps: np.ndarray, pivots: Pivots, long_run: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +122,7 @@ def _cell_links(cell: np.ndarray, fps: np.ndarray, pivots: Pivots, long_run: int
         left.append(i)
         right.append(i + step)
     if left:
-        _settle(n, np.concatenate(left), np.concatenate(right), label)
+        _settle(np.concatenate(left), np.concatenate(right), label)
     for start, length in zip(starts[lengths > long_run], lengths[lengths > long_run], strict=True):
         end = start + length
         for at in range(start, end, 128):
@@ -128,7 +130,7 @@ def _cell_links(cell: np.ndarray, fps: np.ndarray, pivots: Pivots, long_run: int
             a, b = np.broadcast_arrays(fps[rows, None], fps[None, at:end])
             da, db = np.broadcast_arrays(d[rows, None, :], d[None, at:end, :])
             i, j = np.nonzero(pivots.close(a, b, da, db))
-            _settle(n, i + at, j + at, label)
+            _settle(i + at, j + at, label)
     moved = np.flatnonzero(label != np.arange(n))
     return fps[moved], fps[label[moved]]
 

@@ -243,6 +243,59 @@ def test_near_duplicates(spark, docs, none):
                     assert root(a) == root(b)
 
 
+def roots_of(n, pairs):
+    root = list(range(n))
+
+    def of(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((of(a), of(b)))
+        root[b] = a
+    return [of(x) for x in range(n)]
+
+
+def test_links_within_long_cells():
+    rng = random.Random(12)
+    for n, long_run in ((40, 4), (300, 16), (900, 256), (900, 2000)):
+        fps = [rng.getrandbits(64)]
+        while len(fps) < n:  # chains of close ones, in any order
+            near = rng.choice(fps[-3:]) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64))
+            fps.append(near if rng.random() < 0.9 else rng.getrandbits(64))
+        fps = list(dict.fromkeys(fps))
+        n = len(fps)
+        rng.shuffle(fps)
+        marks = np.array(fps, np.uint64)
+        a, b = neardup._cell_links(np.zeros(n, np.int64), marks, neardup.Pivots(2, 3), long_run)
+        at = {f: k for k, f in enumerate(fps)}
+        got = roots_of(n, [(at[int(x)], at[int(y)]) for x, y in zip(a, b, strict=True)])
+        i, j = np.nonzero(np.bitwise_count(marks[:, None] ^ marks[None, :]) <= 2)
+        assert got == roots_of(n, zip(i.tolist(), j.tolist(), strict=True)) and len(a) < n
+
+
+def test_near_duplicates_of_a_large_group(spark):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    copies = [[f"w{k}" for k in range(400)]]
+    for k in range(2500):  # copies of copies
+        words = copies[rng.randrange(max(0, k - 1500), k + 1)].copy()
+        words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        copies.append(words)
+    rows = [(k, " ".join(words)) for k, words in enumerate(copies)]
+    fps = np.array([neardup.simhash(x) for _, x in rows], np.uint64)
+    distinct = np.unique(fps)
+    cells = neardup.Pivots(2, 3).keys(distinct)
+    assert max(np.unique(cells, return_counts=True)[1]) > 256
+    i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2)
+    want = dict(enumerate(roots_of(len(rows), zip(i.tolist(), j.tolist(), strict=True))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame).collect()} == want
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, frame, "").collect()} == set(want.values())
+
+
 def test_quality(spark, none):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
