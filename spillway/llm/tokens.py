@@ -31,19 +31,28 @@ class WordEncoder:
     ``keeps_space``: a space is part of the word that follows it (byte-level
     vocabularies); otherwise white space only separates and case is dropped.
     Words met are remembered up to a bound; common ones come early, and what
-    comes when all is full is encoded again.
+    comes when all is full is encoded again. ``added``: a text's vocabulary tokens
+    such as <|endoftext|> give their ids, as the library has it unless told
+    otherwise; without it they are plain text.
     """
 
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str, keeps_space: bool, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        names = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.lead = re.match("[^A-Za-z]*", os.path.commonprefix(names))[0]
+        self.added = re.compile("|".join(map(re.escape, names)), re.IGNORECASE) if names else None
         self.keeps_space = keeps_space
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def _whole(self, text: str) -> bool:
+        """Whether a text is encoded at once: it has the bar or, in any case of letters (words are lower-cased before they are encoded), an added token."""
+        return BAR in text or self.added is not None and self.lead in text and self.added.search(text) is not None
+
     def _barred(self, text: str) -> str:
         """The text with a bar wherever it is cut."""
         if not self.keeps_space:
@@ -84,7 +93,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, each followed by ``end_id`` if given, and where each text's ids end."""
-        whole = {k: x for k, x in enumerate(texts) if BAR in x}  # a text that has the bar is encoded at once
+        whole = {k: x for k, x in enumerate(texts) if self._whole(x)}
         parts = pc.split_pattern(pa.array(["" if k in whole else self._barred(x) for k, x in enumerate(texts)], pa.large_string()), BAR)
         coded = parts.flatten().dictionary_encode()
         ids_of = self._known(coded.dictionary.to_pylist())
@@ -110,7 +119,7 @@ _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
 def encoder(path: str, keeps_space: bool) -> WordEncoder:
     """One encoder for each Python worker, with the words it has met."""
     if (path, keeps_space) not in _ENCODERS:
-        _ENCODERS[path, keeps_space] = WordEncoder(path, keeps_space)
+        _ENCODERS[path, keeps_space] = WordEncoder(path, keeps_space, added=True)
     return _ENCODERS[path, keeps_space]
 
 

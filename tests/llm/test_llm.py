@@ -296,6 +296,25 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, frame, "").collect()} == set(want.values())
 
 
+def test_added_tokens_in_texts(spark):
+    rng = random.Random(14)
+    bits = [" ", "\n", "\t", "a", "Bc", "'s", "é", "\x00", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "endoftext", "!", "İ"]
+    texts = ["end <|endoftext|> next", *("".join(rng.choice(bits) for _ in range(rng.randint(0, 20))) for _ in range(3000))]
+    for name, spaces in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = public_tokenizers.path(name)
+        whole = Tokenizer.from_file(path)
+        ids, ends = tokens.encoder(path, spaces).encode(texts)
+        for text, a, b in zip(texts, [0, *ends], ends, strict=False):
+            assert ids[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    frame = spark.createDataFrame(list(enumerate(texts[:200])), "doc_id long, text string")
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = packing.pack_documents(frame, public_tokenizers.path("byte_bpe_50k.json")).toPandas()
+    assert got.length.sum() == sum(len(whole.encode(x, add_special_tokens=False).ids) + 1 for x in texts[:200])
+    store, whole = common.new_path(spark, "teststore"), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenstore.write_store(frame, store, public_tokenizers.path("word_bpe_49k.json"))
+    assert {r["doc_id"]: list(r["ids"])[:-1] for r in tokenstore.read_ids(spark, store).collect()} == {k: whole.encode(x, add_special_tokens=False).ids for k, x in enumerate(texts[:200])}
+
+
 def test_quality(spark, none):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
