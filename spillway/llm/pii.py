@@ -29,8 +29,8 @@ FURTHER = {
     "contact": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]+)++",
 }
 KINDS = [*BASE, *FURTHER]
-#: What a text must have for a pattern to be tried.
-NEEDS = {"email": "@", "phone": "+", "contact": "at"}
+#: What a text must have, as a pattern, for a kind's pattern to be tried; a digit for the others.
+NEEDS = {"email": "@", "phone": r"\+", "contact": r"[\[(](?:at|AT)[\])]"}
 #: Words before a span that speak for a kind or against all.
 CONTEXT = {
     "about_secret": r"(token|secret|passw|pwd|api.?key|key|auth|bearer)\W{0,6}$|(token|secret|password|key)\b",
@@ -50,7 +50,7 @@ def find_spans(df: DataFrame, kind: str, pattern: str, out: str) -> DataFrame:
     the matches and of what lies between them.
     """
     literal = F.lit(pattern)
-    may = F.contains("text", F.lit(NEEDS[kind])) if kind in NEEDS else F.rlike("text", F.lit("[0-9]"))
+    may = F.rlike("text", F.lit(NEEDS.get(kind, "[0-9]")))
     df = df.withColumn("_m", F.when(may, F.regexp_extract_all("text", literal, F.lit(0))))
     df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split("text", literal, -1)))
     starts = F.expr("""aggregate(sequence(0, size(_m) - 1), named_struct('at', 0, 'out', cast(array() as array<int>)), (s, i) -> named_struct(

@@ -296,6 +296,13 @@ def test_near_duplicates_of_a_large_group(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, frame, "").collect()} == set(want.values())
 
 
+def test_pii_upper_case(spark):
+    texts = ["WRITE TO JOE [AT] EXAMPLE [DOT] COM", "MAIL JOE (AT) EXAMPLE (DOT) COM NOW", "write to joe [at] example [dot] com", "NOTHING HERE [AT ALL]"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(frame).collect()}
+    assert [clean[k] for k in range(4)] == ["WRITE TO [CONTACT]", "MAIL [CONTACT] NOW", "write to [CONTACT]", texts[3]]
+
+
 def test_added_tokens_in_texts(spark):
     rng = random.Random(14)
     bits = [" ", "\n", "\t", "a", "Bc", "'s", "é", "\x00", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "endoftext", "!", "İ"]
