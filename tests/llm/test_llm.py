@@ -322,6 +322,26 @@ def test_added_tokens_in_texts(spark):
     assert {r["doc_id"]: list(r["ids"])[:-1] for r in tokenstore.read_ids(spark, store).collect()} == {k: whole.encode(x, add_special_tokens=False).ids for k, x in enumerate(texts[:200])}
 
 
+def test_substring_two_passages(spark):
+    rng = random.Random(15)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n)]
+    rows, want = [], {}
+    for k, between in enumerate((31, 40, 100, 150)):
+        first, second = words(60), words(55)
+        rows += [(2 * k, " ".join(words(20) + first + words(between) + second + words(30))), (2 * k + 1, " ".join(words(45) + first + words(between) + second))]
+        want[k] = ([(20, 80), (80 + between, 135 + between)], [(45, 105), (105 + between, 160 + between)])
+    found = [r for r in substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    for k, places in want.items():
+        own = [r for r in found if r["doc_id"] // 2 == k]
+        assert all(r["ref_doc_id"] == r["doc_id"] ^ 1 for r in own)
+        whole = [(own[0]["doc_id"] % 2, own[0]["start"], own[0]["end"])] if len(own) == 1 else []
+        if whole:  # as one passage, if that has the share of equal words
+            assert own[0]["equal"] >= 0.8 * (own[0]["end"] - own[0]["start"]) and k == 0
+        else:
+            assert sorted((r["start"], r["end"]) for r in own) == places[own[0]["doc_id"] % 2]
+            assert sorted((r["ref_start"], r["ref_end"]) for r in own) == places[own[0]["ref_doc_id"] % 2]
+
+
 def test_quality(spark, none):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
