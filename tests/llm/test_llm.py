@@ -342,6 +342,25 @@ def test_substring_two_passages(spark):
             assert sorted((r["ref_start"], r["ref_end"]) for r in own) == places[own[0]["ref_doc_id"] % 2]
 
 
+def test_substring_seeds_held_elsewhere(spark):
+    rng = random.Random(16)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n)]
+    texts, number = [], iter(range(100))
+    hashed = lambda x: spark.range(1).selectExpr(f"xxhash64('{x}') AS h").first()["h"]
+    for _ in range(6):
+        passage = words(60)
+        b, c = " ".join(words(20) + passage), " ".join(words(30) + passage + words(10))
+        least = min(hashed(b), hashed(c))
+        for part in (passage[:30], passage[30:]):  # earlier holders of all seeds but those across the seam
+            while hashed(a := " ".join(words(5) + part + words(5))) >= least:
+                pass
+            texts.append((next(number), a))
+        texts += [(next(number), b), (next(number), c)]
+    found = substring.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {frozenset((r["doc_id"], r["ref_doc_id"])) for r in found} == {frozenset((4 * k + 2, 4 * k + 3)) for k in range(6)}
+    assert all((r["start"], r["end"]) in ((20, 80), (30, 90)) for r in found)
+
+
 def test_quality(spark, none):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
