@@ -77,14 +77,23 @@ def save_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(own)
 
 
+def drop_bucketed(df: DataFrame) -> None:
+    """Delete a table written by ``save_bucketed``, and its entry in the catalog."""
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {folder.rpartition('/')[2].replace('-', '_')}")
+        drop_folder(df.sparkSession, folder)
+
+
+def drop_folder(spark: SparkSession, *folders: str) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_saved(*frames: DataFrame) -> None:
     """Delete the files of tables written by ``save`` that no later step reads."""
     for df in frames:
-        spark = df.sparkSession
-        folders = {f.rpartition("/")[0] for f in df.inputFiles() if "/spillway/" in f}
-        for folder in folders:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        drop_folder(df.sparkSession, *{f.rpartition("/")[0] for f in df.inputFiles() if "/spillway/" in f})
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:

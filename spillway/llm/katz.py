@@ -1,10 +1,11 @@
 """Katz backoff language model: Good-Turing discounts and exactly normalised backoff weights.
 
-Texts are cut into slices of a few million tokens. A slice knows its distinct
-words and word pairs; what it needs to know of the whole corpus about them (how
-often each comes, what a history leaves to unseen words) is summed by key over
-all slices and comes back in the slice's own order. Words stand for their 64-bit
-hash and pairs for the hash of both.
+Texts are cut into slices of about a million tokens. A slice knows its distinct
+n-grams; what it needs to know of the whole corpus about them (how often each
+comes, what a history leaves to unseen words) is summed by key over all slices
+and comes back in the slice's own order. An n-gram stands for a 64-bit hash.
+N-grams of three words and more are in the model from CUTOFF occurrences on, so
+one is asked for only if the shorter ones at both of its ends come that often.
 """
 
 from __future__ import annotations
@@ -20,11 +21,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spillway.llm.common import batches_of, only, save, save_bucketed, table, text_of
+from spillway.llm.common import batches_of, drop_bucketed, drop_folder, new_path, only, save, save_bucketed, table, text_of, write
 
 TOKENS = 1_000_000
+ORDER = 3
 #: Counts up to this are discounted.
 DISCOUNTED = 5
+#: Least count in the model of n-grams of three words and more.
+CUTOFF = 2
+#: Keys of one bucket, as a multiple of a slice's tokens: what a task sums at once.
+BUCKET = 2
 END, START = np.uint64(1), np.uint64(2)  # what no word's hash is
 
 
@@ -94,48 +100,108 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(real), np.diff(at[parts.offsets.to_numpy()])
 
 
-def pair_keys(tokens: np.ndarray, firsts: np.ndarray) -> np.ndarray:
-    """A key for each token and the one before it; START comes before each text's first."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[firsts] = START
-    mixed = (before * np.uint64(0x9E3779B97F4A7C15)) ^ ((tokens ^ (tokens >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93))
+def extend(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Keys of the n-grams that have ``words`` after the n-grams of ``keys``."""
+    mixed = (keys * np.uint64(0x9E3779B97F4A7C15)) ^ ((words ^ (words >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93))
     mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
     return mixed ^ (mixed >> np.uint64(29))
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, each key's place among them, and the keys' sorted order with where it reaches each distinct one."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    starts, place = np.flatnonzero(new), np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ranked[starts], place, order, starts
+
+
+def least_count(n: int) -> int:
+    return CUTOFF if n > 2 else 1
+
+
 class Slice:
-    """A slice's texts: tokens as places in ``words`` (sorted hashes, START and END among them)."""
+    """A slice's texts, n-gram by n-gram.
+
+    Arrays over tokens have a last element more, for START: what stands before
+    each text's first token. ``c<n>`` of the row are counts of n-grams and whether
+    the slice is the first to have each, ``h<n>`` the divisors and weights of
+    n-grams as histories, as ``sum_by_key`` answered them.
+    """
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, model: Katz | None = None):
+        self.row, self.model, self.kept = row, model, {}
         self.ids, self.held, self.ends = unpack(row["ids"], "<i8"), unpack(row["held"], "u1").astype(bool), unpack(row["ends"], "<i8")
         self.null = unpack(row["no_id"], "u1").astype(bool)
-        stored = unpack(row["words"], "<u8")
-        by_hash = np.argsort(stored)
-        place = np.empty(len(stored), "<u4")
-        place[by_hash] = np.arange(len(stored))
-        self.words, self.codes = stored[by_hash], place[unpack_numbers(row["codes"], 1)[0].astype(np.int64)]
+        words = unpack(row["words"], "<u8")
+        self.tokens = np.r_[words[unpack_numbers(row["codes"], 1)[0].astype(np.int64)], START]
         sizes = np.diff(np.r_[0, self.ends])
-        self.firsts = self.ends - sizes
         self.owner = np.repeat(np.arange(len(sizes)), sizes)
-        self.trained = ~self.held[self.owner]
-
-    def word_counts(self) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.bincount(self.codes, weights=self.trained, minlength=len(self.words))
-        counts[np.searchsorted(self.words, START)] += (~self.held).sum()
-        return self.words, counts[None]
-
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct pair keys, the place of each token's pair among them, and the first token of each."""
-        keys, first, place = np.unique(pair_keys(self.words[self.codes], self.firsts), return_index=True, return_inverse=True)
-        return keys, place, first
-
-    def histories(self) -> np.ndarray:
-        """The place in ``words`` of the token before each."""
-        before = np.empty_like(self.codes)
-        before[1:] = self.codes[:-1]
-        before[self.firsts] = np.searchsorted(self.words, START)
-        return before
+        self.trained = np.r_[~self.held[self.owner], False]
+        self.before = np.arange(-1, len(self.tokens) - 1)
+        self.before[self.ends - sizes] = self.before[-1] = len(self.tokens) - 1
+
+    def keys(self, n: int) -> np.ndarray:
+        """Of the n-gram that ends at each token."""
+        keys = self.tokens
+        for _ in range(n - 1):
+            keys = extend(keys[self.before], self.tokens)
+        return keys
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct n-grams that are asked for, each token's place among them (-1: not asked), and the first token of each."""
+        if ("grams", n) not in self.kept:
+            at = np.arange(len(self.tokens))
+            if n > 2:
+                often = self.counts(n - 1) >= CUTOFF
+                often[-1] = True
+                at = np.flatnonzero(often & often[self.before])
+            keys, own, order, starts = distinct(self.keys(n)[at])
+            place = np.full(len(self.tokens), -1)
+            place[at] = own
+            self.kept["grams", n] = keys, place, at[np.minimum.reduceat(order, starts)]
+        return self.kept["grams", n]
+
+    def counted(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """What ``sum_by_key`` gets: n-grams and how often each comes in training texts."""
+        keys, place, _ = self.grams(n)
+        return keys, np.bincount(place[self.trained & (place >= 0)], minlength=len(keys))[None]
+
+    def counts(self, n: int) -> np.ndarray:
+        """Of each token's n-gram in all training texts; 0 if not asked for, and for START the number of texts."""
+        if ("counts", n) not in self.kept:
+            counts = np.r_[sums_of(self.row[f"c{n}"], 2)[0], 0][self.grams(n)[1]]
+            counts[-1] = self.model.texts
+            self.kept["counts", n] = counts
+        return self.kept["counts", n]
+
+    def histories(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams that longer ones in the model may follow, and each token's place among them (-1: none may)."""
+        keys, place, first = self.grams(n)
+        may = self.counts(n)[first] >= least_count(n + 1)
+        return keys[may], np.where(np.r_[may, False][place], (np.cumsum(may) - 1)[place], -1)
+
+    def left(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """What ``sum_by_key`` gets of each n-gram as a history: of the longer ones that this slice is the first to have, the sums of their discounted counts and of their probabilities without the first word; its count."""
+        keys, place = self.histories(n)
+        _, _, first = self.grams(n + 1)
+        counts, owned = sums_of(self.row[f"c{n + 1}"], 2)
+        at = np.flatnonzero((owned > 0) & (counts >= least_count(n + 1)))
+        history, first = place[self.before[first[at]]], first[at]
+        sums = [np.bincount(history, weights=x, minlength=len(keys)) for x in (self.model.discounted(n + 1, counts[at]), self.probability(n)[first])]
+        many = np.zeros(len(keys))
+        many[place[place >= 0]] = self.counts(n)[place >= 0]
+        return keys, np.array([*sums, many])
+
+    def probability(self, n: int) -> np.ndarray:
+        """Of each token after the n - 1 before it: discounted if the n-gram is in the model, else the history's weight times that after one word less."""
+        counts = self.counts(n)
+        if n == 1:
+            return self.model.word(counts)
+        below, weight = (np.r_[x, 1][self.histories(n - 1)[1][self.before]] for x in sums_of(self.row[f"h{n - 1}"], 2))
+        return np.where(counts >= least_count(n), self.model.discounted(n, counts) / below, weight * self.probability(n - 1))
 
 
 SLICE_SCHEMA = "slice long, ids binary, no_id binary, held binary, ends binary, words binary, codes binary"
@@ -186,18 +252,21 @@ def slices(docs: DataFrame, tokens: int = TOKENS, modulus: int = 7, held: int =
     return save_bucketed(rows.mapInArrow(cut, SLICE_SCHEMA), "slices", "slice")
 
 
-def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarray]], width: int, name: str, parts: int, top: int = 0, owner: bool = False, finish: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarray]], width: int, name: str, buckets: int, finish: Callable[[np.ndarray], np.ndarray] | None = None, keep: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """For each row (a slice) of ``df``: ``width`` values of each of its keys, summed over all slices.
 
-    ``give`` makes sorted distinct keys and their values from a row; there are ``parts`` rows. Keys are
+    ``give`` makes sorted distinct keys and their values from a row. Keys are
     dealt to buckets by their first bits, so that a slice's keys of a bucket
     stay together and in order, and no key has more than one row for a slice.
-    Saved by kind: ``answer`` (slice, bucket, data: the sums in the order of the
-    slice's keys; with ``owner`` a further 1 where the slice is the first that has
-    the key, else 0) and ``table`` (bucket, data: distinct keys, more: their sums);
-    ``finish`` makes what is kept of the sums from them. ``counts``: how many keys have the first sum 1, 2, ... ``top``, more than 0, and the sum of all.
+    Written under three kinds. Answers (slice, parts: the sums in the order of the
+    slice's keys and a further number, 1 where the slice is the first to have the
+    key, else 0). Table (bucket, keys, sums: the model, of the keys that ``keep``
+    takes). Totals (counts: how many keys have the first sum 1, 2, ..., how
+    many more than 0, and the sum of all).
+    With ``finish`` the last value is not summed: the largest is taken, and what
+    ``finish`` makes of all takes the place of the sums and of the further number.
     """
-    bits = max(2, int(np.ceil(np.log2(2 * max(parts, 1)))))
+    bits = max(1, int(np.ceil(np.log2(max(buckets, 1)))))
     columns = df.columns
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,61 +276,68 @@ def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarra
                 keys, values = give(row)
                 edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64))
                 edges = np.r_[edges, len(keys)]
-                for b in np.flatnonzero(np.diff(edges)).tolist():
-                    own = slice(edges[b], edges[b + 1])
-                    data = [[b], [row["slice"]], [pack_keys(keys[own])], [pack_numbers(values[:, own])]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "slice", "data", "more"])
+                used = np.flatnonzero(np.diff(edges)).tolist()
+                own = [slice(edges[b], edges[b + 1]) for b in used]
+                data = [used, [row["slice"]] * len(used), [pack_keys(keys[x]) for x in own], [pack_numbers(values[:, x]) for x in own]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], strict=True)], names=["bucket", "slice", "data", "more"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-
-        def out(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-            keys = [unpack_keys(r["data"]) for r in rows]
-            values = np.concatenate([unpack_numbers(r["more"], width) for r in rows], axis=1)
-            distinct, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-            owned = np.zeros((int(owner), len(place)))
-            owned[:, first] = 1
-            sums = np.array([np.bincount(place, weights=v, minlength=len(distinct)) for v in values])
-            sums = finish(sums) if finish else sums
-            bucket, at, made = rows[0]["bucket"], 0, []
-            for r, own in zip(rows, keys, strict=True):
-                made.append(("answer", bucket, r["slice"], pack_numbers(np.concatenate([sums[:, place[at : at + len(own)]], owned[:, at : at + len(own)]])), None))
-                at += len(own)
-            made.append(("table", bucket, None, pack_keys(distinct), pack_numbers(sums)))
-            if top:
-                of = np.array([*[(sums[0] == r).sum() for r in range(1, top + 1)], (sums[0] > 0).sum(), sums[0].sum()], "<f8")
-                made.append(("counts", bucket, None, of.tobytes(), None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=["kind", "bucket", "slice", "data", "more"])
-
-        held: list[dict] = []
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            own = [unpack_keys(r[2]) for r in rows]
+            values = np.concatenate([unpack_numbers(r[3], width) for r in rows], axis=1)
+            keys, place, order, starts = distinct(np.concatenate(own))
+            values = values[:, order]
+            sums = np.add.reduceat(values, starts, axis=1)
+            if finish:
+                sums[-1] = np.maximum.reduceat(values[-1], starts)
+                sums = finish(sums)
+            owned = np.zeros((0 if finish else 1, len(place)))
+            owned[:, np.minimum.reduceat(order, starts)] = 1
+            bucket, at, made = rows[0][0], 0, []
+            for r, n in zip(rows, map(len, own), strict=True):
+                made.append(("answer", bucket, r[1], pack_numbers(np.concatenate([sums[:, place[at : at + n]], owned[:, at : at + n]])), None, None))
+                at += n
+            stored = keep(sums) if keep else np.ones(len(keys), bool)
+            made.append(("table", bucket, None, pack_keys(keys[stored]), pack_numbers(sums[:, stored]), None))
+            if not finish:
+                some = np.bincount(np.minimum(sums[0], DISCOUNTED + 2).astype(np.int64), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
+                made.append(("total", bucket, None, None, None, [*some.tolist(), (sums[0] > 0).sum(), sums[0].sum()]))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), kinds, strict=True)], names=["kind", "bucket", "slice", "data", "more", "counts"])
+
+        held: list[tuple] = []
         for batch in batches:
-            for r in batch.to_pylist():
-                if held and held[0]["bucket"] != r["bucket"]:
-                    yield from out(held)
+            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != r[0]:
+                    yield out(held)
                     held = []
                 held.append(r)
         if held:
-            yield from out(held)
+            yield out(held)
 
+    schema = "kind string, bucket int, slice long, data binary, more binary, counts array<double>"
     dealt = df.mapInArrow(deal, "bucket int, slice long, data binary, more binary")
     dealt = dealt.repartitionById(1 << bits, F.col("bucket")).sortWithinPartitions("bucket", "slice")
-    return save(dealt.mapInArrow(merge, "kind string, bucket int, slice long, data binary, more binary"), name)
-
+    path = new_path(df.sparkSession, name)
+    write(dealt.mapInArrow(merge, schema), path, "kind")
+    made = df.sparkSession.read.schema(schema).parquet(path)
+    answered = made.where("kind = 'answer'").groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("bucket", "data"))).alias("parts"))
+    answered = answered.select("slice", F.transform("parts", lambda x: x["data"]).alias("parts"))
+    return answered, made.where("kind = 'table'").select("bucket", F.col("data").alias("keys"), F.col("more").alias("sums")), made.where("kind = 'total'").select("counts")
 
-def answers(summed: DataFrame, name: str) -> DataFrame:
-    """(slice, ``name``): the packed sums of each slice's buckets in order."""
-    own = summed.where("kind = 'answer'").groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("bucket", "data"))).alias("parts"))
-    return own.select("slice", F.transform("parts", lambda x: x["data"]).alias(name))
 
-
-def sums_of(parts: list[bytes], width: int) -> np.ndarray:
+def sums_of(parts: list[bytes] | None, width: int) -> np.ndarray:
     return np.concatenate([unpack_numbers(x, width) for x in parts], axis=1) if parts else np.empty((width, 0))
 
 
-def count_of_counts(summed: DataFrame) -> np.ndarray:
-    """The totals of ``sum_by_key``'s counts; a row for each bucket is summed on the driver's side of an aggregate."""
-    rows = summed.where("kind = 'counts'").select("data").toLocalIterator()
-    return sum((np.frombuffer(r["data"], "<f8") for r in rows), np.zeros(DISCOUNTED + 3))
+def count_of_counts(totals: DataFrame) -> np.ndarray:
+    """How many n-grams have count 1, 2, ... DISCOUNTED + 1, how many have any, and all their occurrences."""
+    summed = totals.select(F.posexplode("counts").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect()  # one row for each number
+    out = np.zeros(DISCOUNTED + 3)
+    for r in summed:
+        out[r["k"]] = r["n"]
+    return out
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -284,106 +360,98 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 class Katz:
-    """What the whole corpus says: discounts of words and pairs, and what is left for unknown words."""
-
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, texts: int):
-        self.total, self.distinct = words[-1] - texts, words[-2] - (texts > 0)  # START is counted but no token
-        self.word_ratio, self.pair_ratio = discounts(words), discounts(pairs)
-        kept = self.total - sum(words[r - 1] * r * (1 - self.word_ratio[r]) for r in range(1, DISCOUNTED + 1))
-        if 0 < texts <= DISCOUNTED:  # START is no token
-            kept += texts * (1 - self.word_ratio[int(texts)])
-        self.unknown = 1 - kept / self.total if self.total else 1.0
-        if self.total and not 0 < self.unknown < 1:  # no count is small enough to be discounted
-            self.word_ratio, self.unknown = self.word_ratio * self.total / (self.total + 1), 1 / (self.total + 1)
-
-    def _ratio(self, ratios: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return ratios[np.minimum(counts, DISCOUNTED + 1).astype(int)] * counts
+    """What the whole corpus says: how many training texts and tokens, and the discounts of n-grams of each length."""
+
+    def __init__(self, texts: int):
+        self.texts, self.total, self.distinct, self.unknown = texts, 0.0, 0.0, 1.0
+        self.ratios: dict[int, np.ndarray] = {}
+
+    def learn(self, n: int, counts: np.ndarray) -> None:
+        """``counts``: of n-grams, as ``count_of_counts`` has them."""
+        if n == 1:
+            self.distinct, self.total = counts[-2:]
+        else:  # each token ends one n-gram, so what is missing was not asked for and came once
+            counts = np.r_[self.total - (np.arange(2, DISCOUNTED + 2) * counts[1 : DISCOUNTED + 1]).sum() - self._over(counts), counts[1:]]
+        self.ratios[n] = discounts(counts)
+        self.ratios[n][: least_count(n)] = 0
+        if n == 1 and self.total:
+            freed = sum(counts[r - 1] * r * (1 - self.ratios[1][r]) for r in range(1, DISCOUNTED + 1))
+            self.unknown = freed / self.total
+            if not 0 < self.unknown < 1:  # no count is small enough to be discounted
+                self.ratios[1], self.unknown = self.ratios[1] * self.total / (self.total + 1), 1 / (self.total + 1)
+
+    @staticmethod
+    def _over(counts: np.ndarray) -> float:
+        """Occurrences of n-grams that come more than DISCOUNTED + 1 times."""
+        return counts[-1] - (np.arange(1, DISCOUNTED + 2) * counts[: DISCOUNTED + 1]).sum()
+
+    def discounted(self, n: int, counts: np.ndarray) -> np.ndarray:
+        return self.ratios[n][np.minimum(counts, DISCOUNTED + 1).astype(int)] * counts
 
     def word(self, counts: np.ndarray) -> np.ndarray:
         """The probability of words with these counts."""
-        return np.where(counts > 0, self._ratio(self.word_ratio, counts) / max(self.total, 1), self.unknown)
-
-    def kept(self, counts: np.ndarray) -> np.ndarray:
-        """Discounted counts of pairs."""
-        return self._ratio(self.pair_ratio, counts)
+        return np.where(counts > 0, self.discounted(1, counts) / max(self.total, 1), self.unknown)
 
-    def backoff(self, sums: np.ndarray) -> np.ndarray:
-        """What a history's counts are divided by, and its weight of words that never followed it.
 
-        Rows of ``sums``: of all that followed it, the sum of ``kept`` and that of
-        their probabilities as words; how often it came, once for each slice;
-        in how many slices. A history whose counts leave nothing gets one more
-        observation, which goes to the unseen.
-        """
-        held, seen, history = sums[0], sums[1], sums[2] / sums[3]
-        left = history - held
-        none = left <= 1e-9 * np.maximum(history, 1)
-        below = np.where(history > 0, history + none, 1)
-        weight = np.where(history > 0, np.where(none, 1, left) / below / np.maximum(1 - seen, 1e-300), 1)
-        return np.array([below, weight])
+def backoff(sums: np.ndarray) -> np.ndarray:
+    """What a history's counts are divided by, and its weight of words that never followed it.
 
-    def pair(self, counts: np.ndarray, below: np.ndarray, weight: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The probability of pairs: discounted if they came, else the history's weight times the word's."""
-        return np.where(counts > 0, self.kept(counts) / below, weight * word)
+    Rows of ``sums``: of all that follows it in the model, the sum of discounted
+    counts and that of the probabilities after one word less; how often it came. A history
+    whose counts leave nothing gets one more observation, which goes to the unseen.
+    """
+    held, seen, history = sums
+    left = history - held
+    none = left <= 1e-9 * np.maximum(history, 1)
+    below = np.where(history > 0, history + none, 1)
+    weight = np.where(history > 0, np.where(none, 1, left) / below / np.maximum(1 - seen, 1e-300), 1)
+    return np.array([below, weight])
 
 
-def score(docs: DataFrame, modulus: int = 7, held: int = 2, tokens: int = TOKENS) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, held: int = 2, tokens: int = TOKENS, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of ``docs`` (doc_id, text).
 
-    The model learns from the rows that are not held out and scores all. Null
-    texts count as empty: one end token. Null and repeated ids are rows of their
-    own; extra columns are not read. Without training rows every token is unknown
-    and has probability 1. The tables of words, pairs and histories are saved,
-    partitioned by the first bits of their keys.
+    The model learns n-grams of up to ``order`` words from the rows that are not
+    held out and scores all. Null texts count as empty: one end token. Null and
+    repeated ids, repeated rows and long texts are rows like any other; extra columns
+    are not read; an empty table gives no rows. Without training rows every token is
+    unknown and has probability 1. The model stays in the shared folder: of each
+    length a table of n-grams and counts, and of all but the longest one of
+    histories with divisors and weights, partitioned by the first bits of the keys.
     """
+    spark = docs.sparkSession
     cut = slices(docs, tokens, modulus, held)
-    parts = cut.count()
-    before = batches_of(docs.sparkSession, 1)  # a row is a whole slice from here on
-    words = sum_by_key(cut, lambda r: Slice(r).word_counts(), 1, "words", parts, DISCOUNTED + 1)
-
-    def pair_counts(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        own = Slice(row)
-        keys, place, _ = own.pairs()
-        return keys, np.bincount(place, weights=own.trained, minlength=len(keys))[None]
-
-    pairs = sum_by_key(cut, pair_counts, 1, "pairs", parts, DISCOUNTED + 1, owner=True)
-    n_words, n_pairs = count_of_counts(words), count_of_counts(pairs)
-    texts = only(docs, "doc_id").where(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % modulus != held).count()
-    if 0 < texts <= DISCOUNTED + 1:
-        n_words[texts - 1] -= 1
-    model = Katz(n_words, n_pairs, texts)
-    known = cut.join(answers(words, "c1"), "slice").join(answers(pairs, "c2"), "slice")
-
-    def left(row: dict) -> tuple[np.ndarray, np.ndarray]:
-        """What follows each history; a pair that came in several slices counts in the first of them."""
-        own = Slice(row)
-        _, _, first = own.pairs()
-        c1, (c2, owned) = sums_of(row["c1"], 1)[0], sums_of(row["c2"], 2)
-        once = owned * (c2 > 0)
-        history = own.histories()[first]
-        sums = [np.bincount(history, weights=once * x, minlength=len(own.words)) for x in (model.kept(c2), model.word(c1[own.codes[first]]))]
-        return own.words, np.array([*sums, c1, np.ones(len(c1))])
-
-    histories = sum_by_key(known, left, 4, "histories", parts, finish=model.backoff)
-
-    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = {c: batch.column(i)[k].as_py() for i, c in enumerate(batch.schema.names)}
-                own = Slice(row)
-                _, place, _ = own.pairs()
-                c1, c2, (below, weight) = sums_of(row["c1"], 1)[0], sums_of(row["c2"], 2)[0], sums_of(row["left"], 2)
-                history = own.histories()
-                p = model.pair(c2[place], below[history], weight[history], model.word(c1[own.codes]))
-                base = np.log10((c1[own.codes] + 1) / (model.total + 1 * (model.distinct + 1)))
-                by = lambda x: np.bincount(own.owner, weights=x, minlength=len(own.ids))  # noqa: B023, E731
-                n, n_known = by(None).astype(np.int64), by(c1[own.codes] > 0).astype(np.int64)
-                columns = [pa.array(own.ids, mask=own.null), pa.array(own.held), pa.array(n), pa.array(n_known), pa.array(np.full(len(n), int(model.total))), pa.array(by(base)), pa.array(by(np.log10(p)))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    full = known.join(answers(histories, "left"), "slice")
-    scored = save(full.mapInArrow(final, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
-    batches_of(docs.sparkSession, int(before))
+    buckets = -(-cut.count() // BUCKET)
+    crc = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
+    model = Katz(only(docs, "doc_id").where(crc % modulus != held).count())
+    before = batches_of(spark, 1)  # a row is a whole slice from here on
+    try:
+        known = cut
+        for n in range(1, order + 1):
+            often = None if n <= 2 else lambda sums: sums[0] >= CUTOFF
+            found, _, totals = sum_by_key(known, lambda row, n=n: Slice(row, model).counted(n), 1, f"grams{n}", buckets, keep=often)
+            model.learn(n, count_of_counts(totals))
+            known = known.join(found.withColumnRenamed("parts", f"c{n}"), "slice", "left")
+            if n > 1:
+                found, _, _ = sum_by_key(known, lambda row, n=n: Slice(row, model).left(n - 1), 3, f"histories{n - 1}", buckets, finish=backoff)
+                known = known.join(found.withColumnRenamed("parts", f"h{n - 1}"), "slice", "left")
+
+        def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    own = Slice({c: batch.column(i)[k].as_py() for i, c in enumerate(batch.schema.names)}, model)
+                    counts, p = own.counts(1)[:-1], own.probability(order)[:-1]
+                    base = np.log10((counts + 1) / (model.total + model.distinct + 1))
+                    by = lambda x: np.bincount(own.owner, weights=x, minlength=len(own.ids))  # noqa: B023, E731
+                    n, n_known = by(None).astype(np.int64), by(counts > 0).astype(np.int64)
+                    columns = [pa.array(own.ids, mask=own.null), pa.array(own.held), pa.array(n), pa.array(n_known), pa.array(np.full(len(n), int(model.total))), pa.array(by(base)), pa.array(by(np.log10(p)))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+        scored = save(known.mapInArrow(final, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
+    finally:
+        batches_of(spark, int(before))
+    drop_bucketed(cut)
+    drop_folder(spark, *{f.rpartition("/")[0] for f in known.inputFiles() if "/kind=answer/" in f})
     return scored
 
 

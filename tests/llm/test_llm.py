@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy, on odd rows too."""
 
 import collections
+import functools
 import hashlib
 import random
 import re
@@ -48,32 +49,66 @@ def test_word_encoder_gives_the_library_ids():
             assert ids[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
-def test_katz(spark, docs, none):
-    data = [(r["doc_id"], r["text"]) for r in docs.collect()]
+def katz_by_hand(data, order):
+    """Rows as ``katz.score`` gives them, and the model's probability of a word after a history."""
     rows = [(i, zlib.crc32(str("" if i is None else i).encode()) % 7 == 2, (t or "").encode().lower().split() + ["end"]) for i, t in data]
-    c = collections.Counter(w for _, held, ws in rows if not held for w in ws)
-    c2 = collections.Counter(p for _, held, ws in rows if not held for p in zip(["start", *ws], ws, strict=False))
-    history, kept, seen = collections.Counter(), collections.Counter(), collections.Counter()
-    of = lambda x: np.array([sum(n == r for n in x.values()) for r in range(1, 7)] + [0, 0], float)
-    d1, d2, total = katz.discounts(of(c)), katz.discounts(of(c2)), sum(c.values())
-    unknown = 1 - sum(d1[min(n, 6)] * n for n in c.values()) / total
-    word = lambda w: d1[min(c[w], 6)] * c[w] / total if c[w] else unknown
-    for (a, b), n in c2.items():
-        history[a], kept[a], seen[a] = history[a] + n, kept[a] + d2[min(n, 6)] * n, seen[a] + word(b)
-
-    def pair(a, b):
-        if not history[a]:
-            return word(b)
-        left = history[a] - kept[a]
-        more = left <= 1e-9 * history[a]
-        return d2[min(c2[a, b], 6)] * c2[a, b] / (history[a] + more) if c2[a, b] else (1 if more else left) / (history[a] + more) / (1 - seen[a]) * word(b)
-
-    for a in list(history)[:10]:
-        assert sum(pair(a, w) for w in c) + pair(a, "?") == pytest.approx(1)
-    want = sorted((str(i), held, len(ws), sum(c[w] > 0 for w in ws), total, round(sum(np.log10(pair(a, b)) for a, b in zip(["start", *ws], ws, strict=False)), 5)) for i, held, ws in rows)
-    got = katz.score(docs, tokens=500).collect()
-    assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["score"], 5)) for r in got) == want
+    grams = lambda ws, n: zip(*(["start"] * (n - 1 - k) + ws[max(0, k - n + 1) :] for k in range(n)), strict=False)
+    train = [ws for _, held, ws in rows if not held]
+    c = {n: collections.Counter(g for ws in train for g in grams(ws, n)) for n in range(1, order + 1)}
+    total = sum(c[1].values())
+    d = {n: katz.discounts(np.array([sum(x == r for x in c[n].values()) for r in range(1, 7)] + [0, 0], float)) for n in c}
+    for n in d:
+        d[n][: 2 if n > 2 else 1] = 0
+    unknown = 1 - sum(d[1][min(x, 6)] * x for x in c[1].values()) / total
+    if not 0 < unknown < 1:
+        d[1], unknown = d[1] * total / (total + 1), 1 / (total + 1)
+    of, follow = collections.Counter(), collections.defaultdict(list)
+    for n in range(2, order + 1):
+        for g, x in c[n].items():
+            of[g[:-1]] += x
+            if d[n][min(x, 6)]:
+                follow[g[:-1]].append(g[-1])
+
+    @functools.cache
+    def weights(h):
+        kept = sum(d[len(h) + 1][min(c[len(h) + 1][*h, w], 6)] * c[len(h) + 1][*h, w] for w in follow[h])
+        left = of[h] - kept
+        more = left <= 1e-9 * of[h]
+        return of[h] + more, (1 if more else left) / (of[h] + more) / (1 - sum(p(h[1:], w) for w in follow[h]))
+
+    @functools.cache
+    def p(h, w):
+        if not h:
+            return d[1][min(c[1][w,], 6)] * c[1][w,] / total if c[1][w,] else unknown
+        if not follow[h]:
+            return p(h[1:], w)
+        below, weight = weights(h)
+        n, x = len(h) + 1, c[len(h) + 1][*h, w]
+        return d[n][min(x, 6)] * x / below if x >= (2 if n > 2 else 1) else weight * p(h[1:], w)
+
+    base = lambda w: np.log10((c[1][w,] + 1) / (total + len(c[1]) + 1))
+    out = []
+    for i, held, ws in rows:
+        score = sum(np.log10(p(g[:-1], g[-1])) for g in grams(ws, order))
+        out.append((str(i), held, len(ws), sum(c[1][w,] > 0 for w in ws), total, round(sum(map(base, ws)), 5), round(score, 5)))
+    return sorted(out), p, list(follow), [w for (w,) in c[1]]
+
+
+def test_katz(spark, docs, none):
+    words = [f"w{int(k**2 / 40)}" for k in range(60)]
+    rng = random.Random(31)
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    small = spark.createDataFrame([(k, x, k) for k, x in enumerate([*texts, texts[3], texts[3]])], "doc_id long, text string, held int").repartition(3)
+    for frame, orders in ((small, (1, 4)), (docs, (3,))):
+        data = [(r["doc_id"], r["text"]) for r in frame.collect()]
+        for order in orders:
+            want, p, histories, known = katz_by_hand(data, order)
+            for h in histories[:: max(1, len(histories) // 40)]:
+                assert sum(p(h, w) for w in known) + p(h, "?") == pytest.approx(1)
+            got = katz.score(frame, tokens=500, order=order).collect()
+            assert sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in got) == want
     assert katz.score(none).count() == 0
+    assert [r["score"] for r in katz.score(spark.createDataFrame([(0, "a b")], "doc_id long, text string"), modulus=1, held=0).collect()] == [0.0]
 
 
 def test_substring(spark, docs, none):
