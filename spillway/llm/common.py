@@ -105,6 +105,28 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: Most rows of keys that go to every executor, about 24 bytes each.
+MAX_BROADCAST_KEYS = 1_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the rows whose (doc_id, hash of text) is in ``dropped`` (doc_id, hash).
+
+    ``dropped`` is a saved table; while its counted rows are few they go to the
+    executors and no text moves, beyond that both sides are shuffled.
+    """
+    few = dropped.limit(MAX_BROADCAST_KEYS + 1).count() <= MAX_BROADCAST_KEYS
+    keys = dropped.select(F.col("doc_id").alias("_dropped_id"), F.col("hash").alias("_dropped_hash")).distinct()
+    same = F.col("_own_id").eqNullSafe(F.col("_dropped_id")) & (F.col("_own_hash") == F.col("_dropped_hash"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_own_id"), text_hash().alias("_own_hash"))
+    return own.join(F.broadcast(keys) if few else keys, same, "left_anti").select("_row.*")
+
+
+def text_hash() -> Column:
+    """64 bits of a text; a null one is not an empty one."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def running_total(df: DataFrame, keys: list[str], order: list[Column], value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over all rows of the same ``keys`` with a smaller ``block`` or earlier in it.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spillway.llm.common import only, table, text_of
+from spillway.llm.common import only, save, table, text_hash, text_of, without
 
 NGRAM = 13
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -113,11 +113,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, one
 
     Rows are told apart by doc_id and text, as equal ones are contaminated alike.
     """
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.xxhash64(text_of()))
-    names = docs.columns
-    keyed = docs.withColumn("_key", key)
-    bad = contamination(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark, n, one_in).where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in names])
+    hashed = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("hash")).alias("doc_id"), "text")
+    bad = contamination(hashed, benchmark, n, one_in).where("contaminated").select("doc_id.*")
+    return without(docs, save(bad, "contaminated"))
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,9 +10,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from spillway.llm.common import drop_saved, only, save, table, text_of
+from spillway.llm.common import only, save, table, text_hash, text_of, without
 from spillway.llm.components import connected_components
 
 BITS = 64
@@ -36,14 +35,14 @@ def simhash(text: str, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp) for each row: the fingerprint's 64 bits as a signed long. A null text counts as empty."""
+    """(doc_id, hash, fp) for each row: the text's hash, and the fingerprint's 64 bits as a signed long. A null text counts as empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash(x, size) for x in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([simhash(x, size) for x in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps.view(np.int64))], names=["doc_id", "hash", "fp"])
 
-    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(work, "doc_id long, fp long")
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), text_hash().alias("hash"), text_of().alias("text")).mapInArrow(work, "doc_id long, hash long, fp long")
 
 
 class Pivots:
@@ -184,47 +183,49 @@ def links(fps: DataFrame, radius: int = 2, groups: int | None = None, tile_rows:
     return tiled.repartition("cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long").where("a <> b").distinct()
 
 
+def _rooted(docs: DataFrame, radius: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of ``docs`` and, for each distinct one, root (of its component) and least (its smallest doc_id)."""
+    fps = save(fingerprints(docs, size), "fingerprints")
+    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    edges = save(links(firsts.select("fp"), radius), "links")
+    roots = connected_components(edges)
+    known = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return fps, save(known, "roots")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, fp, component_id.
 
     component_id is the smallest doc_id among all rows that links of at most
     ``radius`` differing bits reach. Rows without words share fingerprint 0.
     A null doc_id keeps its row; it is the id of a component only when that has
-    no other. Rows that repeat a doc_id are separate rows. Other columns of
-    ``docs`` are not read. Empty tables give empty results.
+    no other. Rows that repeat a doc_id are separate rows. Long texts are read
+    whole. Other columns of ``docs`` are not read. Empty tables give empty results.
     """
-    fps = save(fingerprints(docs, size), "fingerprints")
-    firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = save(links(firsts.select("fp"), radius), "links")
-    roots = connected_components(edges)
-    known = firsts.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    known = save(known, "roots")
+    fps, known = _rooted(docs, radius, size)
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
     mapped = known.join(ids, "root").select("fp", "component_id")
     return fps.join(mapped, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFrame:
-    """``docs``, all columns, with one row for each component: one whose doc_id is the component's smallest.
+    """``docs``, all columns, with one row for each component: that of the smallest doc_id (null ones last), then of the smallest text hash.
 
-    Of rows that share both that doc_id and its fingerprint one stays. A
-    component without doc_ids keeps one row of each fingerprint.
+    Rows that share both doc_id and text are told apart by nothing; one of them stays
+    if theirs is the row that does.
     """
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.col("_simhash"))
-    found = near_duplicates(docs, radius, size)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = first.groupBy("component_id").agg(F.min("fp").alias("_simhash"), F.first("doc_id").alias("doc_id")).where("doc_id is not null")
-    keep = keep.unionByName(first.where("doc_id is null").select("component_id", F.col("fp").alias("_simhash"), "doc_id").distinct()).select(key.alias("_key"))
-    schema, names = docs.schema, docs.columns
-    at = names.index("text")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps = np.array([simhash(x or "", size) for x in batch.column(at).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*batch.schema.names, "_simhash"])
-
-    marked = docs.mapInArrow(add, T.StructType([*schema.fields, T.StructField("_simhash", T.LongType())])).withColumn("_key", key)
-    return marked.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in names])
+    fps, known = _rooted(docs, radius, size)
+    rows = fps.join(known.select("fp", "root"), "fp").select("root", "doc_id", "hash")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")).alias("first"))
+    of_first = rows.join(first, "root").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash")))
+    judged = save(of_first.groupBy("doc_id", "hash", "kept").count(), "judged")
+    once = without(docs, judged.where("not kept or count > 1"))
+    repeated = judged.where("kept and count > 1")
+    if repeated.isEmpty():
+        return once
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_own_id"), text_hash().alias("_own_hash"))
+    same = F.col("_own_id").eqNullSafe(F.col("doc_id")) & (F.col("_own_hash") == F.col("hash"))
+    return once.unionByName(own.join(repeated, same, "left_semi").dropDuplicates(["_own_id", "_own_hash"]).select("_row.*"))
 
 
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
