@@ -160,3 +160,49 @@ def cheapest_threshold(df: DataFrame, label: str, score: str, miss: float, alarm
     cost = (F.col("p") - F.col("tp")) * miss + F.col("fp") * alarm
     rows = roc_points(df, label, score).crossJoin(F.broadcast(total)).select("score", cost.alias("cost"))  # one row of totals
     return rows.agg(F.min(F.struct("cost", (-F.col("score")).alias("s"))).alias("x")).select((-F.col("x.s")).alias("threshold"), F.col("x.cost").alias("cost"))
+
+
+def quantiles(df: DataFrame, columns: list[str], at: list[float]) -> dict[str, list[float]]:
+    """Exact, linearly interpolated quantiles of each column: a few numbers.
+
+    Values are counted before they are ordered, and only those around a quantile reach the driver.
+    """
+    out = {}
+    for c in columns:
+        by = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("v")).agg(F.count("*").alias("n"))
+        cum = running_sums(by, "v", {"upto": "n"})
+        total = by.agg(F.sum("n")).first()[0] or 0
+        places = [(total - 1) * q for q in at]
+        wanted = sorted({int(p) + k for p in places for k in (0, 1)})
+        covers = F.exists(F.lit(wanted), lambda k: (k >= F.col("upto") - F.col("n")) & (k < F.col("upto"))) if wanted else F.lit(False)
+        rows = sorted((r["upto"], r["v"]) for r in cum.where(covers).select("upto", "v").collect())  # two for each quantile at most
+        value = lambda k: next(v for upto, v in rows if k < upto)  # noqa: B023, E731
+        out[c] = [value(int(p)) + (p - int(p)) * (value(min(int(p) + 1, total - 1)) - value(int(p))) for p in places] if total else [None] * len(at)
+    return out
+
+
+def frozen_edges(reference: DataFrame, columns: list[str], bins: int = 10) -> dict[str, list[float]]:
+    """Each column's inner quantiles, every value once; empty for a reference without values."""
+    found = quantiles(reference, columns, [i / bins for i in range(1, bins)])
+    return {c: sorted({x for x in v if x is not None}) for c, v in found.items()}
+
+
+def psi_of(reference: DataFrame, current: DataFrame, edges: dict[str, list[float]]) -> DataFrame:
+    """feature, psi over frozen edges, open at both ends; null where a side has no values."""
+    def bins(df: DataFrame, name: str) -> DataFrame:
+        bin_of = lambda c, e: F.size(F.filter(F.lit(e) if e else F.array().cast("array<double>"), lambda x: x <= F.col(c)))
+        every = F.array(*[F.struct(F.lit(c).alias("feature"), F.when(F.col(c).isNotNull(), bin_of(c, e)).alias("bin")) for c, e in edges.items()])
+        return df.select(F.explode(every).alias("x")).select("x.*").where("bin is not null").groupBy("feature", "bin").agg(F.count("*").alias(name))
+
+    spark = reference.sparkSession
+    grid = spark.createDataFrame([(c, b) for c, e in edges.items() for b in range(len(e) + 1)], "feature string, bin int")
+    rows = grid.join(bins(reference, "e"), ["feature", "bin"], "left").join(bins(current, "a"), ["feature", "bin"], "left").fillna(0)  # a row for each feature and bin
+    totals = rows.groupBy("feature").agg(F.sum("e").alias("te"), F.sum("a").alias("ta"))
+    share = lambda c, t: F.greatest(F.try_divide(F.col(c), F.col(t)), F.lit(1e-6))
+    e, a = share("e", "te"), share("a", "ta")
+    known = rows.join(F.broadcast(totals), "feature")
+    return known.groupBy("feature").agg(F.when(F.min(F.least("te", "ta")) > 0, F.sum((a - e) * F.log(a / e))).alias("psi"))
+
+
+def psi_verdict(psi: Column) -> Column:
+    return F.when(psi < 0.1, "stable").when(psi < 0.25, "moderate").when(psi.isNotNull(), "significant")
