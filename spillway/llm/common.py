@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,15 +49,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/spillway/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is run inside are freed as soon as it has ended."""
+    before = spark.conf.get(_FREE_SHUFFLES, "false")
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE_SHUFFLES, before)
+
+
 def write(df: DataFrame, path: str, *partition_by: str) -> None:
     """Write ``df`` as Parquet; the shuffle files behind it are freed at once."""
-    conf = df.sparkSession.conf
-    before = conf.get(_FREE_SHUFFLES, "false")
-    conf.set(_FREE_SHUFFLES, "true")
-    try:
+    with shuffles_freed(df.sparkSession):
         df.write.parquet(path, partitionBy=list(partition_by) or None)
-    finally:
-        conf.set(_FREE_SHUFFLES, before)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -73,7 +81,8 @@ def save_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """``save`` in as many buckets of ``key`` as shuffles have partitions, so that joins on it move only their other side."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     own = path.rpartition("/")[2].replace("-", "_")
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(own, format="parquet", path=path)
+    with shuffles_freed(spark):
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(own, format="parquet", path=path)
     return spark.table(own)
 
 

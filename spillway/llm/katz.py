@@ -34,6 +34,9 @@ BUCKET = 2
 END, START = np.uint64(1), np.uint64(2)  # what no word's hash is
 
 
+HALF = 14
+
+
 def pack(*arrays: np.ndarray) -> list[bytes]:
     return [zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes()) for x in arrays]
 
@@ -53,10 +56,10 @@ def unpack_keys(data: bytes) -> np.ndarray:
 
 
 def pack_numbers(rows: np.ndarray) -> bytes:
-    """Rows of numbers: whole ones in as few bytes as the largest needs, others as doubles or, if many repeat, places among the distinct ones.
+    """Rows of numbers: whole ones in as few bytes as the largest needs, others as doubles (of half the size if none loses by it) or, if many repeat, places among the distinct ones.
 
-    A head of two numbers for each row (bytes of a number, how many distinct
-    ones are listed) comes first. Numbers of several bytes are stored as all
+    A head of two numbers for each row (bytes of a number, HALF for the smaller
+    doubles, and how many distinct ones are listed) comes first. Numbers of several bytes are stored as all
     first bytes, then all second ones.
     """
     head, parts = [], []
@@ -68,9 +71,10 @@ def pack_numbers(rows: np.ndarray) -> bytes:
             if 2 * len(distinct) < len(row):
                 listed, row, whole = distinct.astype("<f8"), place, True
         top = row.max(initial=0) if whole else 0
-        size = 8 if not whole else 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
-        head += [size, len(listed)]
-        numbers = row.astype(f"<u{size}").view("u1").reshape(-1, size).T if whole else row.astype("<f8")
+        half = not whole and (row.astype("<f4") == row).all()
+        size = (4 if half else 8) if not whole else 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+        head += [HALF if half else size, len(listed)]
+        numbers = row.astype(f"<u{size}" if whole else f"<f{size}").view("u1").reshape(-1, size).T
         parts += [listed.tobytes(), numbers.tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(np.array(head, "<u4").tobytes() + b"".join(parts))
 
@@ -79,13 +83,11 @@ def unpack_numbers(data: bytes, width: int) -> np.ndarray:
     """The ``width`` rows of ``pack_numbers`` as doubles."""
     raw = zstandard.ZstdDecompressor().decompress(data)
     head, at, rows = np.frombuffer(raw, "<u4", 2 * width).reshape(width, 2).tolist(), 8 * width, []
-    n = (len(raw) - at - 8 * sum(k for _, k in head)) // sum(size for size, _ in head)
+    n = (len(raw) - at - 8 * sum(k for _, k in head)) // sum(4 if size == HALF else size for size, _ in head)
     for size, k in head:
         listed, at = np.frombuffer(raw, "<f8", k, at), at + 8 * k
-        if size == 8:
-            row = np.frombuffer(raw, "<f8", n, at)
-        else:
-            row = np.ascontiguousarray(np.frombuffer(raw, "u1", size * n, at).reshape(size, n).T).view(f"<u{size}").ravel()
+        kind, size = ("f", 4) if size == HALF else ("f" if size == 8 else "u", size)
+        row = np.ascontiguousarray(np.frombuffer(raw, "u1", size * n, at).reshape(size, n).T).view(f"<{kind}{size}").ravel()
         rows.append(listed[row] if k else row.astype("<f8"))
         at += size * n
     return np.array(rows)
@@ -100,6 +102,26 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(real), np.diff(at[parts.offsets.to_numpy()])
 
 
+def mix(a: np.ndarray) -> np.ndarray:
+    a = (a ^ (a >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    a = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return a ^ (a >> np.uint64(32))
+
+
+def hash_words(words: pa.Array) -> np.ndarray:
+    """64 bits of each word, 3 or more: of up to 16 bytes all at once, of longer ones by XXH3."""
+    words = words.cast(pa.large_string())
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    sizes = np.diff(ends)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    at = ends[:-1, None] + np.arange(16)
+    heads = np.where(np.arange(16) < sizes[:, None], data[np.minimum(at, max(len(data) - 1, 0))] if len(data) else 0, 0).astype(np.uint8).view("<u8")
+    hashes = mix(mix(mix(heads[:, 0] + np.uint64(7)) ^ heads[:, 1]) + sizes.astype(np.uint64))
+    long = np.flatnonzero(sizes > 16)
+    hashes[long] = np.fromiter(map(xxhash.xxh3_64_intdigest, words.take(pa.array(long)).to_pylist()), np.uint64, len(long))
+    return np.where(hashes < 3, hashes + np.uint64(3), hashes)
+
+
 def extend(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Keys of the n-grams that have ``words`` after the n-grams of ``keys``."""
     mixed = (keys * np.uint64(0x9E3779B97F4A7C15)) ^ ((words ^ (words >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93))
@@ -108,9 +130,16 @@ def extend(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, each key's place among them, and the keys' sorted order with where it reaches each distinct one."""
-    order = np.argsort(keys)
+    """Distinct keys in order, each key's place among them, and the keys' sorted order (equal ones as they came) with where it reaches each distinct one.
+
+    Numbers are sorted faster than places: the first bits of each key with its place as the last ones.
+    """
+    low = np.uint64((1 << max(1, (len(keys) - 1).bit_length())) - 1)
+    order = (np.sort((keys & ~low) | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
     ranked = keys[order]
+    if (ranked[1:] < ranked[:-1]).any():  # different keys with the same first bits
+        order = np.argsort(keys, kind="stable")
+        ranked = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = ranked[1:] != ranked[:-1]
     starts, place = np.flatnonzero(new), np.empty(len(keys), np.int64)
@@ -127,16 +156,23 @@ class Slice:
 
     Arrays over tokens have a last element more, for START: what stands before
     each text's first token. ``c<n>`` of the row are counts of n-grams and whether
-    the slice is the first to have each, ``h<n>`` the divisors and weights of
-    n-grams as histories, as ``sum_by_key`` answered them.
+    the slice is the first to have each, ``h<n>`` the weights of n-grams as
+    histories, as ``sum_by_key`` answered them.
     """
 
     def __init__(self, row: dict, model: Katz | None = None):
         self.row, self.model, self.kept = row, model, {}
         self.ids, self.held, self.ends = unpack(row["ids"], "<i8"), unpack(row["held"], "u1").astype(bool), unpack(row["ends"], "<i8")
         self.null = unpack(row["no_id"], "u1").astype(bool)
-        words = unpack(row["words"], "<u8")
-        self.tokens = np.r_[words[unpack_numbers(row["codes"], 1)[0].astype(np.int64)], START]
+        words, codes = unpack(row["words"], "<u8"), unpack_numbers(row["codes"], 1)[0].astype(np.int64)
+        codes = np.r_[codes, np.flatnonzero(words == START)]
+        self.tokens = words[codes]
+        order = np.argsort(words)
+        rank, first = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        rank[order] = np.arange(len(words))
+        place = rank[codes]
+        first[place[::-1]] = np.arange(len(place))[::-1]
+        self.kept["grams", 1] = words[order], place, first
         sizes = np.diff(np.r_[0, self.ends])
         self.owner = np.repeat(np.arange(len(sizes)), sizes)
         self.trained = np.r_[~self.held[self.owner], False]
@@ -161,7 +197,7 @@ class Slice:
             keys, own, order, starts = distinct(self.keys(n)[at])
             place = np.full(len(self.tokens), -1)
             place[at] = own
-            self.kept["grams", n] = keys, place, at[np.minimum.reduceat(order, starts)]
+            self.kept["grams", n] = keys, place, at[order[starts]]
         return self.kept["grams", n]
 
     def counted(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,6 +227,7 @@ class Slice:
         at = np.flatnonzero((owned > 0) & (counts >= least_count(n + 1)))
         history, first = place[self.before[first[at]]], first[at]
         sums = [np.bincount(history, weights=x, minlength=len(keys)) for x in (self.model.discounted(n + 1, counts[at]), self.probability(n)[first])]
+        sums[1] = sums[1].astype(np.float32)  # in half the bytes; a weight is right to seven digits
         many = np.zeros(len(keys))
         many[place[place >= 0]] = self.counts(n)[place >= 0]
         return keys, np.array([*sums, many])
@@ -200,8 +237,9 @@ class Slice:
         counts = self.counts(n)
         if n == 1:
             return self.model.word(counts)
-        below, weight = (np.r_[x, 1][self.histories(n - 1)[1][self.before]] for x in sums_of(self.row[f"h{n - 1}"], 2))
-        return np.where(counts >= least_count(n), self.model.discounted(n, counts) / below, weight * self.probability(n - 1))
+        weight = np.r_[sums_of(self.row[f"h{n - 1}"], 1)[0], 1][self.histories(n - 1)[1][self.before]]
+        below = np.maximum(self.counts(n - 1)[self.before], 1) + (weight < 0)
+        return np.where(counts >= least_count(n), self.model.discounted(n, counts) / below, np.abs(weight) * self.probability(n - 1))
 
 
 SLICE_SCHEMA = "slice long, ids binary, no_id binary, held binary, ends binary, words binary, codes binary"
@@ -222,8 +260,7 @@ def slices(docs: DataFrame, tokens: int = TOKENS, modulus: int = 7, held: int =
             nonlocal number, waiting, size
             ids, no_id, out_of, counts = (np.concatenate([w[i] for w in waiting]) for i in range(4))
             coded = pa.concat_arrays([w[4] for w in waiting]).dictionary_encode()
-            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-            hashes = np.where(hashes < 3, hashes + np.uint64(3), hashes)
+            hashes = hash_words(coded.dictionary)
             words = np.unique(np.r_[hashes, END, START])
             place = np.searchsorted(words, hashes).astype("<u4")
             end = np.uint32(np.searchsorted(words, END))
@@ -252,17 +289,17 @@ def slices(docs: DataFrame, tokens: int = TOKENS, modulus: int = 7, held: int =
     return save_bucketed(rows.mapInArrow(cut, SLICE_SCHEMA), "slices", "slice")
 
 
-def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarray]], width: int, name: str, buckets: int, finish: Callable[[np.ndarray], np.ndarray] | None = None, keep: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarray]], width: int, name: str, buckets: int, keep: Callable[[np.ndarray], np.ndarray], finish: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[DataFrame, DataFrame]:
     """For each row (a slice) of ``df``: ``width`` values of each of its keys, summed over all slices.
 
     ``give`` makes sorted distinct keys and their values from a row. Keys are
     dealt to buckets by their first bits, so that a slice's keys of a bucket
     stay together and in order, and no key has more than one row for a slice.
-    Written under three kinds. Answers (slice, parts: the sums in the order of the
-    slice's keys and a further number, 1 where the slice is the first to have the
-    key, else 0). Table (bucket, keys, sums: the model, of the keys that ``keep``
-    takes). Totals (counts: how many keys have the first sum 1, 2, ..., how
-    many more than 0, and the sum of all).
+    Gives answers (slice, parts: the sums in the order of the slice's keys and a
+    further number, 1 where the slice is the first to have the key, else 0; saved
+    in buckets of slice) and totals (counts: how many keys have the first sum 1,
+    2, ..., how many more than 0, and the sum of all). A table of the keys whose
+    sums ``keep`` takes stays as a part of the model (bucket, data: keys, more: sums).
     With ``finish`` the last value is not summed: the largest is taken, and what
     ``finish`` makes of all takes the place of the sums and of the further number.
     """
@@ -292,14 +329,14 @@ def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarra
             sums = np.add.reduceat(values, starts, axis=1)
             if finish:
                 sums[-1] = np.maximum.reduceat(values[-1], starts)
-                sums = finish(sums)
+            stored = keep(sums)
+            sums = finish(sums) if finish else sums
             owned = np.zeros((0 if finish else 1, len(place)))
-            owned[:, np.minimum.reduceat(order, starts)] = 1
+            owned[:, order[starts]] = 1
             bucket, at, made = rows[0][0], 0, []
             for r, n in zip(rows, map(len, own), strict=True):
                 made.append(("answer", bucket, r[1], pack_numbers(np.concatenate([sums[:, place[at : at + n]], owned[:, at : at + n]])), None, None))
                 at += n
-            stored = keep(sums) if keep else np.ones(len(keys), bool)
             made.append(("table", bucket, None, pack_keys(keys[stored]), pack_numbers(sums[:, stored]), None))
             if not finish:
                 some = np.bincount(np.minimum(sums[0], DISCOUNTED + 2).astype(np.int64), minlength=DISCOUNTED + 3)[1 : DISCOUNTED + 2]
@@ -323,8 +360,9 @@ def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarra
     write(dealt.mapInArrow(merge, schema), path, "kind")
     made = df.sparkSession.read.schema(schema).parquet(path)
     answered = made.where("kind = 'answer'").groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("bucket", "data"))).alias("parts"))
-    answered = answered.select("slice", F.transform("parts", lambda x: x["data"]).alias("parts"))
-    return answered, made.where("kind = 'table'").select("bucket", F.col("data").alias("keys"), F.col("more").alias("sums")), made.where("kind = 'total'").select("counts")
+    answered = save_bucketed(answered.select("slice", F.transform("parts", lambda x: x["data"]).alias("parts")), f"answers-{name}", "slice")
+    drop_folder(df.sparkSession, f"{path}/kind=answer")
+    return answered, made.where("kind = 'total'").select("counts")
 
 
 def sums_of(parts: list[bytes] | None, width: int) -> np.ndarray:
@@ -394,18 +432,18 @@ class Katz:
 
 
 def backoff(sums: np.ndarray) -> np.ndarray:
-    """What a history's counts are divided by, and its weight of words that never followed it.
+    """A history's weight of words that never followed it.
 
     Rows of ``sums``: of all that follows it in the model, the sum of discounted
-    counts and that of the probabilities after one word less; how often it came. A history
-    whose counts leave nothing gets one more observation, which goes to the unseen.
+    counts and that of the probabilities after one word less; how often it came. A
+    history whose counts leave nothing gets one more observation, which goes to
+    the unseen; its weight is stored below zero.
     """
     held, seen, history = sums
     left = history - held
     none = left <= 1e-9 * np.maximum(history, 1)
-    below = np.where(history > 0, history + none, 1)
-    weight = np.where(history > 0, np.where(none, 1, left) / below / np.maximum(1 - seen, 1e-300), 1)
-    return np.array([below, weight])
+    weight = np.where(none, -1, left) / (np.maximum(history, 1) + none) / np.maximum(1 - seen, 1e-30)
+    return np.where(history > 0, weight, 1)[None].astype(np.float32)
 
 
 def score(docs: DataFrame, modulus: int = 7, held: int = 2, tokens: int = TOKENS, order: int = ORDER) -> DataFrame:
@@ -416,8 +454,8 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, tokens: int = TOKENS
     repeated ids, repeated rows and long texts are rows like any other; extra columns
     are not read; an empty table gives no rows. Without training rows every token is
     unknown and has probability 1. The model stays in the shared folder: of each
-    length a table of n-grams and counts, and of all but the longest one of
-    histories with divisors and weights, partitioned by the first bits of the keys.
+    length a table of n-grams and counts, and of all but the longest one of the
+    histories that any follow and their weights, parted by the first bits of the keys.
     """
     spark = docs.sparkSession
     cut = slices(docs, tokens, modulus, held)
@@ -425,15 +463,16 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, tokens: int = TOKENS
     crc = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
     model = Katz(only(docs, "doc_id").where(crc % modulus != held).count())
     before = batches_of(spark, 1)  # a row is a whole slice from here on
+    known, saved = cut, [cut]
     try:
-        known = cut
         for n in range(1, order + 1):
-            often = None if n <= 2 else lambda sums: sums[0] >= CUTOFF
-            found, _, totals = sum_by_key(known, lambda row, n=n: Slice(row, model).counted(n), 1, f"grams{n}", buckets, keep=often)
+            found, totals = sum_by_key(known, lambda row, n=n: Slice(row, model).counted(n), 1, f"grams{n}", buckets, lambda sums, n=n: sums[0] >= least_count(n))
+            saved.append(found)
             model.learn(n, count_of_counts(totals))
             known = known.join(found.withColumnRenamed("parts", f"c{n}"), "slice", "left")
             if n > 1:
-                found, _, _ = sum_by_key(known, lambda row, n=n: Slice(row, model).left(n - 1), 3, f"histories{n - 1}", buckets, finish=backoff)
+                found, _ = sum_by_key(known, lambda row, n=n: Slice(row, model).left(n - 1), 3, f"histories{n - 1}", buckets, lambda sums: sums[0] > 0, backoff)
+                saved.append(found)
                 known = known.join(found.withColumnRenamed("parts", f"h{n - 1}"), "slice", "left")
 
         def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,8 +489,8 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, tokens: int = TOKENS
         scored = save(known.mapInArrow(final, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "scores")
     finally:
         batches_of(spark, int(before))
-    drop_bucketed(cut)
-    drop_folder(spark, *{f.rpartition("/")[0] for f in known.inputFiles() if "/kind=answer/" in f})
+    for df in saved:
+        drop_bucketed(df)
     return scored
 
 
