@@ -217,8 +217,10 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3) -> Dat
     fps, known = _rooted(docs, radius, size)
     rows = fps.join(known.select("fp", "root"), "fp").select("root", "doc_id", "hash")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash")).alias("first"))
-    of_first = rows.join(first, "root").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash")))
-    judged = save(of_first.groupBy("doc_id", "hash", "kept").count(), "judged")
+    kept = first.select(F.col("first.doc_id").alias("_id"), F.col("first.hash").alias("_hash"))
+    every = rows.groupBy("doc_id", "hash").count()
+    judged = every.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
+    judged = save(judged.select("doc_id", "hash", F.col("_hash").isNotNull().alias("kept"), "count"), "judged")
     once = without(docs, judged.where("not kept or count > 1"))
     repeated = judged.where("kept and count > 1")
     if repeated.isEmpty():
