@@ -25,6 +25,8 @@ BASE = {
 #: High-recall generators of further spans.
 FURTHER = {
     "number": r"\(?[0-9][0-9().\x20-]{5,}[0-9]",
+    "bracketed": r"\([0-9]{2,5}\)\x20?[0-9]{2,5}(?:[-.\x20][0-9]{2,5})++",
+    "grouped": r"(?<![0-9])[0-9]{3}([-.\x20])[0-9]{3}\1[0-9]{4}(?![0-9])",
     "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{16,}+",
     "contact": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z0-9-]+)++",
 }
@@ -55,7 +57,7 @@ def find_spans(df: DataFrame, kind: str, pattern: str, out: str) -> DataFrame:
     df = df.withColumn("_p", F.when(F.size("_m") > 0, F.split("text", literal, -1)))
     starts = F.expr("""aggregate(sequence(0, size(_m) - 1), named_struct('at', 0, 'out', cast(array() as array<int>)), (s, i) -> named_struct(
         'at', s.at + length(get(_p, i)) + length(get(_m, i)), 'out', concat(s.out, array(s.at + length(get(_p, i))))), s -> s.out)""")
-    df = df.withColumn("_s", F.when(F.size("_m") > 0, F.when(F.size("_p") == F.size("_m") + 1, starts)))
+    df = df.withColumn("_s", F.when(F.size("_m") > 0, F.when(F.size("_p") == F.size("_m") + 1, starts).otherwise(F.raise_error(F.lit(f"matches and gaps of {kind} differ in number")))))
     spans = F.expr("transform(_m, (m, i) -> named_struct('start', get(_s, i), 'end', get(_s, i) + length(m), 'match', m))")
     none = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
     return df.withColumn(out, F.when(F.coalesce(F.size("_s"), F.lit(0)) > 0, spans).otherwise(none)).drop("_m", "_p", "_s")
@@ -196,7 +198,8 @@ def fit_selector(spark: SparkSession, trees: int = 12, depth: int = 4) -> tuple[
     """
     texts = spark.createDataFrame(training_texts(), "text string, a int, b int, label int").coalesce(1)
     spans = candidates(texts).select("text", "a", "b", "label", F.explode("candidates").alias("x"))
-    rows = spans.select((F.col("label") * ((F.col("x.start") < F.col("b")) & (F.col("a") < F.col("x.end"))).cast("int")).cast("double").alias("label"), F.pmod(F.crc32(F.encode("text", "UTF-8")), F.lit(3)).alias("part"), *[F.col(f"x.{f}").alias(f) for f in FEATURES])
+    shared = F.least(F.col("x.end"), F.col("b")) - F.greatest(F.col("x.start"), F.col("a"))  # a span is right if this is half of what either covers
+    rows = spans.select((F.col("label") * (2 * shared >= F.greatest(F.col("x.end"), F.col("b")) - F.least(F.col("x.start"), F.col("a"))).cast("int")).cast("double").alias("label"), F.pmod(F.crc32(F.encode("text", "UTF-8")), F.lit(3)).alias("part"), *[F.col(f"x.{f}").alias(f) for f in FEATURES])
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows).select("label", "part", "features").cache()
     model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=3).fit(rows.where("part < 2"))
     score = " + ".join(f"{w!r}D * {tree_sql(t._call_java('rootNode'), FEATURES)}" for w, t in zip(model.treeWeights, model.trees, strict=True))
@@ -217,6 +220,9 @@ def detect(docs: DataFrame, selector: tuple[str, float] | None = None) -> DataFr
     rank is the place of the kind in KINDS. ``spans`` has all of ``base`` and
     the candidates whose calibrated score reaches the threshold, unless they
     overlap one of ``base`` or a better candidate. A null or empty text has none.
+    Rows are judged one by one, so repeated ones alike and an empty table gives
+    none; input columns called base or spans are replaced. The work on one text
+    grows with the square of its spans.
     """
     score, threshold = selector or fit_selector(docs.sparkSession)
     names = [c for c in docs.columns if c != "text"]
@@ -241,9 +247,10 @@ def joined(spans: str) -> Column:
 def redact(docs: DataFrame, selector: tuple[str, float] | None = None) -> DataFrame:
     """``docs``, all columns, with each span of ``text`` replaced by its kind in brackets; overlapping spans become one.
 
-    Null texts stay null.
+    Null texts stay null, and so do all other columns what they are.
     """
-    found = detect(docs, selector)
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    found = detect(inner, selector)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     state = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
     step = lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(
@@ -251,7 +258,7 @@ def redact(docs: DataFrame, selector: tuple[str, float] | None = None) -> DataFr
     )
     clean = F.aggregate("spans", state, step, lambda s: F.concat(s["done"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
     out = found.withColumn("_clean", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
-    return out.select(*[F.col("_clean").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[F.col("_clean").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op3_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
