@@ -21,8 +21,10 @@ from spillway.llm.common import only, table, text_of
 WIDTH, STRIDE, FILTERS, DEPTH = 8, 4, 24, 8
 CHUNK = 256  # windows to a chunk
 THRESHOLD = 0.3
-#: Most labelled rows that a fit reads, and of each so many pieces of so many bytes.
-SAMPLE_ROWS, SAMPLE_PIECES, PIECE_BYTES = 4000, 4, 512
+#: Most labelled rows, and most bytes of their texts together, that a fit reads; rows are read whole.
+SAMPLE_ROWS, SAMPLE_BYTES = 4000, 64 << 20
+#: Texts are cut into pieces of so many bytes; each pass of the fit draws so many pieces of a text anew.
+PIECE_BYTES, PIECES_AT_ONCE = 512, 4
 
 
 #: The repeat channel: 8 bytes that equal those so many bytes before.
@@ -110,8 +112,9 @@ def fit(pieces: np.ndarray, owner: np.ndarray, label: np.ndarray, epochs: int |
         order = rng.permutation(len(label))
         for at in range(0, len(order), 64):
             batch = order[at : at + 64]
-            rows = np.concatenate([rows_of[k] for k in batch])
-            text = np.repeat(np.arange(len(batch)), [len(rows_of[k]) for k in batch])
+            drawn = [rows_of[k] if len(rows_of[k]) <= PIECES_AT_ONCE else rng.choice(rows_of[k], PIECES_AT_ONCE, replace=False) for k in batch]
+            rows = np.concatenate(drawn)
+            text = np.repeat(np.arange(len(batch)), list(map(len, drawn)))
             parts = np.bincount(text, minlength=len(batch)).astype(np.float32)
             x = pieces[rows]
             x_in = inputs_of(p["embed"], x)
@@ -145,33 +148,27 @@ def id_crc(column: str = "doc_id") -> Column:
 
 
 def labelled_pieces(docs: DataFrame, labels: DataFrame, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces, owners and labels for ``fit`` from at most SAMPLE_ROWS rows, the first by a hash of doc_id, that are not held out."""
+    """Pieces, owners and labels for ``fit`` from whole texts of labelled rows that are not held out.
+
+    At most SAMPLE_ROWS rows, the first by a hash of doc_id, and of these as many
+    as have SAMPLE_BYTES together. Of labels that differ for one doc_id the larger holds.
+    """
     order = F.xxhash64("doc_id", F.lit(seed))
     known = only(labels, "doc_id", "quality").where("quality in (0, 1) and doc_id is not null").where(id_crc() % 5 != 0)
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(order, "doc_id").limit(SAMPLE_ROWS)
     texts = only(docs, "doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(known), "doc_id")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pieces that are spread evenly over each text, at offsets drawn by its id."""
-        for batch in batches:
-            out = []
-            for doc, text, quality in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw, rng = text.encode("utf-8", "surrogatepass"), np.random.default_rng([seed, doc & 0xFFFFFFFF])
-                n = min(SAMPLE_PIECES, max(1, -(-len(raw) // PIECE_BYTES)))
-                room = max(0, len(raw) - PIECE_BYTES)
-                at = sorted({int(x) for x in (np.arange(n) + rng.random(n)) / n * (room + 1)})
-                out.append((doc, quality, len(raw), [raw[a : a + PIECE_BYTES].ljust(PIECE_BYTES, b"\0") for a in at]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=["doc_id", "quality", "size", "pieces"])
-
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.binary())]
-    sampled = texts.select(F.col("doc_id").cast("long"), "text", F.col("quality").cast("int")).mapInArrow(cut, "doc_id long, quality int, size long, pieces array<binary>")
-    rows = sampled.orderBy(order, "doc_id", "size", "pieces").limit(SAMPLE_ROWS).collect()
-    pieces = [np.frombuffer(x, np.uint8) for r in rows for x in r["pieces"]]
-    owner = np.repeat(np.arange(len(rows)), [len(r["pieces"]) for r in rows]) if rows else np.empty(0, int)
+    sizes = texts.select("doc_id", "quality", F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash")).orderBy(order, "doc_id", "hash").limit(SAMPLE_ROWS).collect()
+    fits = int(np.searchsorted(np.cumsum([r["size"] for r in sizes]), SAMPLE_BYTES, "right")) if sizes else 0
+    spark = docs.sparkSession
+    chosen = spark.createDataFrame([(k, r["doc_id"], r["hash"]) for k, r in enumerate(sizes[: max(fits, min(1, len(sizes)))])], "_k long, doc_id long, _hash long")
+    rows = texts.select(F.col("doc_id").cast("long"), "quality", F.encode("text", "UTF-8").alias("raw"), F.xxhash64("text").alias("_hash")).join(F.broadcast(chosen), ["doc_id", "_hash"]).dropDuplicates(["_k"]).orderBy("_k").collect()
+    cut = [[r["raw"][a : a + PIECE_BYTES].ljust(PIECE_BYTES, b"\0") for a in range(0, max(len(r["raw"]), 1), PIECE_BYTES)] for r in rows]
+    pieces = [np.frombuffer(x, np.uint8) for own in cut for x in own]
+    owner = np.repeat(np.arange(len(rows)), list(map(len, cut))) if rows else np.empty(0, int)
     label = np.array([r["quality"] for r in rows])
     rng, snips = np.random.default_rng(seed), []
-    for r in rows:  # texts may be short: a snippet of each counts as one more text
-        raw = r["pieces"][len(r["pieces"]) // 2].rstrip(b"\0")
+    for own in cut:  # texts may be short: a snippet of each counts as one more text
+        raw = own[len(own) // 2].rstrip(b"\0")
         n = int(rng.integers(12, 120))
         at = int(rng.integers(0, max(1, len(raw) - n)))
         snips.append(np.frombuffer(raw[at : at + n].ljust(PIECE_BYTES, b"\0"), np.uint8))
@@ -194,7 +191,12 @@ def _scored(network: Network, texts: list[str | None], at_once: int = 1 << 18) -
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:
-    """doc_id and score of each row: the whole text's probability of label 1. A null text scores as an empty one."""
+    """doc_id and score of each row: the whole text's probability of label 1.
+
+    A null text scores as an empty one. Null and repeated ids and repeated rows are rows
+    like any other, equal texts score alike, an empty table gives no rows, and
+    other columns are not read.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
