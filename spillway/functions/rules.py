@@ -11,14 +11,24 @@ Condition = tuple[str, str, float]
 
 
 def simplify(conditions: list[Condition]) -> list[Condition]:
-    """The tightest bound of each feature and operator, sorted; rules that are the same have the same list."""
+    """The tightest bound of each feature and operator, sorted; rules that are the same have the same list.
+
+    Of indicators such as ``service=http`` one that holds says that no other of its column does.
+    """
     tight: dict[tuple[str, str], float] = {}
     for feature, op, at in conditions:
         if op not in ("<=", ">"):
             raise ValueError(f"unknown operator {op!r}")
         pick = min if op == "<=" else max
         tight[feature, op] = pick(tight.get((feature, op), at), at)
-    return [(*key, at) for key, at in sorted(tight.items())]
+    held = {f.partition("=")[0]: f for f, op in tight if "=" in f and op == ">"}
+    implied = lambda f, op: "=" in f and op == "<=" and held.get(f.partition("=")[0], f) != f
+    return [(*key, at) for key, at in sorted(tight.items()) if not implied(*key)]
+
+
+def depends_on(conditions: list[Condition], features: set[str]) -> bool:
+    """Whether a rule reads one of the features, be it as one of their indicators."""
+    return any(f in features or f.partition("=")[0] in features for f, _, _ in conditions)
 
 
 def matches(conditions: list[Condition]) -> Column:
