@@ -54,16 +54,8 @@ def leaky_values(df: DataFrame, label: str, columns: list[str], share: float = 0
 
 
 def psi(reference: DataFrame, current: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Population stability index over the reference's deciles, frozen and opened at both ends."""
-    edges = sorted(set(reference.agg(F.percentile(column, [i / bins for i in range(1, bins)])).first()[0]))  # nine numbers
-    bin_of: Column = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(column)))
-    count = lambda df, name: df.where(F.col(column).isNotNull()).groupBy(bin_of.alias("bin")).agg(F.count("*").alias(name))
-    both = count(reference, "e").join(count(current, "a"), "bin", "full").fillna(0)
-    every = both.sparkSession.range(len(edges) + 1).select(F.col("id").cast("int").alias("bin")).join(both, "bin", "left").fillna(0)
-    total = every.agg(F.sum("e").alias("te"), F.sum("a").alias("ta"))
-    share = lambda c, t: F.greatest(F.col(c) / F.col(t), F.lit(1e-6))
-    e, a = share("e", "te"), share("a", "ta")
-    return every.crossJoin(F.broadcast(total)).agg(F.sum((a - e) * F.log(a / e)).alias("psi"))  # one row of totals
+    """Population stability index over the reference's quantiles, frozen and opened at both ends; null where a side has no values."""
+    return psi_of(reference, current, frozen_edges(reference, [column], bins)).select("psi")
 
 
 def ks(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:

@@ -30,4 +30,4 @@ def first_of_each(df: DataFrame, group: str, order: Column, row: str, take: Colu
 
 def spaced(n: int, keep: int) -> list[int]:
     """``keep`` places from 0 to n - 1, evenly spaced and rounded down, each once."""
-    return sorted({int(k * (n - 1) / max(keep - 1, 1)) for k in range(min(keep, n))}) if n else []
+    return sorted({int(k * (n - 1) / max(keep - 1, 1)) for k in range(keep)}) if n else []

@@ -66,7 +66,8 @@ def leaky(spark, d):
 
 @query("a4_duplicate_rows", "SELECT count(*) AS n, count(*) - count(DISTINCT (l_quantity, l_discount, l_tax, l_returnflag)) AS duplicates FROM lineitem")
 def duplicate_rows(spark, d):
-    key = F.sha2(F.concat_ws("\x1f", *[F.col(c).cast("string") for c in ("l_quantity", "l_discount", "l_tax", "l_returnflag")]), 256)
+    rounded = [F.round(c, 6) for c in ("l_quantity", "l_discount", "l_tax")]
+    key = F.sha2(F.to_json(F.array(*[F.coalesce(x.cast("string"), F.lit("null:")) for x in (*rounded, F.col("l_returnflag"))])), 256)  # a null keeps its place
     by = read(spark, d, "lineitem").groupBy(key.alias("k")).count()
     return by.agg(F.sum("count").alias("n"), (F.sum("count") - F.count("*")).alias("duplicates"))
 
