@@ -1,6 +1,6 @@
 """Katz backoff language model: Good-Turing discounts and exactly normalised backoff weights.
 
-Texts are cut into slices of over half a million tokens. A slice knows its distinct
+Texts are cut into slices of some 350,000 tokens. A slice knows its distinct
 n-grams; what it needs to know of the whole corpus about them (how often each
 comes, what a history leaves to unseen words) is summed by key over all slices
 and comes back in the slice's own order. An n-gram stands for a 64-bit hash.
@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from spillway.llm.common import batches_of, drop_bucketed, drop_folder, new_path, only, save, save_bucketed, table, text_of, write
 
-TOKENS = 600_000
+TOKENS = 350_000
 ORDER = 3
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Least count in the model of n-grams of three words and more.
 CUTOFF = 2
-#: Keys of one bucket, as a multiple of a slice's tokens: what a task sums at once.
-BUCKET = 2
+#: Slices to a bucket of keys: a task sums about so many slices' keys at once.
+BUCKET = 4
 END, START = np.uint64(1), np.uint64(2)  # what no word's hash is
 
 
