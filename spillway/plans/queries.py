@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spillway.functions import scoring
-from spillway.operators import metrics, ordered, windows
+from spillway.operators import intervals, metrics, ordered, splits, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -263,8 +263,8 @@ def latest_wins(spark, d):
     return c.groupBy("conv_id").agg(F.max(F.struct("turn", "role")).alias("x")).select("conv_id", "x.turn", "x.role")
 
 
-@query("q11_stratified_sample", None)
+@query("q11_stratified_sample", f"""WITH {FLOWS}, o AS (SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY CAST('0x' || substr(md5(CAST(row_id AS VARCHAR) || ':pool'), 1, 8) AS BIGINT), row_id) AS k FROM flows) SELECT row_id, y FROM o WHERE k <= 50""")
 def stratified_sample(spark, d):
-    """The 50 first flows of each class by a seeded hash (the feature is a sample)."""
-    w = Window.partitionBy("y").orderBy(F.xxhash64("row_id", F.lit(7)), "row_id")
-    return flows(spark, d).withColumn("k", F.row_number().over(w)).where("k <= 50").select("row_id", "y", "k")
+    """The 50 first flows of each class by a hash (the feature is a sample)."""
+    taken = splits.first_of_each(flows(spark, d), "y", intervals.uniform(F.col("row_id"), F.lit("pool")), "row_id", F.lit(50))
+    return taken.where("taken").select("row_id", "y")
