@@ -170,7 +170,7 @@ def conformal_cut(scored: DataFrame, miss: str, alpha: float) -> float:
     """The ceil((n + 1)(1 - alpha))-th smallest of a class's misses, 1 for an empty class or one too small."""
     n = scored.count()
     k = math.ceil((n + 1) * (1 - alpha))
-    return 1.0 if n == 0 or k > n else metrics.quantiles(scored, [miss], [(k - 1) / max(n - 1, 1)])[miss][0]
+    return 1.0 if n == 0 or k > n else metrics.order_statistics(scored, miss, lambda _: [k - 1])[0]
 
 
 def calibrate(scored: DataFrame, label: str, score: str = "p_attack"):

@@ -154,23 +154,26 @@ def cheapest_threshold(df: DataFrame, label: str, score: str, miss: float, alarm
     return rows.agg(F.min(F.struct("cost", (-F.col("score")).alias("s"))).alias("x")).select((-F.col("x.s")).alias("threshold"), F.col("x.cost").alias("cost"))
 
 
-def quantiles(df: DataFrame, columns: list[str], at: list[float]) -> dict[str, list[float]]:
-    """Exact, linearly interpolated quantiles of each column: a few numbers.
+def order_statistics(df: DataFrame, column: str, places) -> list[float | None]:
+    """The values at ``places(n)`` (from 0 to n - 1, interpolated linearly) of a column's n values in order; none for no values.
 
-    Values are counted before they are ordered, and only those around a quantile reach the driver.
+    Values are counted before they are ordered, and only those around a place reach the driver.
     """
-    out = {}
-    for c in columns:
-        by = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("v")).agg(F.count("*").alias("n"))
-        cum = running_sums(by, "v", {"upto": "n"})
-        total = by.agg(F.sum("n")).first()[0] or 0
-        places = [(total - 1) * q for q in at]
-        wanted = sorted({int(p) + k for p in places for k in (0, 1)})
-        covers = F.exists(F.lit(wanted), lambda k: (k >= F.col("upto") - F.col("n")) & (k < F.col("upto"))) if wanted else F.lit(False)
-        rows = sorted((r["upto"], r["v"]) for r in cum.where(covers).select("upto", "v").collect())  # two for each quantile at most
-        value = lambda k: next(v for upto, v in rows if k < upto)  # noqa: B023, E731
-        out[c] = [value(int(p)) + (p - int(p)) * (value(min(int(p) + 1, total - 1)) - value(int(p))) for p in places] if total else [None] * len(at)
-    return out
+    by = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    total = by.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return [None] * len(places(1))
+    at = places(total)
+    wanted = sorted({min(int(p) + k, total - 1) for p in at for k in (0, 1)})
+    covers = F.exists(F.lit(wanted), lambda k: (k >= F.col("upto") - F.col("n")) & (k < F.col("upto")))
+    rows = sorted((r["upto"], r["v"]) for r in running_sums(by, "v", {"upto": "n"}).where(covers).select("upto", "v").collect())  # two for each place at most
+    value = lambda k: next(v for upto, v in rows if k < upto)
+    return [value(int(p)) + ((p - int(p)) * (value(int(p) + 1) - value(int(p))) if p > int(p) else 0.0) for p in at]
+
+
+def quantiles(df: DataFrame, columns: list[str], at: list[float]) -> dict[str, list[float | None]]:
+    """Exact, linearly interpolated quantiles of each column: a few numbers."""
+    return {c: order_statistics(df, c, lambda n: [(n - 1) * q for q in at]) for c in columns}
 
 
 def frozen_edges(reference: DataFrame, columns: list[str], bins: int = 10) -> dict[str, list[float]]:

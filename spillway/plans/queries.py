@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -120,17 +121,14 @@ def reliability(spark, d):
 
 @query("a21_benign_threshold", f"WITH {FLOWS} SELECT quantile_cont(p, .99) AS threshold FROM flows WHERE y = 0")
 def benign_threshold(spark, d):
-    return flows(spark, d).where("y = 0").agg(F.percentile("p", 0.99).alias("threshold"))
+    return spark.createDataFrame([(metrics.quantiles(flows(spark, d).where("y = 0"), ["p"], [0.99])["p"][0],)], "threshold double")
 
 
 @query("a22_conformal", f"""WITH {FLOWS}, s AS (SELECT y, CASE WHEN y = 1 THEN 1 - p ELSE p END AS s FROM flows), r AS (SELECT y, s, row_number() OVER (PARTITION BY y ORDER BY s) AS k, count(*) OVER (PARTITION BY y) AS n FROM s) SELECT y, s AS quantile FROM r WHERE k = ceil(least(1, ceil((n + 1) * .9) / n) * (n - 1)) + 1""")
 def conformal(spark, d):
     s = flows(spark, d).select("y", F.when(F.col("y") == 1, 1 - F.col("p")).otherwise(F.col("p")).alias("s"))
-    by, w = s.groupBy("y", "s").count(), Window.partitionBy("y").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    n = F.sum("count").over(Window.partitionBy("y"))
-    k = F.ceil(F.least(F.lit(1.0), F.ceil((n + 1) * 0.9) / n) * (n - 1)) + 1
-    at = F.sum("count").over(w)
-    return by.withColumn("_at", at).withColumn("_k", k).where((F.col("_at") >= F.col("_k")) & (F.col("_at") - F.col("count") < F.col("_k"))).select("y", F.col("s").alias("quantile"))
+    at = lambda n: [math.ceil(min(1.0, math.ceil((n + 1) * 0.9) / n) * (n - 1))]
+    return spark.createDataFrame([(y, metrics.order_statistics(s.where(F.col("y") == y), "s", at)[0]) for y in (0, 1)], "y int, quantile double")
 
 
 @query("a24_psi", f"""WITH {FLOWS}, e AS (SELECT list_distinct(list_value(quantile_cont(p, .1), quantile_cont(p, .2), quantile_cont(p, .3), quantile_cont(p, .4), quantile_cont(p, .5), quantile_cont(p, .6), quantile_cont(p, .7), quantile_cont(p, .8), quantile_cont(p, .9))) AS e FROM flows WHERE y = 0),
