@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spillway.llm import decontaminate, fingerprint, katz, neardup, packing, pii, quality, sharding, substring, tokenstore
+from spillway.llm import decontaminate, fingerprint, katz, neardup, packing, phrases, pii, quality, sharding, substring, tokenstore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_cnn": quality.op10_quality_cnn,
+    "op13_phrase_collocations": phrases.op13_phrase_collocations,
     "op1_katz_backoff": katz.op1_katz_backoff,
     "op2_collinear_chains": substring.op2_collinear_chains,
     "op3_pii_boosting": pii.op3_pii_boosting,
@@ -23,4 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op8_benchmark_decontamination": decontaminate.OP8_SQL,
+    "op13_phrase_collocations": phrases.OP13_SQL,
 }
