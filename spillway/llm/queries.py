@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spillway.llm import decontaminate, fingerprint, katz, neardup, packing, phrases, pii, quality, sharding, substring, tokenstore
+from spillway.llm import alignment, decontaminate, fingerprint, katz, neardup, packing, phrases, pii, quality, sharding, substring, tokenstore, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_cnn": quality.op10_quality_cnn,
+    "op11_byte_owners": alignment.op11_byte_owners,
+    "op12_norm_buckets": topk.op12_norm_buckets,
     "op13_phrase_collocations": phrases.op13_phrase_collocations,
     "op1_katz_backoff": katz.op1_katz_backoff,
     "op2_collinear_chains": substring.op2_collinear_chains,
@@ -24,5 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op8_benchmark_decontamination": decontaminate.OP8_SQL,
+    "op12_norm_buckets": topk.OP12_SQL,
     "op13_phrase_collocations": phrases.OP13_SQL,
 }
