@@ -27,8 +27,10 @@ CLOSED_PERCENT = 100
 MAX_NUMBERED = 1_000_000
 DIGEST = 16
 NO_LANGUAGE = b"und"
+#: So many frequent pairs of numbered words at most, 8 bytes each, go to every worker; beyond it suffixes end at words alone.
+MAX_PAIRS, PAIRS_COUNTED = 4_000_000, 1_500_000
 #: Bytes of text that are worked on at once, words that a count holds, suffixes that reach a worker at once, parts of a language for the first ranking.
-SLICE, COUNTED, SUFFIX_ROWS, PARTS = 1 << 21, 200_000, 20_000, 32
+SLICE, COUNTED, SUFFIX_ROWS, PARTS = 1 << 21, 400_000, 20_000, 32
 #: A break between pieces: it is none of the characters that a word may hold.
 BREAK = b"."
 _BREAKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", b"." * 10)
@@ -61,23 +63,19 @@ def _source(docs: DataFrame) -> DataFrame:
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, f): the occurrences of each word of a language, and, where ``word`` is null, of all."""
 
-    def rows(counts: Counter) -> pa.RecordBatch:
-        langs, words = zip(*counts, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.binary()), pa.array(words, pa.binary()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "f"])
+    def rows(lang: bytes, counts: Counter) -> pa.RecordBatch:
+        counts[None] = counts.total() - counts.pop(BREAK, 0)
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.binary()), len(counts)), pa.array(counts, pa.binary()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "f"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[bytes, Counter] = {}
         for batch in batches:
             for lang, words in _sequences(batch):
-                own = Counter(words)
-                own.pop(BREAK, None)
-                counts.update({(lang, w): n for w, n in own.items()})
-                counts[lang, None] += own.total()
-                if len(counts) > COUNTED:
-                    yield rows(counts)
-                    counts = Counter()
-        if counts:
-            yield rows(counts)
+                counts.setdefault(lang, Counter()).update(words)
+            if sum(map(len, counts.values())) > COUNTED:
+                yield from map(rows, counts, counts.values())
+                counts = {}
+        yield from map(rows, counts, counts.values())
 
     return _source(docs).mapInArrow(work, "lang binary, word binary, f long").groupBy("lang", "word").agg(F.sum("f").alias("f"))
 
@@ -117,30 +115,81 @@ def _combined(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return rows[starts], np.add.reduceat(counts, starts)
 
 
-def suffixes(docs: DataFrame, codes, max_words: int = MAX_WORDS) -> DataFrame:
-    """(key, n): the suffixes of two words and more, cut after ``max_words``; equal ones of a slice are one row.
+def sequences(docs: DataFrame, codes) -> DataFrame:
+    """(codes): texts as the codes of their words, a row for each slice; a run of words without a code is one zero.
 
-    ``codes``: a broadcast ``Codes``. A word without a code ends a suffix.
+    ``codes``: a broadcast ``Codes``.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codes.value
         for batch in batches:
             for lang, words in _sequences(batch):
+                coded = codes.value.of(lang, words)
+                there = coded.any(1)
+                kept = np.ascontiguousarray(coded[there | np.r_[False, there[:-1]]])
+                yield pa.RecordBatch.from_arrays([pa.array([kept.tobytes()], pa.binary())], names=["codes"])
+
+    return _source(docs).mapInArrow(work, "codes binary")
+
+
+def _pairs(numbers: np.ndarray) -> np.ndarray:
+    """Each number with the next one, as one of 64 bits; with a zero there is no pair: 0."""
+    first, second = numbers[:-1].astype(np.uint64), numbers[1:].astype(np.uint64)
+    return (first << np.uint64(32) | second) * ((first > 0) & (second > 0))
+
+
+def pair_counts(coded: DataFrame) -> DataFrame:
+    """(pair, n): the occurrences of each pair of neighbouring words of ``sequences`` in numbers."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n)], names=["pair", "n"])
+        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for batch in batches:
+            for data in batch.column(0):
+                new, n = np.unique(_pairs(np.frombuffer(data.as_buffer(), ">u4")), return_counts=True)
+                keys, counts = np.r_[keys, new], np.r_[counts, n]
+                order = np.argsort(keys, kind="stable")
+                keys, counts = keys[order], counts[order]
+                starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+                keys, counts = keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+                if len(keys) > PAIRS_COUNTED:
+                    yield rows(keys, counts)
+                    keys, counts = keys[:0], counts[:0]
+        yield rows(keys, counts)
+
+    return coded.mapInArrow(work, "pair long, n long").where("pair <> 0").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
+def suffixes(coded: DataFrame, width: int, max_words: int = MAX_WORDS, pairs=None) -> DataFrame:
+    """(key, n): the suffixes of two words and more, cut after ``max_words``; equal ones of a slice are one row.
+
+    A zero ends a suffix, and so does a pair of words that is not in ``pairs``, a
+    broadcast sorted array, if that is given.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                words = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, width)
                 if len(words) < 2:
                     continue
-                coded = own.of(lang, words)
-                there = np.r_[coded.any(1), np.zeros(max_words, bool)]
-                at = np.flatnonzero(there[:-1] & there[1:])
-                if not len(at):
+                there = words.any(1)
+                goes_on = there[:-1] & there[1:]  # from a word to the next one
+                if pairs is not None and len(pairs.value):
+                    own = _pairs(words.view(">u4")[:, 0])
+                    at = np.minimum(np.searchsorted(pairs.value, own), len(pairs.value) - 1)
+                    goes_on &= pairs.value[at] == own
+                at = np.flatnonzero(goes_on)
+                if not len(at) or pairs is not None and not len(pairs.value):
                     continue
-                coded = np.concatenate([coded, np.zeros((max_words, own.width), np.uint8)])
-                alive = np.logical_and.accumulate(np.stack([there[at + k] for k in range(max_words)], 1), 1)
-                rows = np.stack([coded[at + k] for k in range(max_words)], 1) * alive[:, :, None]
+                goes_on = np.r_[True, goes_on, np.zeros(max_words, bool)]  # at k: into the word k
+                alive = np.logical_and.accumulate(np.stack([np.ones(len(at), bool), *(goes_on[at + k] for k in range(1, max_words))], 1), 1)
+                words = np.concatenate([words, np.zeros((max_words, width), np.uint8)])
+                rows = np.stack([words[at + k] for k in range(max_words)], 1) * alive[:, :, None]
                 rows, counts = _combined(rows.reshape(len(at), -1), np.ones(len(at), np.int64))
                 yield pa.RecordBatch.from_arrays([_binary(rows), pa.array(counts)], names=["key", "n"])
 
-    return _source(docs).mapInArrow(work, "key binary, n long")
+    return coded.mapInArrow(work, "key binary, n long")
 
 
 class PrefixStack:
@@ -214,7 +263,7 @@ def prefix_counts(suffix_rows: DataFrame, width: int, max_words: int, least: int
     return dealt.mapInArrow(work, "key binary, f long").groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
-def mine_phrases(docs: DataFrame, least: int = LEAST_COUNT, max_words: int = MAX_WORDS, keep: int = KEEP, closed_percent: int = CLOSED_PERCENT, max_numbered: int = MAX_NUMBERED) -> DataFrame:
+def mine_phrases(docs: DataFrame, least: int = LEAST_COUNT, max_words: int = MAX_WORDS, keep: int = KEEP, closed_percent: int = CLOSED_PERCENT, max_numbered: int = MAX_NUMBERED, max_pairs: int = MAX_PAIRS) -> DataFrame:
     """Each language's first ``keep`` phrases: (lang, rank, phrase, a, l, r, n, score), without those that longer ones cover.
 
     A null language counts as ``und``, a null text as empty; a text without
@@ -222,7 +271,8 @@ def mine_phrases(docs: DataFrame, least: int = LEAST_COUNT, max_words: int = MAX
     other columns are not read. Texts may be of any length: nothing is cut, a
     text's words are held at once by the task that has it. Words with fewer
     occurrences than ``least`` are in no candidate and in no part of one, so
-    they end suffixes as long as the others are few enough to be numbered.
+    they end suffixes as long as the others are few enough to be numbered; in
+    the same way rarer pairs of words do.
     Equal scores go by ``a``, then by the phrase's bytes, which are distinct.
     """
     spark = docs.sparkSession
@@ -235,17 +285,24 @@ def mine_phrases(docs: DataFrame, least: int = LEAST_COUNT, max_words: int = MAX
             numbers.setdefault(bytes(x.lang), {})[bytes(x.word)] = k + 1
     own = Codes(numbers)
     codes, width = spark.sparkContext.broadcast(own), own.width
-    rows = save(suffixes(docs, codes, max_words), "suffixes")
+    coded, pairs = save(sequences(docs, codes), "sequences"), None
+    if numbers is not None:
+        common = save(pair_counts(coded).where(F.col("n") >= least).select("pair"), "pairs")
+        if common.limit(max_pairs + 1).count() <= max_pairs:
+            pairs = spark.sparkContext.broadcast(np.sort(common.toPandas()["pair"].to_numpy(np.int64)).astype(np.uint64))
+        drop_saved(common)
+    rows = save(suffixes(coded, width, max_words, pairs), "suffixes")
+    drop_saved(coded)
     before = batches_of(spark, SUFFIX_ROWS)
     phrases = save(prefix_counts(rows, width, max_words, least), "phrases")
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, words, _ = (c.to_pylist() for c in batch.columns)
             keys = [codes.value.of(a, [w]).tobytes() for a, w in zip(langs, words, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=["lang", "word", "f", "key"])
 
-    words = save(frequent.select("lang", "word", "f").mapInArrow(coded, "lang binary, word binary, f long, key binary"), "codes")
+    words = save(frequent.select("lang", "word", "f").mapInArrow(with_code, "lang binary, word binary, f long, key binary"), "codes")
     batches_of(spark, int(before))
     drop_saved(rows)
 
