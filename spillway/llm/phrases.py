@@ -28,7 +28,7 @@ MAX_NUMBERED = 1_000_000
 DIGEST = 16
 NO_LANGUAGE = b"und"
 #: So many frequent pairs of numbered words at most, 8 bytes each, go to every worker; beyond it suffixes end at words alone.
-MAX_PAIRS, PAIRS_COUNTED = 4_000_000, 1_500_000
+MAX_PAIRS, PAIRS_COUNTED, SUFFIXES_HELD = 4_000_000, 1_500_000, 1_000_000
 #: Bytes of text that are worked on at once, words that a count holds, suffixes that reach a worker at once, parts of a language for the first ranking.
 SLICE, COUNTED, SUFFIX_ROWS, PARTS = 1 << 21, 400_000, 20_000, 32
 #: A break between pieces: it is none of the characters that a word may hold.
@@ -111,7 +111,7 @@ def _combined(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
         key ^= key >> np.uint64(29)
     order = np.argsort(key)
     rows, counts = rows[order], counts[order]
-    starts = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(1)])
+    starts = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(1)][: len(rows)])
     return rows[starts], np.add.reduceat(counts, starts)
 
 
@@ -161,13 +161,15 @@ def pair_counts(coded: DataFrame) -> DataFrame:
 
 
 def suffixes(coded: DataFrame, width: int, max_words: int = MAX_WORDS, pairs=None) -> DataFrame:
-    """(key, n): the suffixes of two words and more, cut after ``max_words``; equal ones of a slice are one row.
+    """(key, n): the suffixes of two words and more, cut after ``max_words``; a task gives equal ones as one row, as far as it can hold them.
 
     A zero ends a suffix, and so does a pair of words that is not in ``pairs``, a
     broadcast sorted array, if that is given.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, max_words * width), np.uint8), np.empty(0, np.int64)
+        given = lambda rows, counts: pa.RecordBatch.from_arrays([_binary(rows), pa.array(counts)], names=["key", "n"])
         for batch in batches:
             for data in batch.column(0):
                 words = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, width)
@@ -186,8 +188,11 @@ def suffixes(coded: DataFrame, width: int, max_words: int = MAX_WORDS, pairs=Non
                 alive = np.logical_and.accumulate(np.stack([np.ones(len(at), bool), *(goes_on[at + k] for k in range(1, max_words))], 1), 1)
                 words = np.concatenate([words, np.zeros((max_words, width), np.uint8)])
                 rows = np.stack([words[at + k] for k in range(max_words)], 1) * alive[:, :, None]
-                rows, counts = _combined(rows.reshape(len(at), -1), np.ones(len(at), np.int64))
-                yield pa.RecordBatch.from_arrays([_binary(rows), pa.array(counts)], names=["key", "n"])
+                held = _combined(np.concatenate([held[0], rows.reshape(len(at), -1)]), np.r_[held[1], np.ones(len(at), np.int64)])
+                if len(held[0]) > SUFFIXES_HELD:
+                    yield given(*held)
+                    held = held[0][:0], held[1][:0]
+        yield given(*held)
 
     return coded.mapInArrow(work, "key binary, n long")
 

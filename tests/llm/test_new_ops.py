@@ -148,7 +148,7 @@ def test_search_odd_rows(spark):
 def test_search_rules_out_by_length_and_coordinates():
     """The cosine that a bucket must beat rules it out, or bounds lengths or coordinates; none of it changes results."""
     rng = np.random.default_rng(4)
-    v = np.floor(256 * (np.repeat(rng.normal(size=(30, 8)), 40, axis=0) * np.exp(rng.normal(size=(1200, 1))) + rng.normal(size=(1200, 8)) * 0.01))
+    v = np.floor(256 * (np.repeat(rng.normal(size=(30, 8)), 40, axis=0) * np.repeat(np.exp(rng.normal(size=(300, 1)) * 0.3), 4, axis=0) + rng.normal(size=(1200, 8)) * 0.01))
     lengths = np.linalg.norm(v, axis=1)
     order = np.argsort(-lengths)
     v, lengths = v[order], lengths[order]
