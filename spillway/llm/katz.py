@@ -29,6 +29,8 @@ ORDER = 3
 DISCOUNTED = 5
 #: Least count in the model of n-grams of three words and more.
 CUTOFF = 2
+#: Texts are taken in so many bytes at once, a longer one alone, before a slice's size is looked at.
+BYTES_AT_ONCE = 1 << 19
 #: Slices to a bucket of keys: a task sums about so many slices' keys at once.
 BUCKET = 4
 END, START = np.uint64(1), np.uint64(2)  # what no word's hash is
@@ -219,25 +221,34 @@ class Slice:
         may = self.counts(n)[first] >= least_count(n + 1)
         return keys[may], np.where(np.r_[may, False][place], (np.cumsum(may) - 1)[place], -1)
 
+    def asked(self, n: int) -> np.ndarray:
+        """Whether a weight is asked for each of ``histories``: a token comes after it whose longer n-gram is not in the model."""
+        keys, place = self.histories(n)
+        out, place = np.zeros(len(keys), bool), place[self.before]
+        out[place[(place >= 0) & (self.counts(n + 1) < least_count(n + 1))]] = True
+        return out
+
     def left(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """What ``sum_by_key`` gets of each n-gram as a history: of the longer ones that this slice is the first to have, the sums of their discounted counts and of their probabilities without the first word; its count."""
+        """What ``sum_by_key`` gets of each n-gram as a history: of the longer ones that this slice is the first to have, the sums of their discounted counts and of their probabilities without the first word; its count twice, and one more if the slice asks for its weight."""
         keys, place = self.histories(n)
         _, _, first = self.grams(n + 1)
         counts, owned = sums_of(self.row[f"c{n + 1}"], 2)
         at = np.flatnonzero((owned > 0) & (counts >= least_count(n + 1)))
         history, first = place[self.before[first[at]]], first[at]
         sums = [np.bincount(history, weights=x, minlength=len(keys)) for x in (self.model.discounted(n + 1, counts[at]), self.probability(n)[first])]
-        sums[1] = sums[1].astype(np.float32)  # in half the bytes; a weight is right to seven digits
         many = np.zeros(len(keys))
         many[place[place >= 0]] = self.counts(n)[place >= 0]
-        return keys, np.array([*sums, many])
+        return keys, np.array([*sums, 2 * many + self.asked(n)])
 
     def probability(self, n: int) -> np.ndarray:
         """Of each token after the n - 1 before it: discounted if the n-gram is in the model, else the history's weight times that after one word less."""
         counts = self.counts(n)
         if n == 1:
             return self.model.word(counts)
-        weight = np.r_[sums_of(self.row[f"h{n - 1}"], 1)[0], 1][self.histories(n - 1)[1][self.before]]
+        known, place = self.asked(n - 1), self.histories(n - 1)[1]
+        weights = np.ones(len(known) + 1)
+        weights[:-1][known] = sums_of(self.row[f"h{n - 1}"], 1)[0]
+        weight = weights[place[self.before]]
         below = np.maximum(self.counts(n - 1)[self.before], 1) + (weight < 0)
         return np.where(counts >= least_count(n), self.model.discounted(n, counts) / below, np.abs(weight) * self.probability(n - 1))
 
@@ -273,8 +284,10 @@ def slices(docs: DataFrame, tokens: int = TOKENS, modulus: int = 7, held: int =
             return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k else pa.int64()) for k, c in enumerate(row)], names=["slice", "ids", "no_id", "held", "ends", "words", "codes"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = batch.slice(at, 1000)
+            reached = np.cumsum(pc.binary_length(batch.column(1)).to_numpy()) // BYTES_AT_ONCE
+            starts = [0, *(np.flatnonzero(np.diff(reached)) + 1).tolist()] if batch.num_rows else []
+            for at, after in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                rows = batch.slice(at, after - at)
                 words, counts = split_words(rows.column(1))
                 ids = rows.column(0)
                 waiting.append((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype("u1"), rows.column(2).to_numpy(zero_copy_only=False).astype("u1"), counts, words))
@@ -300,8 +313,10 @@ def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarra
     in buckets of slice) and totals (counts: how many keys have the first sum 1,
     2, ..., how many more than 0, and the sum of all). A table of the keys whose
     sums ``keep`` takes stays as a part of the model (bucket, data: keys, more: sums).
-    With ``finish`` the last value is not summed: the largest is taken, and what
-    ``finish`` makes of all takes the place of the sums and of the further number.
+    With ``finish`` the last value is not summed: the largest of its
+    halves is taken, and what ``finish`` makes of all takes the place of the sums and of the
+    further number; a slice gets answers for those of its keys whose last value is
+    odd.
     """
     bits = max(1, int(np.ceil(np.log2(max(buckets, 1)))))
     columns = df.columns
@@ -324,18 +339,20 @@ def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarra
         def out(rows: list[tuple]) -> pa.RecordBatch:
             own = [unpack_keys(r[2]) for r in rows]
             values = np.concatenate([unpack_numbers(r[3], width) for r in rows], axis=1)
+            asked = values[-1] % 2 > 0 if finish else np.ones(values.shape[1], bool)
             keys, place, order, starts = distinct(np.concatenate(own))
             values = values[:, order]
             sums = np.add.reduceat(values, starts, axis=1)
             if finish:
-                sums[-1] = np.maximum.reduceat(values[-1], starts)
+                sums[-1] = np.maximum.reduceat(values[-1] // 2, starts)
             stored = keep(sums)
             sums = finish(sums) if finish else sums
             owned = np.zeros((0 if finish else 1, len(place)))
             owned[:, order[starts]] = 1
             bucket, at, made = rows[0][0], 0, []
             for r, n in zip(rows, map(len, own), strict=True):
-                made.append(("answer", bucket, r[1], pack_numbers(np.concatenate([sums[:, place[at : at + n]], owned[:, at : at + n]])), None, None))
+                some = at + np.flatnonzero(asked[at : at + n])
+                made.append(("answer", bucket, r[1], pack_numbers(np.concatenate([sums[:, place[some]], owned[:, some]])), None, None))
                 at += n
             made.append(("table", bucket, None, pack_keys(keys[stored]), pack_numbers(sums[:, stored]), None))
             if not finish:
@@ -437,13 +454,14 @@ def backoff(sums: np.ndarray) -> np.ndarray:
     Rows of ``sums``: of all that follows it in the model, the sum of discounted
     counts and that of the probabilities after one word less; how often it came. A
     history whose counts leave nothing gets one more observation, which goes to
-    the unseen; its weight is stored below zero.
+    the unseen; its weight is stored below zero. All are doubles: a weight is
+    right to about 1e-16 over the share of the unseen.
     """
     held, seen, history = sums
     left = history - held
     none = left <= 1e-9 * np.maximum(history, 1)
-    weight = np.where(none, -1, left) / (np.maximum(history, 1) + none) / np.maximum(1 - seen, 1e-30)
-    return np.where(history > 0, weight, 1)[None].astype(np.float32)
+    weight = np.where(none, -1, left) / (np.maximum(history, 1) + none) / np.maximum(1 - seen, np.finfo(float).eps)
+    return np.where(history > 0, weight, 1)[None]
 
 
 def score(docs: DataFrame, modulus: int = 7, held: int = 2, tokens: int = TOKENS, order: int = ORDER) -> DataFrame:

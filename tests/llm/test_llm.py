@@ -2,7 +2,9 @@
 
 import collections
 import functools
+import glob
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -111,6 +113,65 @@ def test_katz(spark, docs, none):
     assert [r["score"] for r in katz.score(spark.createDataFrame([(0, "a b")], "doc_id long, text string"), modulus=1, held=0).collect()] == [0.0]
 
 
+@pytest.mark.parametrize("n", [10**6, 5 * 10**7, 10**10])
+def test_katz_weight_after_a_fixed_pair(n):
+    """A history seen twice, always before a word that after one word less comes n times of n + 1."""
+    seen = n / (n + 1)
+    weight = katz.backoff(np.array([[2.0], [seen], [2.0]]))[0, 0]
+    assert abs(weight) == pytest.approx((n + 1) / 3, rel=1e-16 * n + 1e-9) and weight < 0
+
+
+def test_katz_adds_up_over_its_own_tables(spark):
+    """The probabilities after every history, from the model's stored tables alone, add up to 1."""
+    rng = random.Random(4)
+    words = [f"w{int(k**2 / 60)}" for k in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 60))) for _ in range(150)]
+    katz.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), tokens=500)
+    top = f"{common.work_dir(spark)}/spillway"
+    newest = lambda name: spark.read.parquet(max(glob.glob(f"{top}/{name}-*"), key=os.path.getmtime)).where("kind = 'table'").select("data", "more").collect()
+
+    def stored(name, width):
+        out = {}
+        for r in newest(name):
+            out.update(zip(katz.unpack_keys(r["data"]).tolist(), katz.unpack_numbers(r["more"], width).T.tolist(), strict=True))
+        return out
+
+    counts, weights = {n: stored(f"grams{n}", 1) for n in (1, 2, 3)}, {n: stored(f"histories{n}", 1) for n in (1, 2)}
+    trained = [x for k, x in enumerate(texts) if zlib.crc32(str(k).encode()) % 7 != 2]
+    model = katz.Katz(len(trained))
+    for n in (1, 2, 3):
+        own = np.array([x[0] for x in counts[n].values()])
+        model.learn(n, np.r_[[(own == r).sum() for r in range(1, 7)], (own > 0).sum(), own.sum()].astype(float))
+    vocabulary = np.array(sorted(counts[1]), np.uint64)
+
+    def after(history, count, n):
+        """Probabilities of all words, and of one not known, after a history of n - 1 words."""
+        if n == 1:
+            return np.r_[model.word(np.array([counts[1][w][0] for w in vocabulary.tolist()])), model.unknown]
+        below = after(history[1:], counts[n - 2][key(history[1:])][0] if n > 2 else 0, n - 1)
+        own = weights[n - 1].get(key(history))
+        if own is None:
+            return below
+        weight = own[0]
+        out = abs(weight) * below
+        for k, w in enumerate(vocabulary.tolist()):
+            c = counts[n].get(int(katz.extend(np.array([key(history)], np.uint64), np.array([w], np.uint64))[0]))
+            if c:
+                out[k] = model.discounted(n, np.array(c))[0] / (count + (weight < 0))
+        return out
+
+    def key(words):
+        keys = np.array([words[0]], np.uint64)
+        for w in words[1:]:
+            keys = katz.extend(keys, np.array([w], np.uint64))
+        return int(keys[0])
+
+    histories = [(w,) for w in vocabulary.tolist()] + [(w, v) for w in vocabulary.tolist()[:12] for v in vocabulary.tolist()[:12] if key((w, v)) in counts[2]]
+    for h in histories:
+        assert after(h, counts[len(h)][key(h)][0], len(h) + 1).sum() == pytest.approx(1, abs=1e-9)
+    assert len(histories) > 60
+
+
 def test_substring(spark, docs, none):
     rng = random.Random(5)
     words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n)]
