@@ -147,7 +147,12 @@ def assemble(packets: DataFrame, idle: float = IDLE, active: float = ACTIVE, tra
     acks = rows.where(tcp & flag(ACK)).join(answered, key).where(order > F.col("_synack")).groupBy(*key).agg(F.min("_t").alias("_ack"))
     flows = flows.join(acks, key, "left")
 
-    forward = F.col("_first._d") == 0
+    return _state_ttl(trailing_counts(described(flows.withColumn("_synack_t", F.col("_synack._t"))), trailing)).drop("_start", "flow")
+
+
+def described(flows: DataFrame) -> DataFrame:
+    """Endpoints and features of flows from what was counted of each side: side 0 sent the first packet where ``_first._d`` is 0."""
+    tcp, forward = F.col("proto") == "tcp", F.col("_first._d") == 0
     side = lambda name: (F.when(forward, F.col(f"{name}0")).otherwise(F.col(f"{name}1")), F.when(forward, F.col(f"{name}1")).otherwise(F.col(f"{name}0")))
     (spkts, dpkts), (sbytes, dbytes), (shead, dhead), (sgap, dgap), (sjit, djit) = (side(x) for x in ("n", "bytes", "head", "gap", "jitter"))
     dur = (F.col("_end") - F.col("_start")) / 1e6
@@ -155,7 +160,7 @@ def assemble(packets: DataFrame, idle: float = IDLE, active: float = ACTIVE, tra
     both = (F.col("n0") > 0) & (F.col("n1") > 0)
     state = F.when(tcp & (F.col("_flags").bitwiseAND(RST) > 0), "RST").when(tcp & (F.col("_flags").bitwiseAND(FIN) > 0), "FIN").when(both, "CON").otherwise("INT")
     half = lambda to, since: F.coalesce(F.greatest((to - since) / 1e6, F.lit(0.0)), F.lit(0.0))
-    synack, ackdat = half(F.col("_synack._t"), F.col("_syn")), half(F.col("_ack"), F.col("_synack._t"))
+    synack, ackdat = half(F.col("_synack_t"), F.col("_syn")), half(F.col("_ack"), F.col("_synack_t"))
     zero = lambda c, n: F.coalesce(c[n], F.lit(0))
     columns = {
         "start": F.col("_first.ts"), "dur": dur, "service": F.lit("-"), "state": state, "spkts": spkts, "dpkts": dpkts, "sbytes": sbytes, "dbytes": dbytes, "rate": per(spkts + dpkts),
@@ -164,8 +169,7 @@ def assemble(packets: DataFrame, idle: float = IDLE, active: float = ACTIVE, tra
         "is_sm_ips_ports": ((F.col("_first.src") == F.col("_first.dst")) & (F.col("_first.sport") == F.col("_first.dport"))).cast("int"),
     }
     ends = [F.col(f"_first.{c}").alias(c) for c in ("src", "sport", "dst", "dport")]
-    found = flows.select(*ends, "proto", "_start", "flow", *[c.alias(k) for k, c in columns.items()], *[F.lit(0).alias(c) for c in ZERO])
-    return _state_ttl(trailing_counts(found, trailing)).drop("_start", "flow")
+    return flows.select(*ends, "proto", "_start", "flow", *[c.alias(k) for k, c in columns.items()], *[F.lit(0).alias(c) for c in ZERO])
 
 
 def trailing_counts(flows: DataFrame, most: int = TRAILING) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spillway.plans import alerts, detection, evaluation, fields, models, statistics  # noqa: F401 - add their queries
+from spillway.plans import alerts, detection, evaluation, fields, models, statistics, traffic  # noqa: F401 - add their queries
 from spillway.plans.queries import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "w5_incident_sessions"

@@ -222,3 +222,30 @@ def test_assembly_of_odd_packets(spark):
     odd = df.limit(1).selectExpr("* except (ts, row)", "-1L AS row", "CAST(null AS timestamp) AS ts").unionByName(df.limit(1).selectExpr("* except (src, row)", "-2L AS row", "CAST(null AS string) AS src"))
     assert flows.assemble(df.unionByName(odd)).count() == len(loop(rows))
     assert flows.assemble(df.limit(0)).count() == 0
+
+
+def test_stream_equals_the_loop(spark, tmp_path):
+    """Packets out of order within and across batches, a flow that never ends, and pairs that go quiet."""
+    from spillway.streaming import assembly
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = random.Random(12)
+    rows = packets_of(rng, 400, 0.4)
+    rows.sort(key=lambda r: r["t"] + rng.randrange(8_000_000))
+    late = max(r["t"] for r in rows) + 10**10
+    last = rows[0] | {"src": "10.9.9.9", "dst": "10.9.9.8", "t": late, "row": 10**6}
+    parts = [rows[k : k + 80] for k in range(0, 400, 80)] + [[last], [last | {"t": late + 1000, "row": 10**6 + 1}]]
+    for k, part in enumerate(parts):
+        frame_of(spark, part).coalesce(1).write.parquet(str(tmp_path / "made"), mode="overwrite")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "in" / f"{k}.parquet")
+    stream = spark.readStream.schema(COLUMNS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = assembly.assemble_stream(stream).writeStream.format("memory").queryName("assembled").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    assert not q.isActive and q.exception() is None
+    want = [features(f) for f in loop(rows)]
+    mine = [r.asDict() | {"_t": r.us} for r in spark.table("assembled").withColumn("us", flows.F.unix_micros("start")).collect()]
+    by = lambda f: (f["_t"], f["src"], f["sport"], f["dst"], f["dport"], f["proto"], f["spkts"], f["dpkts"], f["sbytes"])
+    assert len(mine) == len(want)
+    for a, b in zip(sorted(mine, key=by), sorted(want, key=by), strict=True):
+        assert all(math.isclose(a[c], b[c], rel_tol=1e-9, abs_tol=1e-9) if isinstance(b[c], float) else a[c] == b[c] for c in b), (a, b)
