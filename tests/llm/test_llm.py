@@ -321,22 +321,13 @@ def test_near_duplicates(spark, docs, none):
     base = [rng.getrandbits(64) for _ in range(40)]
     fps = sorted({b ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for b in base for _ in range(60)})
     frame = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
+    near = [(i, j) for i, a in enumerate(fps) for j, b in enumerate(fps[:i]) if (a ^ b).bit_count() <= 2]
+    truth = roots_of(len(fps), near)
+    place = {f: k for k, f in enumerate(fps)}
     for groups, tile in ((3, 20_000), (4, 50), (3, 7)):
-        label = {f: f for f in fps}
-
-        def root(x):
-            while label[x] != x:  # noqa: B023
-                x = label[x]  # noqa: B023
-            return x
-
-        for r in neardup.links(frame, 2, groups, tile).collect():
-            a, b = r["a"] & (1 << 64) - 1, r["b"] & (1 << 64) - 1
-            assert (a ^ b).bit_count() <= 2 or root(a) is not None
-            label[root(a)] = root(b)
-        for a in fps:
-            for b in fps:
-                if (a ^ b).bit_count() <= 2:
-                    assert root(a) == root(b)
+        links = [(place[r["a"] & (1 << 64) - 1], place[r["b"] & (1 << 64) - 1]) for r in neardup.links(frame, 2, groups, tile).collect()]
+        assert all(truth[a] == truth[b] for a, b in links)  # a link joins only what is linked
+        assert roots_of(len(fps), links) == truth  # and together they join all of it
 
 
 def roots_of(n, pairs):
