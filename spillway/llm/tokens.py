@@ -129,7 +129,9 @@ class WordEncoder:
             codes = np.insert(codes, ends, len(lists[0]) + len(whole))
             ends = ends + np.arange(1, len(ends) + 1)
         found = pa.concat_arrays(lists).take(pa.array(codes))
-        return found.flatten().to_numpy(), found.offsets.to_numpy()[ends]
+        out = found.flatten().to_numpy(), found.offsets.to_numpy()[ends]
+        pa.default_memory_pool().release_unused()  # Arrow keeps what it has freed, and workers outlive their tasks
+        return out
 
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
