@@ -12,8 +12,9 @@ from dataclasses import dataclass, replace
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, RobustScaler, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, RobustScaler, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -110,6 +111,18 @@ class Mahalanobis:
         return sum((off[i] * off[j] * p for i, row in enumerate(self.precision) for j, p in enumerate(row)), F.lit(0.0))
 
 
+    def refitted(self, benign: DataFrame) -> Mahalanobis:
+        return Mahalanobis.fit(benign, self.columns)
+
+
+def fit_families(attacks: DataFrame, family: str) -> PipelineModel:
+    """A classifier over ``features`` that names the family of an attack; rows without a name teach nothing. Names keep their order by themselves."""
+    named = attacks.where(F.col(family).isNotNull()).withColumn("_family", F.col(family).cast("string")).select("_family", "features")
+    index = StringIndexer(inputCol="_family", outputCol="_index", stringOrderType="alphabetAsc").fit(named)
+    head = RandomForestClassifier(featuresCol="features", labelCol="_index", predictionCol="_family_at", probabilityCol="_family_p", rawPredictionCol="_family_raw", numTrees=40, maxDepth=8, seed=7).fit(index.transform(named))
+    return PipelineModel(stages=[head, IndexToString(inputCol="_family_at", outputCol="family_name", labels=index.labels)])
+
+
 def benign_threshold(reference: DataFrame, score: str, budget: float) -> float:
     """The linearly interpolated quantile at 1 - budget; just above it if ties there would spend too much."""
     at = metrics.quantiles(reference, [score], [1 - budget])[score][0]
@@ -121,29 +134,41 @@ def benign_threshold(reference: DataFrame, score: str, budget: float) -> float:
 
 @dataclass
 class Detector:
-    """Heads, thresholds on held-out benign rows, and conformal cuts by class."""
+    """Heads, thresholds on held-out benign rows, and conformal cuts by class; ``novelty`` is a Mahalanobis distance or an ensemble of three scores."""
 
     before: Preprocessor
     head: object
-    novelty: Mahalanobis
+    novelty: object
     p_at: float
     novelty_at: float
     cuts: tuple[float, float]
+    families: PipelineModel | None = None
 
     @classmethod
-    def fit(cls, df: DataFrame, label: str, row: str, numeric: list[str], categorical: list[str] = [], kind: str = "forest", budget: float = 0.01, alpha: float = 0.1, held: float = 0.3) -> Detector:  # noqa: B006
-        """Fit on a stratified share of ``df`` (rows told apart by ``row``), thresholds on the rest."""
+    def fit(cls, df: DataFrame, label: str, row: str, numeric: list[str], categorical: list[str] = [], kind: str = "forest", budget: float = 0.01, alpha: float = 0.1, held: float = 0.3, family: str | None = None, ensemble: bool = False) -> Detector:  # noqa: B006
+        """Fit on a stratified share of ``df`` (rows told apart by ``row``), thresholds on the rest; with ``family``, a column, attacks are named too."""
         dealt = splits.first_of_each(df, label, intervals.uniform(F.col(row), F.lit("fit")), row, F.bround(F.col("n") * held), "_held")
         train, rest = dealt.where("not _held").drop("_held"), dealt.where("_held").drop("_held")
         before = Preprocessor.fit(train, numeric, categorical)
         head = fit_head(before.transform(train), label, kind)
-        novelty = Mahalanobis.fit(train.where(F.col(label) == 0), numeric)
-        made = cls(before, head, novelty, 1.0, math.inf, (1.0, 1.0))
+        benign = train.where(F.col(label) == 0)
+        if ensemble:
+            from spillway.models.novelty import Ensemble
+
+            novelty = Ensemble.fit(benign, numeric, row).calibrated_on(rest.where(F.col(label) == 0))
+        else:
+            novelty = Mahalanobis.fit(benign, numeric)
+        families = fit_families(before.transform(train.where(F.col(label) == 1)), family) if family else None
+        made = cls(before, head, novelty, 1.0, math.inf, (1.0, 1.0), families)
         return made.rethresholded(rest, label, budget, alpha)
 
     def scores(self, df: DataFrame) -> DataFrame:
-        """``df`` with p_attack and novelty."""
-        return attack_probability(self.head, self.before.transform(df), "p_attack").drop("features").withColumn("novelty", self.novelty.score())
+        """``df`` with p_attack, novelty and, of a detector that names families, ``family_name``; an ensemble adds its scores and their agreement."""
+        scored = attack_probability(self.head, self.before.transform(df), "p_attack")
+        if self.families:
+            scored = self.families.transform(scored).drop("_family_at", "_family_p", "_family_raw")
+        scored = scored.drop("features")
+        return scored.withColumn("novelty", self.novelty.score()) if isinstance(self.novelty, Mahalanobis) else self.novelty.score(scored)
 
     def rethresholded(self, recent: DataFrame, label: str, budget: float = 0.01, alpha: float = 0.1) -> Detector:
         """The same heads with thresholds and cuts from other labelled rows; two heads share the budget."""
@@ -154,7 +179,7 @@ class Detector:
 
     def rebaselined(self, recent_benign: DataFrame, budget: float = 0.01) -> Detector:
         """Novelty and its threshold learnt anew from benign rows of another place; the classifier stays."""
-        made = replace(self, novelty=Mahalanobis.fit(recent_benign, self.novelty.columns))
+        made = replace(self, novelty=self.novelty.refitted(recent_benign))
         scored = made.scores(recent_benign)
         each = fields.head_budget(budget, 2)
         return replace(made, p_at=benign_threshold(scored, "p_attack", each), novelty_at=benign_threshold(scored, "novelty", each))
@@ -201,3 +226,31 @@ def permutation_importance(detector: Detector, df: DataFrame, label: str, row: s
         other = order.select((F.col("_at") % n + 1).alias("_at"), F.col(c).alias("_other"))
         out[c] = whole - auc(order.join(other, "_at").withColumn(c, F.col("_other")).select(*df.columns))
     return out
+
+
+def isotonic(scored: DataFrame, label: str, score: str = "p_attack"):
+    """A rising step function from a held-out score to the share of label 1, between whose steps is interpolated.
+
+    Scores are counted first, so that neighbours are pooled over distinct scores
+    with their rows as weights; a null score or label teaches nothing.
+    """
+    by = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).cast("double").alias("features")).agg(F.avg(F.col(label).cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
+    return IsotonicRegression(weightCol="weight").fit(by)
+
+
+def isotonic_calibrated(model, df: DataFrame, score: str = "p_attack", out: str = "calibrated") -> DataFrame:
+    """``df`` with ``out``; beyond the scores that were learnt from it stays what it is at their ends."""
+    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    made = model.setFeaturesCol("_score").setPredictionCol("_calibrated").transform(df.select(kept, F.col(score).cast("double").alias("_score")))
+    return made.select("_row.*", F.col("_calibrated").alias(out))
+
+
+def compared_calibrations(held: DataFrame, test: DataFrame, label: str, score: str = "p_attack", bins: int = 10) -> DataFrame:
+    """(method, brier, ece, mce) on ``test`` (no nulls) of the score itself and of both calibrations learnt from ``held``."""
+    held = held.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    model, (slope, offset) = isotonic(held, label, score), calibrate(held, label, score)
+    made = isotonic_calibrated(model, test.withColumn("_platt", calibrated(F.col(score), slope, offset)), score, "_isotonic")
+    every = F.explode(F.array(*[F.struct(F.lit(name).alias("method"), F.col(c).alias("p")) for name, c in (("uncalibrated", score), ("isotonic", "_isotonic"), ("sigmoid", "_platt"))]))
+    rows = made.select(F.col(label).cast("double").alias("y"), every.alias("m")).select("y", "m.*").withColumn("bin", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)))
+    cells = rows.groupBy("method", "bin").agg(F.count("*").alias("n"), F.abs(F.avg("p") - F.avg("y")).alias("gap"), F.sum((F.col("p") - F.col("y")) ** 2).alias("squares"))
+    return cells.groupBy("method").agg((F.sum("squares") / F.sum("n")).alias("brier"), (F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"), F.max("gap").alias("mce"))

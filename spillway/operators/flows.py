@@ -9,11 +9,10 @@ followed in doubled steps over all cuts that could be.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spillway.operators.blocks import next_after, numbered, saved, with_previous
 from spillway.operators.ordered import running_sums
 
 IDLE, ACTIVE, TRAILING = 120.0, 600.0, 100
@@ -25,14 +24,6 @@ PAIR = ["_a", "_b", "proto"]
 COUNTED = {"ct_srv_src": ["src", "proto"], "ct_srv_dst": ["dst", "proto"], "ct_dst_ltm": ["dst"], "ct_src_ltm": ["src"], "ct_src_dport_ltm": ["src", "dport"], "ct_dst_sport_ltm": ["dst", "sport"], "ct_dst_src_ltm": ["src", "dst"]}
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` cut off from what made it: written to the folder of ``spark.checkpoint.dir`` or, where that is unset, to the warehouse."""
-    spark = df.sparkSession
-    path = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/flows-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def endpoints(packets: DataFrame) -> DataFrame:
     """``packets`` with the pair of endpoints in one order (``_a``, ``_b``), the direction ``_d`` (0: from ``_a``) and ``_t`` in microseconds."""
     own, other = F.struct(F.col("src").alias("ip"), F.col("sport").alias("port")), F.struct(F.col("dst").alias("ip"), F.col("dport").alias("port"))
@@ -40,44 +31,6 @@ def endpoints(packets: DataFrame) -> DataFrame:
     return known.withColumns({"_a": F.least(own, other), "_b": F.greatest(own, other), "_d": (own > other).cast("int"), "_t": F.unix_micros(F.col("ts").cast("timestamp"))})
 
 
-def _before(keys: list[str], block: str, by: list[str]) -> tuple:
-    return Window.partitionBy(*keys, block).orderBy(*by), Window.partitionBy(*keys).orderBy(block)
-
-
-def with_previous(rows: DataFrame, keys: list[str], value: Column, width: int, out: str) -> DataFrame:
-    """Add ``out``: ``value`` (not null) of the row before in order of (_t, row), by blocks of ``width`` microseconds; null for the first row of ``keys``."""
-    inside, across = _before(keys, "_block", ["_t", "row"])
-    rows = rows.withColumn("_block", F.floor(F.col("_t") / width)).withColumn("_v", value)
-    ends = rows.groupBy(*keys, "_block").agg(F.max_by("_v", F.struct("_t", "row")).alias("_end"))
-    ends = ends.select(*keys, "_block", F.lag("_end").over(across).alias("_carried"))
-    found = rows.withColumn("_lag", F.lag("_v").over(inside)).join(ends, [*keys, "_block"])
-    return found.withColumn(out, F.coalesce("_lag", "_carried")).drop("_lag", "_carried", "_v", "_block")
-
-
-def numbered(rows: DataFrame, keys: list[str], flag: str, width: int, out: str) -> DataFrame:
-    """Add ``out``: how many rows of ``keys`` up to each, itself included, have ``flag`` (0 or 1), by blocks of ``width`` microseconds."""
-    inside, across = _before(keys, "_block", ["_t", "row"])
-    rows = rows.withColumn("_block", F.floor(F.col("_t") / width))
-    sums = rows.groupBy(*keys, "_block").agg(F.sum(flag).alias("_sum"))
-    sums = sums.select(*keys, "_block", F.coalesce(F.sum("_sum").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_upto"))
-    found = rows.withColumn("_in", F.sum(flag).over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(sums, [*keys, "_block"])
-    return found.withColumn(out, F.col("_in") + F.col("_upto")).drop("_in", "_upto", "_block")
-
-
-def next_after(rows: DataFrame, keys: list[str], delta: int) -> DataFrame:
-    """(keys, row, next): the first row whose _t is over ``delta`` more than each row's; rows without one are left out."""
-    points = rows.select(*keys, "row", "_t", F.lit(0).alias("_probe"), F.col("row").alias("_place"))
-    probes = rows.select(*keys, "row", (F.col("_t") + delta).alias("_t"), F.lit(1).alias("_probe"), F.lit(None).cast("long").alias("_place"))
-    both = points.unionByName(probes).withColumn("_block", F.floor(F.col("_t") / delta))
-    later = Window.partitionBy(*keys, "_block").orderBy("_t", "_probe", "row").rowsBetween(1, Window.unboundedFollowing)
-    firsts = points.groupBy(*keys, F.floor(F.col("_t") / delta).alias("_block")).agg(F.min(F.struct("_t", "row")).alias("_first"))
-    blocks = both.select(*keys, "_block").distinct().join(firsts, [*keys, "_block"], "left")
-    after = Window.partitionBy(*keys).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
-    blocks = blocks.select(*keys, "_block", F.first(F.col("_first")["row"], True).over(after).alias("_next_block"))
-    near = both.withColumn("_near", F.first("_place", True).over(later)).where("_probe = 1")
-    return near.join(blocks, [*keys, "_block"]).select(*keys, "row", F.coalesce("_near", "_next_block").alias("next")).where("next IS NOT NULL")
-
-
 def active_cuts(runs: DataFrame, active: int) -> DataFrame:
     """(row): the rows at which the active limit begins a new flow, of runs (``_run``, with _t and row) that no other limit cuts.
 

@@ -71,3 +71,13 @@ def detector_scores(spark, d):
     rows = flows(spark, d)
     made = detector.Detector.fit(rows, "y", "row_id", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_linestatus"], "logistic", budget=0.05)
     return made.score(rows).groupBy("y", "fired", "abstains").agg(F.count("*").alias("n"))
+
+
+@query("m12_isotonic", f"""WITH {FLOWS}, c AS (SELECT p, avg(y) AS m, count(*) AS n, row_number() OVER (ORDER BY p) AS i FROM flows WHERE row_id % 3 = 0 GROUP BY p), u AS (SELECT p, i, sum(m * n) OVER (ORDER BY i) AS s, sum(n) OVER (ORDER BY i) AS w, m * n AS own, n FROM c),
+ ab AS (SELECT a.i AS a, b.i AS b, (b.s - a.s + a.own) / (b.w - a.w + a.n) AS m FROM u a JOIN u b ON b.i >= a.i), least_of AS (SELECT a, b, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM ab), fit AS (SELECT b AS i, max(m) AS q FROM least_of GROUP BY b)
+ SELECT p, round(q, 9) AS calibrated, n FROM fit JOIN u USING (i)""")
+def isotonic_scores(spark, d):
+    """The calibrated value of each score that was learnt from."""
+    rows = flows(spark, d).where("row_id % 3 = 0")
+    by = rows.groupBy("p").agg(F.count("*").alias("n"))
+    return detector.isotonic_calibrated(detector.isotonic(rows, "y", "p"), by, "p").select("p", F.round("calibrated", 9).alias("calibrated"), "n")

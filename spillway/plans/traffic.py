@@ -1,10 +1,10 @@
-"""Flow assembly over packets that the events stand for, with its SQL for DuckDB."""
+"""Flows, their surroundings, and search over the test tables, each with its SQL for DuckDB."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spillway.operators import flows
+from spillway.operators import flows, retrieval, trailing
 from spillway.plans.queries import query, read
 
 IDLE_S, ACTIVE_S = 3600.0, 7200.0
@@ -52,3 +52,37 @@ def flow_context(spark, d):
     user = F.when(F.col("src") == "10.0.1.1", F.col("dst")).otherwise(F.col("src"))
     rows = packets(spark, d).select(F.col("row").alias("r"), user.alias("src"), "proto", F.lit("").alias("dst"), F.lit(0).alias("sport"), F.lit(0).alias("dport"), F.col("row").alias("_start"), F.lit(0).alias("flow"))
     return flows.trailing_counts(rows).select("r", F.col("ct_srv_src").alias("same_service"), F.col("ct_src_ltm").alias("same_user"))
+
+
+@query("w1_trailing_distinct", """WITH e AS (SELECT event_id AS r, epoch_us(ts) AS t, user_id AS s, event_type AS k, CAST(floor(value) AS BIGINT) % 7 AS p FROM events),
+ a AS (SELECT x.r, count(*) AS n, count(DISTINCT y.k) AS dk, count(DISTINCT y.p) AS dp FROM e x JOIN e y ON y.s = x.s AND y.t >= x.t - 21600000000 AND (y.t, y.r) < (x.t, x.r) GROUP BY 1),
+ b AS (SELECT x.r, count(*) AS n, count(DISTINCT y.s) AS ds FROM e x JOIN e y ON y.k = x.k AND y.t >= x.t - 21600000000 AND (y.t, y.r) < (x.t, x.r) GROUP BY 1),
+ c AS (SELECT x.r, count(*) AS n FROM e x JOIN e y ON y.s = x.s AND y.k = x.k AND y.t >= x.t - 21600000000 AND (y.t, y.r) < (x.t, x.r) GROUP BY 1)
+ SELECT e.r AS event_id, coalesce(a.n, 0) AS src_flows, coalesce(a.dk, 0) AS src_distinct_dst, coalesce(a.dp, 0) AS src_distinct_port, coalesce(b.n, 0) AS dst_flows, coalesce(b.ds, 0) AS dst_distinct_src, coalesce(c.n, 0) AS pair_flows FROM e LEFT JOIN a USING (r) LEFT JOIN b USING (r) LEFT JOIN c USING (r)""")
+def trailing_distinct(spark, d):
+    """Rows and different partners of source, destination and pair over six hours, by interval ends."""
+    e = read(spark, d, "events").select("event_id", "ts", "user_id", "event_type", (F.floor("value") % 7).alias("port"))
+    rows = trailing.trailing_distinct(e, ["user_id"], "ts", "event_id", 21600, {"src_flows": None, "src_distinct_dst": ["event_type"], "src_distinct_port": ["port"]})
+    rows = trailing.trailing_distinct(rows, ["event_type"], "ts", "event_id", 21600, {"dst_flows": None, "dst_distinct_src": ["user_id"]})
+    rows = trailing.trailing_distinct(rows, ["user_id", "event_type"], "ts", "event_id", 21600, {"pair_flows": None})
+    return rows.select("event_id", "src_flows", "src_distinct_dst", "src_distinct_port", "dst_flows", "dst_distinct_src", "pair_flows")
+
+
+POSTINGS = """t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents), n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1), s AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT sum(n) FROM n) / (SELECT count(*) FROM documents) AS mean),
+ f AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY 1, 2), g AS (SELECT w, ln(docs - count(*) + .5) - ln(count(*) + .5) AS idf FROM f, s GROUP BY w, docs), v AS (SELECT w, CASE WHEN idf < 0 THEN .25 * (SELECT avg(idf) FROM g) ELSE idf END AS idf FROM g),
+ q AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark)"""
+
+
+@query("b1_search", f"""WITH {POSTINGS}, m AS (SELECT item_id, w, count(*) AS times FROM q GROUP BY 1, 2), x AS (SELECT item_id, f.doc_id AS id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (.25 + .75 * n / mean))), 9) AS score FROM m JOIN v USING (w) JOIN f USING (w) JOIN n ON n.doc_id = f.doc_id, s GROUP BY 1, 2)
+ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank, id, round(score, 6) AS score FROM x WHERE score > 0 QUALIFY rank <= 3""")
+def search(spark, d):
+    """The three documents that answer each benchmark text best."""
+    index = retrieval.Index.build(read(spark, d, "documents"), "doc_id", "text")
+    return index.search(read(spark, d, "benchmark"), "item_id", "text").withColumn("score", F.round("score", 6))
+
+
+@query("b1_overlap", f"""WITH {POSTINGS}, m AS (SELECT DISTINCT item_id, w FROM q), z AS (SELECT item_id, count(*) AS wanted FROM m GROUP BY 1), x AS (SELECT item_id, doc_id AS id, round(count(*) / any_value(wanted), 9) AS score FROM m JOIN f USING (w) JOIN z USING (item_id) GROUP BY 1, 2)
+ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS rank, id, score FROM x QUALIFY rank <= 3""")
+def search_by_overlap(spark, d):
+    index = retrieval.Index.build(read(spark, d, "documents"), "doc_id", "text")
+    return index.overlap(read(spark, d, "benchmark"), "item_id", "text")
