@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spillway.operators.ordered import running_sums
 
+#: Different values, with their counts, that the driver may put in order.
+FEW = 50_000
+
 
 def confusion(df: DataFrame, label: str, score: str, threshold: float) -> DataFrame:
     hit = F.col(score) >= threshold
@@ -157,13 +163,19 @@ def cheapest_threshold(df: DataFrame, label: str, score: str, miss: float, alarm
 def order_statistics(df: DataFrame, column: str, places) -> list[float | None]:
     """The values at ``places(n)`` (from 0 to n - 1, interpolated linearly) of a column's n values in order; none for no values.
 
-    Values are counted before they are ordered, and only those around a place reach the driver.
+    Values are counted before they are ordered. Up to FEW different ones are put in order by the driver; of more, only those around a place reach it.
     """
     by = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    total = by.agg(F.sum("n")).first()[0] or 0
+    few = by.limit(FEW + 1).collect()
+    total = (sum(r["n"] for r in few) if len(few) <= FEW else by.agg(F.sum("n")).first()[0]) or 0
     if not total:
         return [None] * len(places(1))
     at = places(total)
+    if len(few) <= FEW:
+        few.sort(key=lambda r: (r["v"] != r["v"], r["v"]))  # NaN last
+        values, upto = [r["v"] for r in few], list(accumulate(r["n"] for r in few))
+        value = lambda k: values[bisect_right(upto, min(k, total - 1))]
+        return [value(int(p)) + ((p - int(p)) * (value(int(p) + 1) - value(int(p))) if p > int(p) else 0.0) for p in at]
     wanted = sorted({min(int(p) + k, total - 1) for p in at for k in (0, 1)})
     covers = F.exists(F.lit(wanted), lambda k: (k >= F.col("upto") - F.col("n")) & (k < F.col("upto")))
     rows = sorted((r["upto"], r["v"]) for r in running_sums(by, "v", {"upto": "n"}).where(covers).select("upto", "v").collect())  # two for each place at most

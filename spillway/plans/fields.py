@@ -17,8 +17,9 @@ def raw_labels(events):
     return events.select("event_id", raw.alias("raw"))
 
 
-@query("f1_flow_labels", f"""SELECT label, count(*) AS n FROM (SELECT CASE WHEN l = '' THEN 'BENIGN' ELSE l END AS label FROM (SELECT regexp_replace(regexp_replace(regexp_replace(trim(raw),
- '(^\\s*attempted\\s+|\\s*[-–—]?\\s*attempted\\s*$)', '', 'gi'), '[�–—]', '-', 'g'), '\\s+', ' ', 'g') AS l FROM {RAW_LABELS})) GROUP BY 1""")
+@query("f1_flow_labels", f"""WITH a AS (SELECT trim(regexp_replace(translate(raw, '–—', '--'), '\\s+', ' ', 'g')) AS x FROM {RAW_LABELS}), b AS (SELECT CASE WHEN starts_with(lower(x), 'attempted ') THEN substr(x, 11) ELSE x END AS x FROM a),
+ c AS (SELECT CASE WHEN ends_with(lower(x), 'attempted') THEN rtrim(substr(x, 1, length(x) - 9)) END AS cut, x FROM b), d AS (SELECT translate(coalesce(CASE WHEN ends_with(cut, '-') THEN rtrim(substr(cut, 1, length(cut) - 1)) ELSE cut END, x), '\ufffd', '-') AS x FROM c)
+ SELECT CASE WHEN x = '' THEN 'BENIGN' ELSE x END AS label, count(*) AS n FROM d GROUP BY 1""")
 def flow_labels(spark, d):
     return raw_labels(read(spark, d, "events")).groupBy(fields.flow_label(F.col("raw")).alias("label")).agg(F.count("*").alias("n"))
 
