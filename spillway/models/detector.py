@@ -73,13 +73,13 @@ class Preprocessor:
         return out.select("_row.*", "features")
 
 
-def fit_head(df: DataFrame, label: str, kind: str = "forest"):
-    """A classifier over ``features``; classes weigh alike."""
+def fit_head(df: DataFrame, label: str, kind: str = "forest", weighted: bool = True):
+    """A classifier over ``features``; classes weigh alike or, if not ``weighted``, rows do."""
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # a row for each class
     if set(counts) != {0, 1}:
         raise ValueError(f"labels must be 0 and 1, both present: {sorted(counts)}")
     total = sum(counts.values())
-    weight = F.when(F.col(label) == 1, total / (2 * counts[1])).otherwise(total / (2 * counts[0]))
+    weight = F.when(F.col(label) == 1, total / (2 * counts[1])).otherwise(total / (2 * counts[0])) if weighted else F.lit(1.0)
     return KINDS[kind]().setFeaturesCol("features").setLabelCol("_label").setWeightCol("_weight").fit(df.withColumn("_label", F.col(label).cast("double")).withColumn("_weight", weight))
 
 

@@ -15,17 +15,18 @@ def first_of_each(df: DataFrame, group: str, order: Column, row: str, take: Colu
     parts; whole parts are settled by their counts, and only rows of the one part
     where a group's count runs out are put in order.
     """
-    dealt = df.withColumn("_order", order).withColumn("_part", F.least(F.floor(F.col("_order") * PARTS), F.lit(PARTS - 1)))
-    counts = dealt.groupBy(F.col(group).alias("_group"), "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # at most PARTS rows
+    dealt = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(group).alias("_of"), F.col(row).alias("_id"), order.alias("_order"))
+    dealt = dealt.withColumn("_part", F.least(F.floor(F.col("_order") * PARTS), F.lit(PARTS - 1)))
+    counts = dealt.groupBy(F.col("_of").alias("_group"), F.col("_part").alias("_at")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_group").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # at most PARTS rows
     whole = Window.partitionBy("_group")
     counts = counts.withColumns({"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "n": F.sum("_n").over(whole)}).withColumn("_take", take)
-    known = dealt.join(counts, F.col(group).eqNullSafe(F.col("_group")) & (dealt["_part"] == counts["_part"])).drop(counts["_part"])
-    names = [F.col(f"`{c}`") for c in df.columns]
+    known = dealt.join(counts, F.col("_of").eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_at")))
     edge = (F.col("_before") < F.col("_take")) & (F.col("_take") < F.col("_before") + F.col("_n"))
-    clear = known.where(~edge).select(*names, (F.col("_before") + F.col("_n") <= F.col("_take")).alias(out))
-    place = F.row_number().over(Window.partitionBy("_group", "_part").orderBy("_order", row))
-    return clear.unionByName(known.where(edge).select(*names, (F.col("_before") + place <= F.col("_take")).alias(out)))
+    clear = known.where(~edge).select("_row", (F.col("_before") + F.col("_n") <= F.col("_take")).alias("_taken"))
+    place = F.row_number().over(Window.partitionBy("_group", "_part").orderBy("_order", "_id"))
+    found = clear.unionByName(known.where(edge).select("_row", (F.col("_before") + place <= F.col("_take")).alias("_taken")))
+    return found.select("_row.*", F.col("_taken").alias(out))
 
 
 def spaced(n: int, keep: int) -> list[int]:
