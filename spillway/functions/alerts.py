@@ -18,6 +18,18 @@ ACTIONABLE = ("KNOWN_ATTACK", "NOVEL_SUSPICIOUS", "UNCERTAIN")
 SEVERITIES = ("INFORMATIONAL", "LOW", "MEDIUM", "HIGH")
 
 
+#: The version of the normalised network session, the fields that it must have, and what some may hold.
+SESSION_VERSION = "0.2.7"
+SESSION_FIELDS = ("TimeGenerated", "EventCount", "EventStartTime", "EventEndTime", "EventType", "EventResult", "EventProduct", "EventVendor", "EventSchema", "EventSchemaVersion", "Dvc")
+SESSION_VALUES = {
+    "EventType": ("NetworkSession", "L2NetworkSession", "Flow", "EndpointNetworkSession", "IDS"),
+    "EventResult": ("Success", "Partial", "Failure", "NA"),
+    "EventSeverity": ("Informational", "Low", "Medium", "High"),
+    "DvcAction": ("Allow", "Deny", "Drop", "Drop ICMP", "Reset", "Reset Source", "Reset Destination", "Encrypt", "Decrypt", "VPNroute"),
+    "ThreatField": ("SrcIpAddr", "DstIpAddr"),
+}
+
+
 def actionable(verdict: Column) -> Column:
     return verdict.isin(*ACTIONABLE)
 
@@ -88,7 +100,7 @@ def network_session(a: Column) -> Column:
     """The alert as a normalised network session; whole numbers from 0 to 100 are rounded half to even."""
     has = a["src_ip"].isNotNull()
     return F.struct(
-        a["at"].alias("TimeGenerated"), F.lit(1).alias("EventCount"), F.lit("IDS").alias("EventType"), F.lit("Success").alias("EventResult"), F.lit(PRODUCT).alias("EventProduct"), F.lit(VENDOR).alias("EventVendor"), F.lit("NetworkSession").alias("EventSchema"),
+        a["at"].alias("TimeGenerated"), F.lit(1).alias("EventCount"), a["at"].alias("EventStartTime"), a["at"].alias("EventEndTime"), F.lit(SESSION_VERSION).alias("EventSchemaVersion"), F.lit(PRODUCT).alias("Dvc"), F.lit("IDS").alias("EventType"), F.lit("Success").alias("EventResult"), F.lit(PRODUCT).alias("EventProduct"), F.lit(VENDOR).alias("EventVendor"), F.lit("NetworkSession").alias("EventSchema"),
         F.initcap(a["severity"]).alias("EventSeverity"), a["alert_id"].alias("EventUid"), F.lit("Allow").alias("DvcAction"), a["title"].alias("EventMessage"), F.coalesce(a["family"], a["verdict"]).alias("ThreatCategory"),
         F.bround(a["p_attack"] * 100).cast("int").alias("ThreatConfidence"), a["priority"].alias("ThreatRiskLevel"), a["src_ip"].alias("SrcIpAddr"), F.when(has, a["src_ip"]).alias("ThreatIpAddr"), F.when(has, "SrcIpAddr").alias("ThreatField"), a["dst_ip"].alias("DstIpAddr"), a["dst_port"].alias("DstPortNumber"),
         F.to_json(F.struct(a["verdict"].alias("Verdict"), F.bround(a["novelty"], 4).alias("NoveltyPercentile"), a["agreement"].alias("DetectorAgreement"), a["needs_approval"].alias("RequiresAnalystApproval"))).alias("AdditionalFields"),
@@ -96,9 +108,11 @@ def network_session(a: Column) -> Column:
 
 
 def network_session_problems(s: Column) -> Column:
-    required = [F.when(s[f].isNull(), f"missing {f}") for f in ("TimeGenerated", "EventCount", "EventType", "EventResult", "EventSchema", "EventSeverity", "EventUid")]
+    required = [F.when(s[f].isNull(), f"missing {f}") for f in (*SESSION_FIELDS, "EventSeverity", "EventUid")]
     bounded = [F.when(~s[f].between(0, 100), f"{f} out of range") for f in ("ThreatConfidence", "ThreatRiskLevel")]
-    return F.array_compact(F.array(*required, *bounded, F.when(~s["EventSeverity"].isin(*[x.capitalize() for x in SEVERITIES]), "unknown severity"), F.when(s["ThreatIpAddr"].isNotNull() & s["ThreatField"].isNull(), "ThreatField is required")))
+    known = [F.when(~s[f].isin(*values), f"unknown {f}") for f, values in SESSION_VALUES.items()]
+    order = F.when(s["EventEndTime"] < s["EventStartTime"], "ends before it starts")
+    return F.array_compact(F.array(*required, *bounded, *known, order, F.when(s["ThreatIpAddr"].isNotNull() & s["ThreatField"].isNull(), "ThreatField is required")))
 
 
 def detection_finding(a: Column) -> Column:

@@ -39,6 +39,20 @@ def network_sessions(spark, d):
     return rows.select("row_id", s["ThreatConfidence"].alias("confidence"), s["ThreatRiskLevel"].alias("risk"), s["ThreatIpAddr"].alias("threat_ip"), s["ThreatField"].alias("threat_field"), s["ThreatCategory"].alias("category"), F.size(al.network_session_problems(s)).alias("problems"))
 
 
+@query("x3_session_problems", f"""WITH {ALERTS}, x AS (SELECT unnest([CASE WHEN row_id % 11 = 0 THEN 'missing Dvc' END, CASE WHEN row_id % 13 = 0 THEN 'missing EventStartTime' END, CASE WHEN row_id % 7 = 0 THEN 'ThreatConfidence out of range' END, CASE WHEN row_id % 5 = 0 THEN 'unknown EventResult' END,
+ CASE WHEN row_id % 3 = 0 AND row_id % 13 <> 0 THEN 'ends before it starts' END, CASE WHEN row_id % 17 = 0 AND src IS NOT NULL THEN 'ThreatField is required' END]) AS problem FROM alerts) SELECT problem, count(*) AS n FROM x WHERE problem IS NOT NULL GROUP BY 1""")
+def session_problems(spark, d):
+    """What is wrong with sessions some of whose fields were spoilt, by the row's number."""
+    k, own = F.col("a.alert_id"), F.col("s")
+    spoilt = {"Dvc": (11, None), "EventStartTime": (13, None), "ThreatConfidence": (7, 150), "EventResult": (5, "Maybe"), "ThreatField": (17, None)}
+    made = {c: F.when(k % n != 0, own[c]).otherwise(F.lit(value)) for c, (n, value) in spoilt.items()}
+    made["EventEndTime"] = F.when(k % 3 == 0, own["EventEndTime"] - F.expr("interval 1 day")).otherwise(own["EventEndTime"])
+    rows = alerts(spark, d).select("a", al.network_session(F.col("a")).alias("s"))
+    kept = [c for c in rows.schema["s"].dataType.names if c not in made]
+    rows = rows.select(F.struct(*[own[c].alias(c) for c in kept], *[c.alias(n) for n, c in made.items()]).alias("s"))
+    return rows.select(F.explode(al.network_session_problems(F.col("s"))).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
+
+
 @query("x4_detection_findings", f"""WITH {ALERTS} SELECT 200401 AS type_uid, sev AS severity_id, CASE WHEN p < .34 THEN 1 WHEN p < .67 THEN 2 ELSE 3 END AS confidence_id, count(*) AS n, min(epoch_ms(seen_at)) AS first_ms, CAST(0 AS BIGINT) AS problems FROM alerts GROUP BY 2, 3""")
 def detection_findings(spark, d):
     f = F.col("f")

@@ -6,6 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from spillway.models import gates
 from spillway.operators import intervals, metrics, ordered, splits, windows
 from spillway.plans.queries import FLOWS, flows, query, read
 
@@ -101,6 +102,16 @@ def gate(spark, d):
     return both.crossJoin(F.broadcast(fam)).select((F.col("drop") <= 0.02).alias("recall_held"), (F.col("rise") <= 0.01).alias("alarms_held"), "families_held")  # one row each
 
 
+@query("a34_reports", f"""WITH {FLOWS}, f AS (SELECT y, l_linestatus AS fam, d.d AS detector, CASE d.d WHEN 'old' THEN p >= .8 WHEN 'new' THEN p >= .82 ELSE p >= .8 AND l_linestatus = 'F' END AS fired FROM flows, (VALUES ('old'), ('new'), ('half')) d(d)),
+ r AS (SELECT detector, count(*) FILTER (y = 1) AS attacks, avg(CAST(fired AS INT)) FILTER (y = 1) AS recall, avg(CAST(fired AS INT)) FILTER (y = 0) AS alarms, avg(CAST(fired AS INT)) FILTER (y = 1 AND fam = 'O') AS recall_o, avg(CAST(fired AS INT)) FILTER (y = 1 AND fam = 'F') AS recall_f FROM f GROUP BY 1)
+ SELECT r.detector, r.attacks, round(r.recall, 9) AS recall, round(r.alarms, 9) AS alarms, NOT (r.recall < o.recall - .02 OR r.alarms > o.alarms + .01 OR r.recall_o - o.recall_o < -.1 OR r.recall_f - o.recall_f < -.1) AS passes FROM r, r o WHERE o.detector = 'old'""")
+def gate_reports(spark, d):
+    """What three detectors find, and whether each may take the first one's place."""
+    fired = {"old": F.col("p") >= 0.8, "new": F.col("p") >= 0.82, "half": (F.col("p") >= 0.8) & (F.col("l_linestatus") == "F")}
+    found = gates.reports(flows(spark, d), "y", "l_linestatus", fired)
+    return spark.createDataFrame([(n, r.attacks, round(r.recall, 9), round(r.alarms, 9), not gates.gate(found["old"], r)) for n, r in found.items()], "detector string, attacks long, recall double, alarms double, passes boolean")
+
+
 @query("a52_rates_by_population", f"""WITH {FLOWS}, g AS (SELECT l_returnflag AS population, count(*) AS n, count(*) FILTER (p >= .8) AS k, stddev_samp(p) AS spread FROM flows GROUP BY 1) SELECT population, n, k, spread, (k + 1.9207294103470702) / (n + 3.8414588206941404) - 1.959963984540054 / (n + 3.8414588206941404) * sqrt(k * (n - k) / n + 0.9603647051735351) AS low FROM g""")
 def rates_by_population(spark, d):
     by = flows(spark, d).groupBy(F.col("l_returnflag").alias("population")).agg(F.count("*").alias("n"), F.count_if(F.col("p") >= 0.8).alias("k"), F.stddev_samp("p").alias("spread"))
