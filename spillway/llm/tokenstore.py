@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spillway.llm.common import new_path, only, running_total, save, table, text_of, write
+from spillway.llm.common import BATCH_ROWS, batches_of, new_path, only, running_total, save, table, text_of, write
 from spillway.llm.tokens import encoder, in_slices
 
 LEAST, MASK_BITS, MOST, WINDOW = 64, 8, 1024, 32
@@ -87,7 +87,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) ->
         for batch in batches:
             row_ids, doc_ids, texts = (c.to_pylist() for c in batch.columns)
             seen: set[bytes] = set()
-            for a, b in in_slices(texts):
+            for a, b in in_slices(texts, 1 << 23):
                 out: list[tuple] = []
                 ids, ends = encode(texts[a:b], end_id)
                 marks, wide = marked(ids), 4 if ids.max() > 0xFFFF else 2
@@ -122,7 +122,11 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2) ->
     rows = only(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     # one row of each batch carries a chunk's ids, so a chunk that a third of all documents share is dealt out in few copies
     dealt = rows.mapInArrow(chunks, schema).repartition("hash").sortWithinPartitions("hash")
-    write(dealt.mapInArrow(once, schema), f"{path}/objects", "kind")
+    before = batches_of(spark, 2 * BATCH_ROWS)  # more texts at once have fewer different words in all
+    try:
+        write(dealt.mapInArrow(once, schema), f"{path}/objects", "kind")
+    finally:
+        batches_of(spark, int(before))
     raw = spark.read.schema(schema).parquet(f"{path}/objects").where("kind = 'recipe'").select("row", "doc_id", "parts", "sizes", "root")
     ordered = raw.withColumn("n_tokens", F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x))
     ordered = save(ordered.repartitionByRange("doc_id", "row").withColumn("block", F.spark_partition_id()), "recipes")
