@@ -1,27 +1,25 @@
-"""Running sums over all rows in one order, dealt to blocks by value so that no task sorts them all."""
+"""Running sums over all rows in one order, dealt by ranges of value so that no task sorts them all."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: No more blocks than this, however many partitions a shuffle has: each has one row of totals, which are broadcast.
-MOST_BLOCKS = 256
+from spillway.operators.blocks import saved
 
 
 def running_sums(df: DataFrame, key: str, values: dict[str, str], descending: bool = False) -> DataFrame:
     """Add for each (out: column) of ``values`` the column's sum over all rows up to each, itself included, in order of ``key``.
 
-    Keys are numbers, distinct and not null. Blocks lie between quantiles of the keys; a block's rows are
-    sorted in one task and the totals of the blocks before it are added.
+    Keys are numbers, distinct and not null. Rows are dealt by ranges of the key,
+    as many as shuffles have partitions, and written, so that they are made once;
+    a range's rows are sorted in one task and the totals of the ranges before it,
+    one row each, are added.
     """
-    n = max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_BLOCKS))
-    edges = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 10000)).first()[0] or []  # under MOST_BLOCKS numbers
-    block = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(key))) if edges else F.lit(0)
-    dealt = df.withColumn("_block", block)
+    dealt = saved(df.repartitionByRange(key).withColumn("_block", F.spark_partition_id()))
     along = lambda c: F.col(c).desc() if descending else F.col(c).asc()
     totals = dealt.groupBy("_block").agg(*[F.sum(c).alias(f"_sum_{out}") for out, c in values.items()])
-    earlier = Window.orderBy(along("_block")).rowsBetween(Window.unboundedPreceding, -1)  # at most MOST_BLOCKS rows
+    earlier = Window.orderBy(along("_block")).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     before = totals.select("_block", *[F.coalesce(F.sum(f"_sum_{out}").over(earlier), F.lit(0)).alias(f"_before_{out}") for out in values])
     inside = Window.partitionBy("_block").orderBy(along(key)).rowsBetween(Window.unboundedPreceding, 0)
     sums = dealt.withColumns({f"_in_{out}": F.sum(c).over(inside) for out, c in values.items()})

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spillway.operators.blocks import numbered, with_previous
 from spillway.operators.ordered import running_sums
 
 
@@ -32,10 +33,19 @@ def trailing(df: DataFrame, entity: str, other: str, ts: str, row: str, seconds:
 
 
 def sessions(df: DataFrame, keys: list[str], ts: str, row: str, gap: str) -> DataFrame:
-    """Add ``session``: how many gaps longer than ``gap`` came before in the key's rows."""
-    w = Window.partitionBy(*keys).orderBy(ts, row)
-    new = F.coalesce((F.col(ts) > F.lag(ts).over(w) + F.expr(f"interval {gap}")).cast("int"), F.lit(0))
-    return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_new")
+    """Add ``session``: how many gaps longer than ``gap`` came before in the key's rows, in order of ``ts`` and ``row``.
+
+    Rows are taken in blocks of ``gap``, a day at least, so that no task needs all rows of a key.
+    A null key is a key like others; rows without a time are in session 0.
+    """
+    most = df.sparkSession.sql(f"SELECT unix_micros(TIMESTAMP '1970-01-01 00:00:00' + INTERVAL {gap}) - unix_micros(TIMESTAMP '1970-01-01 00:00:00')").first()[0]
+    key = F.to_json(F.struct(*[F.col(f"`{c}`") for c in keys]), {"ignoreNullFields": "false"})
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), key.alias("_key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(row).alias("row"))
+    width = max(most, 86_400_000_000)
+    known = with_previous(rows.where("_t IS NOT NULL"), ["_key"], F.col("_t"), width, "_last")
+    known = known.withColumn("_new", F.coalesce((F.col("_t") - F.col("_last") > most).cast("int"), F.lit(0)))
+    found = numbered(known, ["_key"], "_new", width, "session").select("_row", F.col("session").cast("long").alias("session"))
+    return found.unionByName(rows.where("_t IS NULL").select("_row", F.lit(0).cast("long").alias("session"))).select("_row.*", "session")
 
 
 def at_most_benign(df: DataFrame, label: str, score: str, row: str, budget: int) -> DataFrame:
