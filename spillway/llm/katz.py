@@ -95,6 +95,19 @@ def unpack_numbers(data: bytes, width: int) -> np.ndarray:
     return np.array(rows)
 
 
+def pack_weights(weights: np.ndarray, asked: np.ndarray) -> bytes:
+    """Whether each of the weights is below zero, and those that are asked for without their sign."""
+    signs = pack_numbers((weights < 0).astype(float)[None])
+    return len(signs).to_bytes(4, "little") + signs + pack_numbers(np.abs(weights[asked])[None])
+
+
+def weights_of(parts: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+    """What ``pack_weights`` was given, of all parts: the signs and the weights that were asked for."""
+    cut = [(x[4 : 4 + (n := int.from_bytes(x[:4], "little"))], x[4 + n :]) for x in parts or []]
+    signs, weights = (np.concatenate([unpack_numbers(x, 1)[0] for x in own]) if own else np.empty(0) for own in ([a for a, _ in cut], [b for _, b in cut]))
+    return signs > 0, weights
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All words in a row after lower-casing A to Z, and how many each text has."""
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
@@ -245,12 +258,12 @@ class Slice:
         counts = self.counts(n)
         if n == 1:
             return self.model.word(counts)
-        known, place = self.asked(n - 1), self.histories(n - 1)[1]
+        known, place = self.asked(n - 1), self.histories(n - 1)[1][self.before]
+        one_more, told = weights_of(self.row[f"h{n - 1}"])
         weights = np.ones(len(known) + 1)
-        weights[:-1][known] = sums_of(self.row[f"h{n - 1}"], 1)[0]
-        weight = weights[place[self.before]]
-        below = np.maximum(self.counts(n - 1)[self.before], 1) + (weight < 0)
-        return np.where(counts >= least_count(n), self.model.discounted(n, counts) / below, np.abs(weight) * self.probability(n - 1))
+        weights[:-1][known] = told
+        below = np.maximum(self.counts(n - 1)[self.before], 1) + np.r_[one_more, False][place]
+        return np.where(counts >= least_count(n), self.model.discounted(n, counts) / below, weights[place] * self.probability(n - 1))
 
 
 SLICE_SCHEMA = "slice long, ids binary, no_id binary, held binary, ends binary, words binary, codes binary"
@@ -315,8 +328,8 @@ def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarra
     sums ``keep`` takes stays as a part of the model (bucket, data: keys, more: sums).
     With ``finish`` the last value is not summed: the largest of its
     halves is taken, and what ``finish`` makes of all takes the place of the sums and of the
-    further number; a slice gets answers for those of its keys whose last value is
-    odd.
+    further number; a slice gets their signs, and the rest for those of its keys
+    whose last value is odd.
     """
     bits = max(1, int(np.ceil(np.log2(max(buckets, 1)))))
     columns = df.columns
@@ -351,8 +364,8 @@ def sum_by_key(df: DataFrame, give: Callable[[dict], tuple[np.ndarray, np.ndarra
             owned[:, order[starts]] = 1
             bucket, at, made = rows[0][0], 0, []
             for r, n in zip(rows, map(len, own), strict=True):
-                some = at + np.flatnonzero(asked[at : at + n])
-                made.append(("answer", bucket, r[1], pack_numbers(np.concatenate([sums[:, place[some]], owned[:, some]])), None, None))
+                own_sums, own_first = sums[:, place[at : at + n]], owned[:, at : at + n]
+                made.append(("answer", bucket, r[1], pack_weights(own_sums[0], asked[at : at + n]) if finish else pack_numbers(np.concatenate([own_sums, own_first])), None, None))
                 at += n
             made.append(("table", bucket, None, pack_keys(keys[stored]), pack_numbers(sums[:, stored]), None))
             if not finish:

@@ -26,6 +26,7 @@ def folder(spark, path, rows, benchmark, labels):
     spark.createDataFrame(filled, SCHEMA).repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(benchmark, "item_id long, text string").coalesce(1).write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     return str(path)
 
 
