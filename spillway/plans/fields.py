@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from spillway.functions import fields, pseudonyms
+from spillway.functions import fields, payloads, pseudonyms
 from spillway.plans.queries import query, read
 
 RAW_LABELS = """(SELECT event_id, CASE event_id % 7 WHEN 0 THEN event_type || ' - Attempted' WHEN 1 THEN 'attempted  ' || event_type WHEN 2 THEN 'Web Attack ' || chr(8211) || ' ' || event_type WHEN 3 THEN '  '
@@ -133,6 +133,19 @@ def raw_addresses(spark, d):
     return read(spark, d, "events").groupBy((F.col("event_id") % 6).alias("kind")).agg(F.count("*").alias("n"), F.sum(fields.has_raw_address(said).cast("int")).alias("raw"))
 
 
+@query("f5d_payload_addresses", """SELECT event_type, count(*) AS n, count(*) FILTER (event_id % 5 = 0 OR event_id % 7 = 0 OR event_id % 11 = 0) AS raw, count(*) FILTER (event_id % 3 <> 0) AS finite FROM events GROUP BY 1""")
+def payload_addresses(spark, d):
+    """Payloads with an address anywhere among their values, and with a finite number in a list of a struct."""
+    k = F.col("event_id")
+    hosts = F.array(F.when(k % 5 == 0, "10.1.2.3").otherwise("10.1.2.300"), F.lit("seen 10.1.2.3 twice"))
+    labels = F.create_map(F.lit("peer"), F.when(k % 7 == 0, "fe80::1:2").otherwise("12:30:05"), F.when(k % 11 == 0, "::ffff:10.0.0.1").otherwise("none"), F.lit(None).cast("string"))
+    payload = F.struct(F.struct(hosts.alias("hosts"), F.array(F.when(k % 3 == 0, F.lit(float("inf"))).otherwise(F.col("value"))).alias("scores")).alias("net"), labels.alias("labels"))
+    rows = read(spark, d, "events").select("event_type", payload.alias("p"))
+    kind = rows.schema["p"].dataType
+    rows = rows.select("event_type", payloads.has_raw_address(F.col("p"), kind).alias("raw"), payloads.finite(F.col("p"), kind).alias("p"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if("raw").alias("raw"), F.count(F.get("p.net.scores", F.lit(0))).alias("finite"))
+
+
 RULES = {"r1": [("l_quantity", ">", 45.0), ("l_discount", "<=", 0.02)], "r2": [("l_returnflag=R", ">", 0.5), ("l_tax", ">", 0.06)], "r3": [("l_linestatus=O", "<=", 0.5), ("l_discount", ">", 0.09)]}
 
 
