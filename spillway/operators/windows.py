@@ -48,6 +48,44 @@ def sessions(df: DataFrame, keys: list[str], ts: str, row: str, gap: str) -> Dat
     return found.unionByName(rows.where("_t IS NULL").select("_row", F.lit(0).cast("long").alias("session"))).select("_row.*", "session")
 
 
+def time_order(df: DataFrame, ts: str, row: str, out: str = "_pos") -> DataFrame:
+    """``df``'s rows that have a time, with ``out``: each one's place, from 1, in order of ``ts`` and then ``row``.
+
+    Times are counted before they are ordered; rows of one time are put in order in one task.
+    """
+    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    rows = df.select(kept, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(row).alias("_id")).where("_t IS NOT NULL")
+    times = running_sums(rows.groupBy("_t").agg(F.count("*").alias("_n")), "_t", {"_upto": "_n"}).select("_t", (F.col("_upto") - F.col("_n")).alias("_base"))
+    place = F.row_number().over(Window.partitionBy("_t").orderBy("_id"))
+    return rows.join(times, "_t").select("_row", (F.col("_base") + place).alias(out)).select("_row.*", out)
+
+
+def sequences(df: DataFrame, entity: str, ts: str, row: str, features: list[str], length: int = 16, gap: float = 300.0, keep_every: int = 1) -> DataFrame:
+    """``df``'s rows with ``depth`` and ``sequence``: the features of up to ``length`` rows of the entity, the row itself last, zeros before them.
+
+    A silence of over ``gap`` seconds ends what came before. Of all rows in order
+    of time every ``keep_every``-th has a sequence; the others are history all
+    the same. Missing features count as 0, a null entity is one like others,
+    rows without a time are left out. Rows are dealt by blocks of as much time as
+    a sequence may last, each also to the next block, so that a busy entity's
+    rows share a task for two blocks only.
+    """
+    us = round(gap * 1e6)
+    width = max(us * length, 1)
+    laid = time_order(df, ts, row, "_pos")
+    kept = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+    x = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in features])
+    rows = laid.select(kept, F.to_json(F.struct(entity), {"ignoreNullFields": "false"}).alias("_e"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), "_pos", x.alias("_x"))
+    rows = rows.withColumn("_own", F.floor(F.col("_t") / width)).withColumn("_block", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
+    along = Window.partitionBy("_e", "_block").orderBy("_pos")
+    new = F.coalesce((F.col("_t") - F.lag("_t").over(along) > us).cast("int"), F.lit(0))
+    runs = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    seen = F.collect_list("_x").over(Window.partitionBy("_e", "_block", "_run").orderBy("_pos").rowsBetween(1 - length, 0))
+    made = runs.withColumn("_seen", seen).where("_block = _own").where((F.col("_pos") - 1) % keep_every == 0).withColumn("depth", F.size("_seen"))
+    blank = F.array_repeat(F.array(*[F.lit(0.0)] * len(features)), (F.lit(length) - F.col("depth")).cast("int"))
+    return made.select("_row", "depth", F.concat(blank, "_seen").alias("sequence")).select("_row.*", "depth", "sequence")
+
+
 def at_most_benign(df: DataFrame, label: str, score: str, row: str, budget: int) -> DataFrame:
     """Add ``flagged``: rows in order of score while fewer than ``budget`` benign ones came before; ties in order of ``row``.
 

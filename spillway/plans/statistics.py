@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spillway.functions.pseudonyms import pads, pseudonym
 from spillway.functions.suppression import first_match
-from spillway.operators import metrics, ordered
+from spillway.operators import metrics, ordered, windows
 from spillway.plans.queries import FLOWS, flows, query, read
 
 ROC = f"""{FLOWS}, b AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM flows GROUP BY p), c AS (SELECT p, pos, neg, sum(pos) OVER (ORDER BY p DESC) AS tp, sum(neg) OVER (ORDER BY p DESC) AS fp FROM b), t AS (SELECT sum(y) AS np, sum(1 - y) AS nn FROM flows)"""
@@ -115,6 +115,14 @@ def sequence_windows(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", "role").distinct().select("conv_id", "turn", F.array_join(F.collect_list("role").over(w), ",").alias("roles"))
 
 
+@query("w3_padded_sequences", """WITH o AS (SELECT event_id, user_id, epoch_us(ts) AS t, value, row_number() OVER (ORDER BY ts, event_id) AS pos FROM events), g AS (SELECT *, coalesce(CAST(t - lag(t) OVER (PARTITION BY user_id ORDER BY pos) > 43200000000 AS INT), 0) AS fresh FROM o), r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY pos) AS run FROM g),
+ s AS (SELECT event_id, pos, list(value) OVER (PARTITION BY user_id, run ORDER BY pos ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS v FROM r) SELECT event_id, CAST(len(v) AS INT) AS depth, array_to_string(list_transform(list_concat([0.0 FOR i IN range(5 - len(v))], v), lambda x: CAST(CAST(round(x * 100) AS BIGINT) AS VARCHAR)), ',') AS said FROM s WHERE (pos - 1) % 3 = 0""")
+def padded_sequences(spark, d):
+    """The last five values of a user without a break of half a day, zeros before them, for every third event in time."""
+    made = windows.sequences(read(spark, d, "events").select("event_id", "user_id", "ts", "value"), "user_id", "ts", "event_id", ["value"], 5, 43200.0, 3)
+    return made.select("event_id", "depth", F.array_join(F.transform("sequence", lambda x: F.round(x[0] * 100).cast("long").cast("string")), ",").alias("said"))
+
+
 #: Rules as analysts would keep them: match fields, latest created first.
 RULES = [
     {"rule_id": "r1", "created_at": "2026-01-01", "match": {"o_orderpriority": "1-urgent"}},

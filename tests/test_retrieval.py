@@ -100,3 +100,25 @@ def test_isotonic(spark):
         cells[min(int(s * 10), 9)].append((s, y))
     gaps = [(len(c), abs(sum(s - y for s, y in c)) / len(c)) for c in cells.values()]
     assert report["uncalibrated"]["ece"] == pytest.approx(sum(n * g for n, g in gaps) / 900) and report["uncalibrated"]["mce"] == pytest.approx(max(g for _, g in gaps))
+
+
+def test_sequences_with_breaks_and_strides(spark):
+    from collections import deque
+
+    from spillway.operators import windows
+
+    rng = random.Random(9)
+    rows = [(k, None if rng.random() < 0.03 else rng.randrange(300) * 1_000_000, "hot" if rng.random() < 0.7 else rng.choice(["a", None]), None if rng.random() < 0.1 else float(k), float(k % 7)) for k in range(500)]
+    df = spark.createDataFrame(rows, "i long, t long, e string, x double, y double").selectExpr("i", "timestamp_micros(t) AS ts", "e", "x", "y", "i AS row").repartition(4)
+    for length, gap, every in ((4, 3.0, 1), (6, 2.0, 3), (1, 5.0, 2)):
+        want, past = {}, {}
+        known = sorted((r for r in rows if r[1] is not None), key=lambda r: (r[1], r[0]))
+        for step, (i, t, e, x, y) in enumerate(known):
+            own = past.setdefault(e, deque(maxlen=length))
+            if own and t - own[-1][0] > gap * 1e6:
+                own.clear()
+            own.append((t, [x or 0.0, y]))
+            if step % every == 0:
+                want[i] = [[0.0, 0.0]] * (length - len(own)) + [v for _, v in own], len(own)
+        got = windows.sequences(df, "e", "ts", "i", ["x", "y"], length, gap, every)
+        assert got.columns == [*df.columns, "depth", "sequence"] and {r["i"]: (r["sequence"], r["depth"]) for r in got.collect()} == want
