@@ -254,3 +254,29 @@ def compared_calibrations(held: DataFrame, test: DataFrame, label: str, score: s
     rows = made.select(F.col(label).cast("double").alias("y"), every.alias("m")).select("y", "m.*").withColumn("bin", F.least(F.floor(F.col("p") * bins), F.lit(bins - 1)))
     cells = rows.groupBy("method", "bin").agg(F.count("*").alias("n"), F.abs(F.avg("p") - F.avg("y")).alias("gap"), F.sum((F.col("p") - F.col("y")) ** 2).alias("squares"))
     return cells.groupBy("method").agg((F.sum("squares") / F.sum("n")).alias("brier"), (F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"), F.max("gap").alias("mce"))
+
+
+def coerce(df: DataFrame, numeric: list[str], categorical: list[str] = []) -> DataFrame:  # noqa: B006
+    """``df``'s needed columns as a detector takes them: numbers (null where they can't be read), texts in lower case without blanks around them; names may have other case and blanks.
+
+    A column that is missing, or there twice, is an error; others are left out.
+    """
+    found: dict[str, list[str]] = {}
+    for c in df.columns:
+        found.setdefault(c.strip().lower(), []).append(c)
+    wanted = [*numeric, *categorical]
+    if bad := [c for c in wanted if len(found.get(c.strip().lower(), [])) != 1]:
+        raise ValueError(f"columns missing or there twice: {bad}")
+    own = lambda c: F.col(f"`{found[c.strip().lower()][0]}`")
+    numbers = [scoring.finite_or_null(own(c).cast("string").try_cast("double")).alias(c) for c in numeric]
+    return df.select(*numbers, *[F.lower(F.trim(F.regexp_replace(own(c).cast("string"), r"^\s+|\s+$", ""))).alias(c) for c in categorical])
+
+
+def ranked_importances(made: Detector, top: int = 10) -> list[tuple[str, float]]:
+    """The features that the classifier head leans on most: a tree model's shares, a linear one's absolute weights; indicators by column and level, ties by name."""
+    names = list(made.before.numeric)
+    for stage in made.before.model.stages:
+        if hasattr(stage, "labels"):
+            names += [f"{stage.getInputCol()}={v}" for v in stage.labels] + [f"{stage.getInputCol()}=?"]
+    weights = made.head.featureImportances.toArray() if hasattr(made.head, "featureImportances") else np.abs(made.head.coefficients.toArray())
+    return sorted(zip(names, weights.tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:top]

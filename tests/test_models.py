@@ -99,3 +99,22 @@ def test_exact_intervals():
     assert (round(low, 4), round(high, 4)) == (0.0321, 0.3789)
     assert intervals.sign_test(0, 0) == 1 and intervals.sign_test(1, 9) == pytest.approx(22 / 1024)
     assert intervals.kolmogorov(0.136, 200, 200) == pytest.approx(0.0494, abs=0.002) and math.isclose(intervals.binomial_upper(0, 5, 0.2), 1)
+
+
+def test_coerce(spark):
+    df = spark.createDataFrame([(" 1.5", "  TCP ", "x", 3), ("oops", None, "y", 4), ("inf", "\tUdp", "z", 5)], "` A` string, Proto string, other string, n int")
+    got = detector.coerce(df, ["a", "n"], ["proto"])
+    assert got.columns == ["a", "n", "proto"] and [tuple(r) for r in got.collect()] == [(1.5, 3.0, "tcp"), (None, 4.0, None), (None, 5.0, "udp")]
+    with pytest.raises(ValueError, match="missing"):
+        detector.coerce(df, ["b"])
+    with pytest.raises(ValueError, match="twice"):
+        detector.coerce(df.withColumn("A ", F.lit(1)), ["a"])
+
+
+def test_ranked_importances(rows):
+    for kind in ("forest", "logistic"):
+        made = detector.Detector.fit(rows, "y", "row_id", ["a", "b", "d"], ["c"], kind, budget=0.05)
+        ranked = detector.ranked_importances(made, 3)
+        assert len(ranked) == 3 and ranked[0][0] in ("a", "b", "c=a", "c=c") and "d" not in [n for n, _ in ranked[:2]]
+        every = detector.ranked_importances(made, 99)
+        assert {"a", "b", "d", "c=a", "c=b", "c=c"} <= {n for n, _ in every} and [v for _, v in every] == sorted((v for _, v in every), reverse=True)
