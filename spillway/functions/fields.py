@@ -121,8 +121,9 @@ def narrate(feature: Column, x: Column, templates: dict[str, str]) -> Column:
 
 
 def time_of(text: Column) -> Column:
-    """A time in one of TIME_FORMATS; null if none fits."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in TIME_FORMATS])
+    """A time in one of TIME_FORMATS or, failing these, in ISO 8601, with or without its parts from the right; null if none fits."""
+    bare = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    return F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in TIME_FORMATS], F.when(F.rlike(bare, F.lit("^[0-9]{4}-[0-9]{2}")), bare.try_cast("timestamp")))
 
 
 def epoch_seconds(ts: Column) -> Column:

@@ -78,3 +78,16 @@ def test_techniques_and_lines(spark, tmp_path):
     assert [r.id for r in documents.fixture(spark, str(tmp_path / "f.json"), "alerts", "id string").collect()] == ["x"]
     documents.report(spark.createDataFrame([(1, float("nan"))], "k int, v double"), str(tmp_path / "out"))
     assert spark.read.schema("k int, v double").json(str(tmp_path / "out")).first()["v"] is None
+
+
+def test_times_of_many_kinds(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from spillway.functions import fields
+
+    said = {"2024-03-05 06:07:08.123456": datetime(2024, 3, 5, 6, 7, 8, 123456), "2024-03-05 06:07:08": datetime(2024, 3, 5, 6, 7, 8), "05/03/2024 06:07:08 PM": datetime(2024, 3, 5, 18, 7, 8), " 05/03/2024 18:07 ": datetime(2024, 3, 5, 18, 7), "2024-03-05T06:07:08Z": datetime(2024, 3, 5, 6, 7, 8), "2024-03-05T06:07:08+02:00": datetime(2024, 3, 5, 4, 7, 8), "2024-03-05 06:07": datetime(2024, 3, 5, 6, 7), "2024-03-05": datetime(2024, 3, 5), "2024-03-05T06:07:08.5": datetime(2024, 3, 5, 6, 7, 8, 500000)}
+    said |= dict.fromkeys(["", "soon", "2024", "12", "2024-13-05", "today"])
+    rows = spark.createDataFrame([(x,) for x in said], "x string").select("x", fields.time_of(F.col("x")).cast("timestamp_ntz").alias("t")).collect()
+    assert {r["x"]: r["t"] for r in rows} == said
