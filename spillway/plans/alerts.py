@@ -67,6 +67,30 @@ def common_events(spark, d):
     return rows.groupBy(e["rule"]["name"].alias("rule"), e["event"]["severity"].alias("severity"), e["event"]["reason"].isNotNull().alias("has_reason")).agg(F.count("*").alias("n"), F.sum(F.size(al.common_event_problems(e))).alias("problems"))
 
 
+def problems_of(rows, made, spoilt, found):
+    """Counts of what ``found`` says of the structs ``made`` after the fields of ``spoilt`` (name: when, value) were changed."""
+    rows, own = rows.select(F.col("a.alert_id").alias("k"), made(F.col("a")).alias("s")), F.col("s")
+    names = rows.schema["s"].dataType.names
+    changed = F.struct(*[(F.when(~spoilt[c][0], own.getField(c)).otherwise(spoilt[c][1]) if c in spoilt else own.getField(c)).alias(c) for c in names])
+    rows = rows.select(changed.alias("s"))
+    return rows.select(F.explode(found(F.col("s"))).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("x4_finding_problems", f"""WITH {ALERTS}, x AS (SELECT unnest([CASE WHEN row_id % 13 = 0 THEN 'missing time' END, CASE WHEN row_id % 5 = 0 THEN 'type_uid does not follow' END, CASE WHEN row_id % 7 = 0 THEN 'unknown confidence' END, CASE WHEN row_id % 11 = 0 THEN 'no evidence' END, CASE WHEN row_id % 17 = 0 THEN 'missing metadata' END]) AS problem FROM alerts)
+ SELECT problem, count(*) AS n FROM x WHERE problem IS NOT NULL GROUP BY 1""")
+def finding_problems(spark, d):
+    k, none = F.col("k"), F.lit(None)
+    spoilt = {"time": (k % 13 == 0, none), "type_uid": (k % 5 == 0, F.lit(7)), "confidence_id": (k % 7 == 0, F.lit(9)), "evidences": (k % 11 == 0, F.slice(F.col("s.evidences"), 1, 0)), "metadata": (k % 17 == 0, none)}
+    return problems_of(alerts(spark, d), al.detection_finding, spoilt, al.detection_finding_problems)
+
+
+@query("x5_event_problems", f"""WITH {ALERTS}, x AS (SELECT unnest([CASE WHEN row_id % 13 = 0 THEN 'missing @timestamp' END, CASE WHEN row_id % 5 = 0 THEN 'kind not allowed' END, CASE WHEN row_id % 7 = 0 THEN 'unknown severity' END, CASE WHEN row_id % 11 = 0 THEN 'no category' END]) AS problem FROM alerts) SELECT problem, count(*) AS n FROM x WHERE problem IS NOT NULL GROUP BY 1""")
+def event_problems(spark, d):
+    k, e = F.col("k"), F.col("s").getField("event")
+    event = e.withField("kind", F.when(k % 5 != 0, e["kind"]).otherwise("rumour")).withField("severity", F.when(k % 7 != 0, e["severity"]).otherwise(9)).withField("category", F.when(k % 11 != 0, e["category"]).otherwise(F.slice(e["category"], 1, 0)))
+    return problems_of(alerts(spark, d), al.common_event, {"@timestamp": (k % 13 == 0, F.lit(None)), "event": (F.lit(True), event)}, al.common_event_problems)
+
+
 RULES = [
     ("r1", {"family": "DOS", "dst_port": "7"}, "no printer", "2024-01-01", "2024-02-01"),
     ("r2", {"src_ip": "10.0.0.3"}, "scanner of our own", "2024-01-05", "2024-01-20"),
