@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from spillway.functions import fields, scoring
 from spillway.operators import intervals, metrics, splits
+from spillway.operators.blocks import saved
 
 KINDS = {"logistic": lambda: LogisticRegression(maxIter=50), "forest": lambda: RandomForestClassifier(numTrees=40, maxDepth=8, seed=7), "boosted": lambda: GBTClassifier(maxIter=20, maxDepth=5, seed=7)}
 RARE = "__rare__"
@@ -147,10 +148,10 @@ class Detector:
     @classmethod
     def fit(cls, df: DataFrame, label: str, row: str, numeric: list[str], categorical: list[str] = [], kind: str = "forest", budget: float = 0.01, alpha: float = 0.1, held: float = 0.3, family: str | None = None, ensemble: bool = False) -> Detector:  # noqa: B006
         """Fit on a stratified share of ``df`` (rows told apart by ``row``), thresholds on the rest; with ``family``, a column, attacks are named too."""
-        dealt = splits.first_of_each(df, label, intervals.uniform(F.col(row), F.lit("fit")), row, F.bround(F.col("n") * held), "_held")
+        dealt = saved(splits.first_of_each(df, label, intervals.uniform(F.col(row), F.lit("fit")), row, F.bround(F.col("n") * held), "_held"))
         train, rest = dealt.where("not _held").drop("_held"), dealt.where("_held").drop("_held")
         before = Preprocessor.fit(train, numeric, categorical)
-        head = fit_head(before.transform(train), label, kind)
+        head = fit_head(saved(before.transform(train).select(label, "features")), label, kind)
         benign = train.where(F.col(label) == 0)
         if ensemble:
             from spillway.models.novelty import Ensemble
@@ -172,7 +173,8 @@ class Detector:
 
     def rethresholded(self, recent: DataFrame, label: str, budget: float = 0.01, alpha: float = 0.1) -> Detector:
         """The same heads with thresholds and cuts from other labelled rows; two heads share the budget."""
-        scored = self.scores(recent).withColumn("_miss", F.when(F.col(label) == 1, 1 - F.col("p_attack")).otherwise(F.col("p_attack")))
+        miss = F.when(F.col(label) == 1, 1 - F.col("p_attack")).otherwise(F.col("p_attack")).alias("_miss")
+        scored = saved(self.scores(recent).select(label, "p_attack", "novelty", miss))
         benign, each = scored.where(F.col(label) == 0), fields.head_budget(budget, 2)
         cuts = tuple(conformal_cut(scored.where(F.col(label) == k), "_miss", alpha) for k in (0, 1))
         return replace(self, p_at=benign_threshold(benign, "p_attack", each), novelty_at=benign_threshold(benign, "novelty", each), cuts=cuts)
@@ -180,7 +182,7 @@ class Detector:
     def rebaselined(self, recent_benign: DataFrame, budget: float = 0.01) -> Detector:
         """Novelty and its threshold learnt anew from benign rows of another place; the classifier stays."""
         made = replace(self, novelty=self.novelty.refitted(recent_benign))
-        scored = made.scores(recent_benign)
+        scored = saved(made.scores(recent_benign).select("p_attack", "novelty"))
         each = fields.head_budget(budget, 2)
         return replace(made, p_at=benign_threshold(scored, "p_attack", each), novelty_at=benign_threshold(scored, "novelty", each))
 
