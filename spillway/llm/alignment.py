@@ -73,9 +73,13 @@ class PieceSide:
         bytes_of = lambda k, x: bytes.fromhex(_BYTE.fullmatch(x)[1]) if self.model.is_byte(k) else x.replace(SPACE, " ").encode()
         self.entries = ByteStrings([bytes_of(k, x) for k, x in enumerate(pieces)])
         self.known = Known(PIECES_KEPT)
+        self.space = self.model.piece_to_id(SPACE)
 
     def _words(self, words: pa.Array) -> pa.Array:
-        return id_lists(self.model.encode([x[1:] for x in words.to_pylist()], num_threads=1))
+        """Ids of each word, its first space put by the model; of one space alone, which ends a text, the model would make nothing."""
+        words = words.to_pylist()
+        ids = self.model.encode([x[1:] for x in words], num_threads=1)
+        return id_lists([[self.space] if x == " " else own for x, own in zip(words, ids, strict=True)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that begin with the space that the model would put there, and where each text's ids end."""

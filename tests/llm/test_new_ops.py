@@ -85,6 +85,15 @@ def test_alignment_equals_plain_code(spark, texts):
     assert any("0, 0, 0, 0, 0, 0, ''" in x for x in want) and pairs.where("best").select("b").distinct().count() == pairs.select("b").distinct().count()
 
 
+def test_alignment_of_texts_that_end_with_a_space(spark):
+    """One space after a word has a token of its own; side B may not lose it, nor the text with it."""
+    docs = list(enumerate(["hello ", "a b ", " ", "  ", "word  ", "line\n ", "tab\t ", "a\xa0 ", "x\x00 ", "</s> ", "hello", " hello ", "日本 ", "▁ ", "a\x1f "]))
+    aligned = common.save(alignment.align(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")), "aligned")
+    got = alignment.with_counts(aligned, common.save(alignment.pair_counts(aligned), "counts"))
+    got = got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    assert sorted(map(tuple, got.collect())) == sorted(aligned_by_hand(docs))
+
+
 def test_alignment_overlaps():
     """Without the rule of ends, all pairs of tokens that share a byte are links."""
     rng = np.random.default_rng(3)
