@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,13 +64,33 @@ def log_choose(n: float, k: float) -> float:
     return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
 
 
+def _falling(first: float, ratios: Iterator[float]) -> float:
+    """The sum of terms that fall off, each the one before times a ratio, until they no longer add to it."""
+    total = term = first
+    for ratio in ratios:
+        term *= ratio
+        if term <= total * 1e-18:
+            break
+        total += term
+    return total
+
+
 def binomial_upper(k: int, n: int, p: float) -> float:
-    """How likely ``k`` or more of ``n`` are."""
+    """How likely ``k`` or more of ``n`` are.
+
+    Terms are added from ``k`` away from the mean, where each is less than the one
+    before: as many as some standard deviations, not as rows.
+    """
     if k <= 0:
         return 1.0
-    if p <= 0 or p >= 1:
-        return float(p >= 1)
-    return min(1.0, math.fsum(math.exp(log_choose(n, j) + j * math.log(p) + (n - j) * math.log1p(-p)) for j in range(k, n + 1)))
+    if p <= 0 or p >= 1 or k > n:
+        return float(p >= 1 and k <= n)
+    odds, upper = p / (1 - p), k > n * p
+    at = k if upper else k - 1
+    first = math.exp(log_choose(n, at) + at * math.log(p) + (n - at) * math.log1p(-p))
+    if upper:
+        return min(1.0, _falling(first, ((n - j) / (j + 1) * odds for j in range(at, n))))
+    return max(0.0, 1.0 - _falling(first, (j / (n - j + 1) / odds for j in range(at, 0, -1))))
 
 
 def clopper_pearson(k: int, n: int, alpha: float = 0.05) -> tuple[float, float]:
@@ -90,7 +111,7 @@ def clopper_pearson(k: int, n: int, alpha: float = 0.05) -> tuple[float, float]:
 def sign_test(a: int, b: int) -> float:
     """The exact two-sided p value of McNemar's test for discordant counts."""
     n, least = a + b, min(a, b)
-    return 1.0 if n == 0 else min(1.0, 2 * math.fsum(math.exp(log_choose(n, j) - n * math.log(2)) for j in range(least + 1)))
+    return 1.0 if n == 0 else min(1.0, 2 * binomial_upper(n - least, n, 0.5))
 
 
 def kolmogorov(d: float, n: int, m: int, terms: int = 100) -> float:

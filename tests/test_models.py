@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -101,6 +102,19 @@ def test_exact_intervals():
     assert intervals.kolmogorov(0.136, 200, 200) == pytest.approx(0.0494, abs=0.002) and math.isclose(intervals.binomial_upper(0, 5, 0.2), 1)
 
 
+def test_exact_intervals_of_many_rows():
+    """The tails equal the sums over all counts, and an interval of millions of rows adds up few of them."""
+    of = lambda k, n, p: math.fsum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k, n + 1))
+    for k, n, p in [(1, 1, 0.3), (5, 5, 0.9), (3, 20, 0.01), (3, 20, 0.15), (3, 20, 0.99), (60, 90, 0.5), (30, 90, 0.5), (6, 5, 0.5)]:
+        assert intervals.binomial_upper(k, n, p) == pytest.approx(of(k, n, p), abs=1e-12), (k, n, p)
+    k, n = 3_000_000, 30_000_000
+    started = time.process_time()
+    low, high = intervals.clopper_pearson(k, n)
+    assert time.process_time() - started < 30
+    assert (k / n - low) / math.sqrt(0.09 / n) == pytest.approx(1.96, abs=0.01) and (high - k / n) / math.sqrt(0.09 / n) == pytest.approx(1.96, abs=0.01)
+    assert intervals.binomial_upper(k, n, low) == pytest.approx(0.025, abs=1e-9) and intervals.sign_test(15_000_000, 15_000_000) == 1
+
+
 def test_coerce(spark):
     df = spark.createDataFrame([(" 1.5", "  TCP ", "x", 3), ("oops", None, "y", 4), ("inf", "\tUdp", "z", 5)], "` A` string, Proto string, other string, n int")
     got = detector.coerce(df, ["a", "n"], ["proto"])
