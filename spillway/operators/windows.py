@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spillway.operators.blocks import numbered, with_previous
+from spillway.operators.blocks import saved
 from spillway.operators.ordered import running_sums
 
+#: Gaps in a block of a key's rows, which one task puts in order.
+BLOCK_GAPS = 16
+
 
 def trailing(df: DataFrame, entity: str, other: str, ts: str, row: str, seconds: int = 60, most: int = 5000) -> DataFrame:
     """Counts, distinct partners, entropy and mean gap over an entity's earlier rows of the last ``seconds``.
@@ -35,16 +38,22 @@ def trailing(df: DataFrame, entity: str, other: str, ts: str, row: str, seconds:
 def sessions(df: DataFrame, keys: list[str], ts: str, row: str, gap: str) -> DataFrame:
     """Add ``session``: how many gaps longer than ``gap`` came before in the key's rows, in order of ``ts`` and ``row``.
 
-    Rows are taken in blocks of ``gap``, a day at least, so that no task needs all rows of a key.
+    Rows are taken in blocks of ``BLOCK_GAPS`` gaps, a day at least, so that no task needs all rows of a key.
+    They are written once, as they are read thrice, and dealt once by key and block; between blocks goes one row for each.
     A null key is a key like others; rows without a time are in session 0.
     """
     most = df.sparkSession.sql(f"SELECT unix_micros(TIMESTAMP '1970-01-01 00:00:00' + INTERVAL {gap}) - unix_micros(TIMESTAMP '1970-01-01 00:00:00')").first()[0]
     key = F.to_json(F.struct(*[F.col(f"`{c}`") for c in keys]), {"ignoreNullFields": "false"})
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), key.alias("_key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(row).alias("row"))
-    width = max(most, 86_400_000_000)
-    known = with_previous(rows.where("_t IS NOT NULL"), ["_key"], F.col("_t"), width, "_last")
-    known = known.withColumn("_new", F.coalesce((F.col("_t") - F.col("_last") > most).cast("int"), F.lit(0)))
-    found = numbered(known, ["_key"], "_new", width, "session").select("_row", F.col("session").cast("long").alias("session"))
+    rows = saved(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), key.alias("_key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(row).alias("row")))
+    known = rows.where("_t IS NOT NULL").withColumn("_block", F.floor(F.col("_t") / max(BLOCK_GAPS * most, 86_400_000_000)))
+    inside, across = Window.partitionBy("_key", "_block").orderBy("_t", "row"), Window.partitionBy("_key").orderBy("_block")
+    gaps = F.coalesce((F.col("_t") - F.lag("_t").over(inside) > most).cast("long"), F.lit(0))
+    known = known.withColumn("_new", gaps).withColumn("_in", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    blocks = known.groupBy("_key", "_block").agg(F.min("_t").alias("_first"), F.max("_t").alias("_end"), F.sum("_new").alias("_gaps"))
+    between = F.coalesce((F.col("_first") - F.lag("_end").over(across) > most).cast("long"), F.lit(0))
+    blocks = blocks.withColumn("_between", between)
+    upto = F.sum(F.col("_gaps") + F.col("_between")).over(across.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_gaps")
+    found = known.join(blocks.select("_key", "_block", upto.alias("_upto")), ["_key", "_block"]).select("_row", (F.col("_in") + F.col("_upto")).alias("session"))
     return found.unionByName(rows.where("_t IS NULL").select("_row", F.lit(0).cast("long").alias("session"))).select("_row.*", "session")
 
 

@@ -141,17 +141,22 @@ def proposed_matches(spark, d):
     return rows.groupBy(F.cardinality("fields").alias("fields")).agg(F.count("*").alias("n"))
 
 
+def grouped(spark, d, gap: str = "15 days"):
+    """Actionable alerts of one source and family whose times lie no more than ``gap`` apart, as groups; only what incidents say of their alerts goes on."""
+    x, v = F.col("a"), F.col("a.verdict")
+    rows = alerts(spark, d).where(al.actionable(v) & F.col("a.src_ip").isNotNull())
+    rows = rows.select(*[x[c].alias(c) for c in ("src_ip", "family", "at", "alert_id", "priority", "dst_ip", "dst_port", "p_attack")], al.severity_rank(x["severity"]).alias("rank"), (v == "NOVEL_SUSPICIOUS").alias("novel"), "segment")
+    return windows.sessions(rows, ["src_ip", "family"], "at", "alert_id", gap).groupBy("src_ip", "family", "session")
+
+
 def incidents(spark, d, gap: str = "15 days"):
-    """Actionable alerts of one source and family whose times lie no more than ``gap`` apart, as one row each."""
-    rows = alerts(spark, d).select("a.*", "segment").where(al.actionable(F.col("verdict")) & F.col("src_ip").isNotNull())
-    rows = windows.sessions(rows, ["src_ip", "family"], "at", "alert_id", gap)
-    rank = al.severity_rank(F.col("severity"))
-    made = rows.groupBy("src_ip", "family", "session").agg(
-        F.max(rank).alias("sev"), F.max("priority").alias("priority"), F.count("*").alias("events"), F.countDistinct("dst_ip").alias("targets"), F.countDistinct("dst_port").alias("ports"), F.min("at").alias("opened"), F.max("at").alias("last_seen"),
-        (2 * F.count_if(F.col("verdict") == "NOVEL_SUSPICIOUS") > F.count("*")).alias("hunting"), F.min("alert_id").alias("first_alert"), F.array_sort(F.collect_set("segment")).alias("segments"), F.max("p_attack").alias("p"),
+    """Groups of alerts as one row each. Different targets and ports are counted as sets, one incident's in one task, so that rows are not dealt thrice for two distinct counts."""
+    made = grouped(spark, d, gap).agg(
+        F.max("rank").alias("sev"), F.max("priority").alias("priority"), F.count("*").alias("events"), F.size(F.collect_set("dst_ip")).cast("long").alias("targets"), F.size(F.collect_set("dst_port")).cast("long").alias("ports"), F.min("at").alias("opened"), F.max("at").alias("last_seen"),
+        (2 * F.count_if("novel") > F.count("*")).alias("hunting"), F.min("alert_id").alias("first_alert"), F.min("segment").alias("_least"), F.max("segment").alias("_most"), F.max("p_attack").alias("p"),
     )
-    segment = F.when(F.size("segments") == 0, None).when(F.size("segments") == 1, F.get("segments", F.lit(0))).otherwise("mixed")
-    return made.select("*", segment.alias("segment")).drop("segments", "session")
+    segment = F.when(F.col("_least") == F.col("_most"), F.col("_least")).when(F.col("_least").isNotNull(), "mixed")
+    return made.select("*", segment.alias("segment")).drop("_least", "_most", "session")
 
 
 INCIDENTS = f"""{ALERTS}, marked AS (SELECT *, CASE WHEN seen_at > lag(seen_at) OVER w + INTERVAL 15 DAY THEN 1 ELSE 0 END AS new FROM alerts WHERE verdict <> 'BENIGN' AND src IS NOT NULL WINDOW w AS (PARTITION BY src, family ORDER BY seen_at, row_id)),
@@ -184,9 +189,10 @@ def largest_incidents(spark, d):
 
 @query("j9_alerts_of_incidents", f"WITH {INCIDENTS} SELECT i.first_alert, count(*) AS n, max(a.row_id) AS last_alert FROM incidents i JOIN alerts a ON a.src = i.src_ip AND a.family IS NOT DISTINCT FROM i.family AND a.seen_at BETWEEN i.opened AND i.last_seen AND a.verdict <> 'BENIGN' GROUP BY 1")
 def alerts_of_incidents(spark, d):
-    i, a = incidents(spark, d).alias("i"), alerts(spark, d).select("a.*").where(al.actionable(F.col("verdict"))).alias("a")
-    same = (F.col("a.src_ip") == F.col("i.src_ip")) & F.col("a.family").eqNullSafe(F.col("i.family")) & F.col("a.at").between(F.col("i.opened"), F.col("i.last_seen"))
-    return i.join(a, same).groupBy("i.first_alert").agg(F.count("*").alias("n"), F.max("a.alert_id").alias("last_alert"))
+    """Times of incidents of one source and family never meet, so that the alerts within an incident's time are its own; those without a time are in none."""
+    timed = F.col("at").isNotNull()
+    made = grouped(spark, d).agg(F.min("alert_id").alias("first_alert"), F.count("at").alias("n"), F.max(F.when(timed, F.col("alert_id"))).alias("last_alert")).where("n > 0")
+    return made.groupBy("first_alert").agg(F.sum("n").alias("n"), F.max("last_alert").alias("last_alert"))
 
 
 @query("t2_hunting_overflow", f"WITH {ALERTS} SELECT strftime(seen_at, '%Y-%m-%d') AS day, greatest(0, count(*) - 2) AS overflow FROM alerts WHERE verdict = 'NOVEL_SUSPICIOUS' GROUP BY 1")

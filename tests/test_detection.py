@@ -37,3 +37,31 @@ def test_page_hinkley_over_two_batches(spark, tmp_path):
     q = drift.page_hinkley(stream, "e", "i", "s", limit=20.0).writeStream.format("memory").queryName("alarms").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert want and {(r.entity, r.at) for r in spark.table("alarms").collect()} == want
+
+
+def test_sessions_read_their_input_once(spark, tmp_path):
+    """The rows are made once, whatever makes them; gaps within and between blocks, null keys and times, equal to a plain loop."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from spillway.operators import windows
+
+    rng, made = random.Random(4), spark.sparkContext.accumulator(0)
+    rows = [(k, rng.choice(["a", "b", None]), rng.choice([None, *[1_700_000_000 + 43_200 * rng.randint(0, 600) for _ in range(20)]])) for k in range(400)]
+
+    def passed(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "row long, key string, s long").mapInArrow(passed, "row long, key string, s long").withColumn("at", F.timestamp_seconds("s"))
+    got = {r["row"]: r["session"] for r in windows.sessions(df, ["key"], "at", "row", "1 day").collect()}
+    want = {k: 0 for k, _, s in rows if s is None}
+    for key in ("a", "b", None):
+        own = sorted((s, k) for k, x, s in rows if x == key and s is not None)
+        n = 0
+        for (before, _), (s, k) in zip([own[0], *own], own, strict=False):
+            n += s - before > 86_400
+            want[k] = n
+    assert got == want and made.value == len(rows)
