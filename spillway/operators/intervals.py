@@ -14,9 +14,14 @@ from spillway.operators.ordered import running_sums
 POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
 
 
+def _digits(*parts: Column) -> Column:
+    """Eight hexadecimal digits that the parts decide, the same on every machine."""
+    return F.substring(F.md5(F.encode(F.concat_ws(":", *[p.cast("string") for p in parts]), "UTF-8")), 1, 8)
+
+
 def uniform(*parts: Column) -> Column:
-    """A number from 0 to 1 that the parts decide, the same on every machine."""
-    return F.conv(F.substring(F.md5(F.encode(F.concat_ws(":", *[p.cast("string") for p in parts]), "UTF-8")), 1, 8), 16, 10).cast("long") / 4294967296
+    """A number from 0 to 1 that the parts decide."""
+    return F.conv(_digits(*parts), 16, 10).cast("long") / 4294967296
 
 
 def poisson_weight(u: Column) -> Column:
@@ -24,6 +29,15 @@ def poisson_weight(u: Column) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda at: at <= u))
 
 
+def poisson_weight_of(digits: Column) -> Column:
+    """``poisson_weight`` of the number that eight hexadecimal digits stand for; as text they are in the same order."""
+    ends = [e for e in (math.ceil(at * 2**32) for at in POISSON) if e < 2**32]
+    made = F.when(digits < f"{ends[0]:08x}", 0)
+    for k, end in enumerate(ends[1:], 1):
+        made = made.when(digits < f"{end:08x}", k)
+    return made.otherwise(len(ends))
+
+
 def bootstrap_ratio(df: DataFrame, row: str, part: Column, whole: Column, replicates: int = 200, level: float = 0.95) -> DataFrame:
     """low, high, mean of sum(part) / sum(whole) over resamples of the rows.
 
@@ -33,7 +47,7 @@ def bootstrap_ratio(df: DataFrame, row: str, part: Column, whole: Column, replic
     Resamples without a denominator are left out.
     """
     rows = df.where(whole != 0).select(F.col(row), part.alias("_a"), whole.alias("_b"))
-    each = rows.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_w", poisson_weight(uniform(F.col(row), F.col("_r"))))
+    each = rows.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_h", _digits(F.col(row), F.col("_r"))).withColumn("_w", poisson_weight_of(F.col("_h")))
     by = each.groupBy("_r").agg(F.sum(F.col("_w") * F.col("_a")).alias("a"), F.sum(F.col("_w") * F.col("_b")).alias("b")).where("b > 0").select((F.col("a") / F.col("b")).alias("x"))
     return interval(by, level)
 

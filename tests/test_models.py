@@ -132,3 +132,12 @@ def test_ranked_importances(rows):
         assert len(ranked) == 3 and ranked[0][0] in ("a", "b", "c=a", "c=c") and "d" not in [n for n, _ in ranked[:2]]
         every = detector.ranked_importances(made, 99)
         assert {"a", "b", "d", "c=a", "c=b", "c=c"} <= {n for n, _ in every} and [v for _, v in every] == sorted((v for _, v in every), reverse=True)
+
+
+def test_weights_of_digits(spark):
+    """Hexadecimal digits give the weight of the number that they stand for, at each bound and beside it."""
+    ends = [math.ceil(at * 2**32) for at in intervals.POISSON]
+    numbers = sorted({min(max(e + d, 0), 2**32 - 1) for e in [0, *ends] for d in (-1, 0, 1)})
+    rows = spark.createDataFrame([(f"{x:08x}", x / 2**32) for x in numbers], "h string, u double")
+    for r in rows.select("u", intervals.poisson_weight_of(F.col("h")).alias("a"), intervals.poisson_weight(F.col("u")).alias("b")).collect():
+        assert r["a"] == r["b"] == sum(at <= r["u"] for at in intervals.POISSON)
