@@ -204,8 +204,8 @@ def benign_budget(spark, d):
 @query("t1_lanes", f"""WITH {FLOWS}, v AS (SELECT row_id, CASE WHEN p >= .8 THEN 'known' WHEN nov >= .99 THEN 'hunting' END AS lane, p, nov FROM flows), r AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY CASE WHEN lane = 'hunting' THEN nov ELSE p END DESC, row_id) AS k FROM v WHERE lane IS NOT NULL) SELECT lane, row_id, k FROM r WHERE lane = 'known' OR k <= 50""")
 def lanes(spark, d):
     v = flows(spark, d).select("row_id", F.when(F.col("p") >= 0.8, "known").when(F.col("nov") >= 0.99, "hunting").alias("lane"), "p", "nov").where("lane is not null")
-    key = F.when(F.col("lane") == "hunting", F.col("nov")).otherwise(F.col("p"))
-    return v.withColumn("k", F.row_number().over(Window.partitionBy("lane").orderBy(key.desc(), "row_id"))).where("lane = 'known' or k <= 50").select("lane", "row_id", "k")
+    v = v.withColumn("key", F.when(F.col("lane") == "hunting", F.col("nov")).otherwise(F.col("p"))).select("lane", "key", "row_id")
+    return ordered.places(v, "lane", [F.desc("key"), F.asc("row_id")], "k").where("lane = 'known' or k <= 50").select("lane", "row_id", F.col("k").cast("int").alias("k"))
 
 
 @query("j7_promoted_rows", """SELECT o_orderkey AS target, o_orderpriority AS verdict, count(*) AS features FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND o_orderpriority <> '5-LOW' GROUP BY 1, 2""")

@@ -141,3 +141,14 @@ def test_weights_of_digits(spark):
     rows = spark.createDataFrame([(f"{x:08x}", x / 2**32) for x in numbers], "h string, u double")
     for r in rows.select("u", intervals.poisson_weight_of(F.col("h")).alias("a"), intervals.poisson_weight(F.col("u")).alias("b")).collect():
         assert r["a"] == r["b"] == sum(at <= r["u"] for at in intervals.POISSON)
+
+
+def test_places_in_groups(spark):
+    """Places equal a plain sort, though no task has all rows of a group."""
+    rows = [(None if k % 7 == 0 else "ab"[k % 2], k * 37 % 10 / 10, k) for k in range(500)]
+    found = ordered.places(spark.createDataFrame(rows, "g string, x double, row long"), "g", [F.desc("x"), F.asc("row")], "k")
+    got = {r["row"]: r["k"] for r in found.collect()}
+    for g in (None, "a", "b"):
+        assert [got[r] for *_, r in sorted((-x, r) for h, x, r in rows if h == g)] == list(range(1, 1 + sum(h == g for h, *_ in rows)))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_block" in line for line in plan.split("\n") if "row_number" in line)
