@@ -16,8 +16,8 @@ def trailing_distinct(df: DataFrame, entity: list[str], ts: str, row: str, secon
     Earlier is by (ts, row), ``row`` being distinct whole numbers up to 2**61. An
     occurrence of a value counts from its row on until the value's next one, and
     no longer than ``seconds``: what counts at a row is how many occurrences began
-    before it less how many ended, two running sums by blocks of ``width``
-    seconds. Rows without a time count for nothing and get 0. Null entities and
+    before it less how many ended, a running sum for each count, all from one
+    order by blocks of ``width`` seconds. Rows without a time count for nothing and get 0. Null entities and
     values are values like others.
     """
     us = round(seconds * 1e6)
@@ -25,18 +25,19 @@ def trailing_distinct(df: DataFrame, entity: list[str], ts: str, row: str, secon
     own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), F.col(row).cast("long").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in entity]).alias("_entity"), *[F.struct(*[F.col(f"`{c}`") for c in columns or []]).alias(f"_value{k}") for k, columns in enumerate(counts.values()) if columns])
     own = own.withColumn("_entity", F.to_json("_entity", {"ignoreNullFields": "false"}))
     own = saved(own.withColumns({f"_value{k}": F.to_json(f"_value{k}", {"ignoreNullFields": "false"}) for k, columns in enumerate(counts.values()) if columns}))
-    known = own.where("_at IS NOT NULL")
-    out = known.select("_row", "_id")
-    for k, (name, columns) in enumerate(counts.items()):
-        ends = known.select("_entity", (F.col("_at") + us).alias("_t"), F.lit(2 * _LAST).alias("row"))
-        if columns:
-            back = known.select("_entity", f"_value{k}", (-F.col("_at")).alias("_t"), (-F.col("_id")).alias("row"))
-            back = with_previous(back, ["_entity", f"_value{k}"], F.struct((-F.col("_t")).alias("t"), (-F.col("row")).alias("r")), block, "_next")
-            expires = F.struct((us - F.col("_t")).alias("t"), F.lit(_LAST).alias("r"))
-            end = F.least(F.coalesce("_next", expires), expires)  # -_t is the row's time
-            ends = back.select("_entity", end["t"].alias("_t"), (2 * end["r"] + 1).alias("row"))
-        events = known.select("_entity", F.col("_at").alias("_t"), (2 * F.col("_id")).alias("row"), F.lit(1).alias("_step")).unionByName(ends.withColumn("_step", F.lit(-1)))
-        counted = numbered(events, ["_entity"], "_step", block, "_n").where("_step = 1")
-        out = out.join(counted.select((F.col("row") / 2).cast("long").alias("_id"), (F.col("_n") - 1).cast("long").alias(name)), "_id")
+    valued = [k for k, columns in enumerate(counts.values()) if columns]
+    known = own.where("_at IS NOT NULL").withColumns({"_t": -F.col("_at"), "row": -F.col("_id")})
+    for k in valued:
+        known = with_previous(known, ["_entity", f"_value{k}"], F.struct("_at", "_id"), block, f"_next{k}").drop(f"_value{k}")
+    known = saved(known) if valued else known
+    expires = F.struct((F.col("_at") + us).alias("t"), F.lit(2 * _LAST).alias("row"))
+    ends = {k: F.least(F.struct(F.col(f"_next{k}._at").alias("t"), (2 * F.col(f"_next{k}._id") + 1).alias("row")), expires) for k in valued}
+    ends = {k: F.when(F.col(f"_next{k}").isNull(), expires).otherwise(end) for k, end in ends.items()}
+    event = lambda at, steps, kept: F.struct(at["t"].alias("_t"), at["row"].alias("row"), *[steps(k).alias(f"_step{k}") for k in range(len(counts))], kept.alias("_row"))
+    began = event(F.struct(F.col("_at").alias("t"), (2 * F.col("_id")).alias("row")), lambda _: F.lit(1), F.col("_row"))
+    ended = [event(ends.get(n, expires), lambda k, n=n: F.lit(-int(k == n)), F.when(F.lit(False), F.col("_row"))) for n in range(len(counts))]
+    events = known.select("_entity", F.explode(F.array(began, *ended)).alias("_event")).select("_entity", "_event.*")
+    out = numbered(events, ["_entity"], {name: f"_step{k}" for k, name in enumerate(counts)}, block).where("_row IS NOT NULL")
+    out = out.select("_row", *[(F.col(name) - 1).cast("long").alias(name) for name in counts])
     zero = own.where("_at IS NULL").select("_row", *[F.lit(0).cast("long").alias(name) for name in counts])
     return out.select("_row", *counts).unionByName(zero).select("_row.*", *counts)

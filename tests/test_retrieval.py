@@ -86,6 +86,21 @@ def test_trailing_distinct_with_a_hot_entity(spark):
     assert trailing.trailing_distinct(df.limit(0), ["e"], "ts", "i", 20, {"n": None}).count() == 0
 
 
+def test_trailing_distinct_orders_an_entity_once(spark, monkeypatch):
+    """Crowded entities and values go by blocks, with the same counts; all counts come from one order, without a join for each."""
+    from spillway.operators import blocks
+
+    df = spark.range(900).selectExpr("id AS i", "timestamp_micros((id * 7919) % 900 * 500000) AS ts", "CASE WHEN id % 10 < 8 THEN 'hot' WHEN id % 10 = 8 THEN 'a' END AS e", "id * 31 % 7 AS p", "id % 3 AS q")
+    made = lambda: trailing.trailing_distinct(df, ["e"], "ts", "i", 20, {"n": None, "dp": ["p"], "dpq": ["p", "q"]}, width=7)
+    several, one = made(), trailing.trailing_distinct(df, ["e"], "ts", "i", 20, {"n": None})
+    joins = lambda d: d._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(several) == joins(one)
+    whole = sorted(map(tuple, several.collect()), key=lambda r: r[0])
+    monkeypatch.setattr(blocks, "ROWS_AT_ONCE", 40)
+    assert sorted(map(tuple, made().collect()), key=lambda r: r[0]) == whole
+    assert len(whole) == 900 and max(r[-1] for r in whole) > 7
+
+
 def pooled(scored):
     """Neighbours that violate the order are pooled one after the other."""
     by = collections.defaultdict(list)
