@@ -45,6 +45,7 @@ class Preprocessor:
     numeric: list[str]
     categorical: dict[str, list[str]]
     model: PipelineModel
+    _filled: dict[str, float] | None = None
 
     @classmethod
     def fit(cls, df: DataFrame, numeric: list[str], categorical: list[str] = [], robust: bool = False) -> Preprocessor:  # noqa: B006 - never changed
@@ -70,8 +71,21 @@ class Preprocessor:
         if missing:
             raise ValueError(f"missing columns: {missing}")
         kept = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
-        out = self.model.transform(self._known(df.select(kept, *[F.col(f"`{c}`") for c in [*self.numeric, *self.categorical]])))
-        return out.select("_row.*", "features")
+        known = self._known(df.select(kept, *[F.col(f"`{c}`") for c in [*self.numeric, *self.categorical]]))
+        kinds = self.model.transform(known).schema["features"].metadata  # which features are indicators; nothing is run
+        columns = self._columns()
+        out = VectorAssembler(inputCols=[f"_{k}" for k in range(len(columns))], outputCol="features").transform(known.select("_row", *[c.alias(f"_{k}") for k, c in enumerate(columns)]))
+        return out.select("_row.*", F.col("features").alias("features", metadata=kinds))
+
+    def _columns(self) -> list[Column]:
+        """The features as ``model`` makes them, each a column, so that rows go into one vector and no further ones on the way."""
+        imputer, _, scaler, *rest = self.model.stages
+        if self._filled is None:
+            self._filled = imputer.surrogateDF.first().asDict()
+        middle, spread = (scaler.median, scaler.range) if hasattr(scaler, "median") else (scaler.mean, scaler.std)
+        scaled = [(F.coalesce(F.col(c), F.lit(self._filled[c])) - float(m)) * (1 / float(w) if w else 0.0) for c, m, w in zip(self.numeric, middle, spread, strict=True)]
+        labels = [stage.labels for stage in rest if hasattr(stage, "labels")]
+        return scaled + [x.cast("double") for c, known in zip(self.categorical, labels, strict=True) for x in (*(F.col(c) == v for v in known), ~F.col(c).isin(known))]
 
 
 def fit_head(df: DataFrame, label: str, kind: str = "forest", weighted: bool = True):
@@ -85,8 +99,9 @@ def fit_head(df: DataFrame, label: str, kind: str = "forest", weighted: bool = T
 
 
 def attack_probability(model, df: DataFrame, out: str) -> DataFrame:
-    scored = model.transform(df)
-    return scored.withColumn(out, fields.attack_score(vector_to_array("probability"), 0)).drop("rawPrediction", "probability", "prediction")
+    """``df`` with the probability of class 1; nothing else is made of ``features``."""
+    alone = model.copy().setRawPredictionCol("").setPredictionCol("")
+    return alone.transform(df).withColumn(out, fields.attack_score(vector_to_array("probability"), 0)).drop("probability")
 
 
 @dataclass
@@ -148,6 +163,7 @@ class Detector:
     @classmethod
     def fit(cls, df: DataFrame, label: str, row: str, numeric: list[str], categorical: list[str] = [], kind: str = "forest", budget: float = 0.01, alpha: float = 0.1, held: float = 0.3, family: str | None = None, ensemble: bool = False) -> Detector:  # noqa: B006
         """Fit on a stratified share of ``df`` (rows told apart by ``row``), thresholds on the rest; with ``family``, a column, attacks are named too."""
+        df = df.select(*dict.fromkeys([label, row, *numeric, *categorical, *([family] if family else [])]))
         dealt = saved(splits.first_of_each(df, label, intervals.uniform(F.col(row), F.lit("fit")), row, F.bround(F.col("n") * held), "_held"))
         train, rest = dealt.where("not _held").drop("_held"), dealt.where("_held").drop("_held")
         before = Preprocessor.fit(train, numeric, categorical)

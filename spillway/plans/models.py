@@ -68,8 +68,9 @@ def one_hot(spark, d):
 @query("m9_detector_scores")
 def detector_scores(spark, d):
     """Both heads fitted on the line items and their verdicts; no SQL, as trees have none."""
-    rows = flows(spark, d)
-    made = detector.Detector.fit(rows, "y", "row_id", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_linestatus"], "logistic", budget=0.05)
+    numbers, levels = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_linestatus"]
+    rows = flows(spark, d).select("row_id", "y", *numbers, *levels)
+    made = detector.Detector.fit(rows, "y", "row_id", numbers, levels, "logistic", budget=0.05)
     return made.score(rows).groupBy("y", "fired", "abstains").agg(F.count("*").alias("n"))
 
 

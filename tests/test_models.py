@@ -95,6 +95,30 @@ def test_quantiles_and_first_of_each(spark):
     assert ordered.positions(df, "row_id").where("pos = row_id + 1").count() == 500
 
 
+def test_first_of_each_moves_the_last_part_alone(spark):
+    """Ties in order and a group that is null; rows are dealt anew only where a group's count runs out."""
+    rows = [(k, None if k % 4 == 0 else "a", (k * 37 % 50) / 50) for k in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, g string, u double").repartition(3)
+    for share in (0.0, 0.3, 1.0):
+        taken = splits.first_of_each(df, "g", F.col("u"), "row_id", F.bround(F.col("n") * share))
+        want = {r[0] for g in (None, "a") for r in sorted((x for x in rows if x[1] == g), key=lambda x: (x[2], x[0]))[: round((100 if g is None else 300) * share)]}
+        assert {r["row_id"] for r in taken.where("taken").collect()} == want and taken.count() == 400
+        assert taken._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+
+
+@pytest.mark.parametrize("robust", [False, True])
+def test_features_are_made_at_once(spark, robust):
+    """One vector for each row, the same as the fitted stages make, with gaps, rare and unknown levels, and the same marks of indicators."""
+    rows = [(k, None if k % 9 == 0 else k * 0.37 % 5, 2.0, None if k % 11 == 0 else "abc"[k % 3]) for k in range(200)]
+    df = spark.createDataFrame(rows, "i long, x double, same double, s string")
+    made = detector.Preprocessor.fit(df.where("i < 150 AND s IS NOT NULL"), ["x", "same"], ["s"], robust)
+    new = df.unionByName(spark.createDataFrame([(-1, float("nan"), float("inf"), "new")], df.schema))
+    ours, theirs = made.transform(new), made.model.transform(made._known(new))
+    assert ours.schema["features"].metadata == theirs.schema["features"].metadata
+    assert [tuple(r) for r in ours.select("i", "features").orderBy("i").collect()] == [tuple(r) for r in theirs.select("i", "features").orderBy("i").collect()]
+    assert ours._jdf.queryExecution().optimizedPlan().toString().count("UDF") <= 1
+
+
 def test_exact_intervals():
     low, high = intervals.clopper_pearson(3, 20)
     assert (round(low, 4), round(high, 4)) == (0.0321, 0.3789)
