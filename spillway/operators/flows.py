@@ -61,16 +61,16 @@ def flow_numbers(packets: DataFrame, idle: float = IDLE, active: float = ACTIVE)
     us = lambda seconds: round(seconds * 1e6)
     width = max(us(idle), us(active), 1)
     ended = F.when(F.col("proto") == "tcp", F.col("flags").bitwiseAND(FIN | RST) > 0).otherwise(F.lit(False))
-    rows = with_previous(endpoints(packets), PAIR, F.struct("_t", F.coalesce(ended, F.lit(False)).alias("ended")), width, "_last")
+    rows = with_previous(endpoints(packets), PAIR, F.struct("_t", F.coalesce(ended, F.lit(False)).alias("ended")), width, "_last", dense=True)
     new = F.col("_last").isNull() | F.col("_last.ended") | (F.col("_t") - F.col("_last._t") > us(idle))
-    rows = saved(numbered(rows.withColumn("_new", new.cast("int")).drop("_last"), PAIR, "_new", width, "_run"))
+    rows = saved(numbered(rows.withColumn("_new", new.cast("int")).drop("_last"), PAIR, "_new", width, "_run", dense=True))
     long = rows.groupBy(*PAIR, "_run").agg((F.max("_t") - F.min("_t")).alias("_lasts")).where(F.col("_lasts") > us(active)).drop("_lasts")
     inside = saved(rows.join(long, [*PAIR, "_run"]).select(*PAIR, "_run", "_t", "row"))
     if inside.isEmpty():
         return rows.withColumnRenamed("_run", "flow").drop("_new")
     cuts = active_cuts(inside, us(active)).withColumn("_cut", F.lit(1))
     marked = rows.join(cuts, "row", "left").withColumn("_new", F.greatest("_new", F.coalesce("_cut", F.lit(0)))).drop("_run", "_cut")
-    return numbered(marked, PAIR, "_new", width, "flow").drop("_new")
+    return numbered(marked, PAIR, "_new", width, "flow", dense=True).drop("_new")
 
 
 def assemble(packets: DataFrame, idle: float = IDLE, active: float = ACTIVE, trailing: int = TRAILING) -> DataFrame:
