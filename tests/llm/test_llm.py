@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from spillway.llm import common, decontaminate, fingerprint, katz, neardup, packing, pii, quality, sharding, substring, tokens, tokenstore
@@ -448,6 +449,43 @@ def test_substring_seeds_held_elsewhere(spark):
     assert all((r["start"], r["end"]) in ((20, 80), (30, 90)) for r in found)
 
 
+@pytest.mark.parametrize("crowd", [0, 40, 600])
+def test_substring_only_seeds_held_elsewhere(spark, crowd):
+    """Pairs whose common seeds all have an earlier holder without the passage: of few texts, and of a crowd that fills several tiles."""
+    rng = random.Random(21)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n)]
+    hashed = lambda x: xxhash.xxh64(x.encode(), seed=42).intdigest() - (1 << 64) * (xxhash.xxh64(x.encode(), seed=42).intdigest() >> 63)
+    texts, line, want = [(1000 + k, "") for k in range(2)], words(15), []
+    for k in range(6):
+        passage = words(25) + line + words(25) if crowd else words(120)
+        cut = lambda part, step, off: ["zzz%d" % n if n % step == off else w for n, w in enumerate(part)]
+        other = cut(passage[:25], 5, 2) + line + cut(passage[40:], 5, 2) if crowd else cut(passage, 17, 5)
+        pair = [" ".join(words(20) + passage + words(20)), " ".join(words(30) + other + words(9))]
+        for first in range(0, 0 if crowd else 86, 17):  # earlier holders of 35 words each
+            while hashed(a := " ".join(words(5) + passage[first : first + 35] + words(5))) >= min(map(hashed, pair)):
+                pass
+            texts.append((100 + 10 * k + first // 17, a))
+        texts += [(10 * k, pair[0]), (10 * k + 1, pair[1])]
+        want.append(frozenset((10 * k, 10 * k + 1)))
+    texts += [(2000 + k, " ".join(words(30 + k % 50) + line + words(70))) for k in range(crowd)]
+    found = substring.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {frozenset((r["doc_id"], r["ref_doc_id"])) for r in found} == set(want)
+
+
+def test_substring_crowd_joined_by_first(spark):
+    """Texts that all share a passage with the first holder stay a star, however many there are; one that it does not join is paired."""
+    rng = random.Random(22)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(n)]
+    passage = words(90)
+    texts = [(k, " ".join(words(10) + ["y%d" % k if n % 40 == k % 40 else w for n, w in enumerate(passage)] + words(10))) for k in range(80)]
+    found = substring.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r[c] for r in found for c in ("doc_id", "ref_doc_id")} == set(range(80))
+    links = {frozenset((r["doc_id"], r["ref_doc_id"])) for r in found}
+    near = {k: {k}.union(*(x for x in links if k in x)) for k in range(80)}
+    assert all(near[a] & near[b] for a in range(80) for b in range(a))
+    assert len(links) < 80 * 79 / 4
+
+
 def test_quality(spark, none):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
