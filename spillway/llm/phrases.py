@@ -29,6 +29,8 @@ DIGEST = 16
 NO_LANGUAGE = b"und"
 #: So many frequent pairs of numbered words at most, 8 bytes each, go to every worker; beyond it suffixes end at words alone.
 MAX_PAIRS, PAIRS_COUNTED, SUFFIXES_HELD = 4_000_000, 1_500_000, 1_000_000
+#: Phrases of three words and more are first counted by cells, about one for each occurrence, from 2 ** 16 to 2 ** 28, in blocks of 2 ** 16.
+BLOCK_BITS, CELL_BITS = 16, 28
 #: Bytes of text that are worked on at once, words that a count holds, suffixes that reach a worker at once, parts of a language for the first ranking.
 SLICE, COUNTED, SUFFIX_ROWS, PARTS = 1 << 21, 400_000, 20_000, 32
 #: A break between pieces: it is none of the characters that a word may hold.
@@ -160,11 +162,85 @@ def pair_counts(coded: DataFrame) -> DataFrame:
     return coded.mapInArrow(work, "pair long, n long").where("pair <> 0").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def suffixes(coded: DataFrame, width: int, max_words: int = MAX_WORDS, pairs=None) -> DataFrame:
+def _goes_on(words: np.ndarray, pairs: np.ndarray | None) -> np.ndarray:
+    """For each word whether a phrase may go on to the next one: neither is a zero, and the two are in ``pairs``, if those are given."""
+    there = words.any(1)
+    goes_on = there[:-1] & there[1:]
+    if pairs is not None and len(pairs):
+        own = _pairs(words.view(">u4")[:, 0])
+        goes_on &= pairs[np.minimum(np.searchsorted(pairs, own), len(pairs) - 1)] == own
+    return goes_on
+
+
+def _alive(goes_on: np.ndarray, at: np.ndarray, max_words: int) -> np.ndarray:
+    """For each place and k whether the suffix there has a word k."""
+    goes_on = np.r_[True, goes_on, np.zeros(max_words, bool)]  # at k: into the word k
+    return np.logical_and.accumulate(np.stack([np.ones(len(at), bool), *(goes_on[at + k] for k in range(1, max_words))], 1), 1)
+
+
+def _cells(words: np.ndarray, at: np.ndarray, max_words: int, bits: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(k, cells): where the first k + 1 numbered words of each place are counted, from three words on."""
+    numbers = np.r_[words.view(">u4")[:, 0].astype(np.uint64), np.zeros(max_words, np.uint64)]
+    h = numbers[at]
+    for k in range(1, max_words):
+        h = (h * np.uint64(0xD6E8FEB86659FD93) ^ numbers[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        if k > 1:
+            yield k, (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def marked_cells(coded: DataFrame, max_words: int, least: int, pairs, bits: int) -> np.ndarray:
+    """A bit for each of 2 ** ``bits`` cells: whether the phrases of three words and more that fall into it come ``least`` times together.
+
+    A phrase that comes so often is in a marked cell, so that nothing else has
+    to be counted by itself. A task gives the cells that it has met, in blocks.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(cells: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            edges = np.flatnonzero(np.r_[True, np.diff(cells >> BLOCK_BITS) != 0, True]) if len(cells) else np.zeros(1, np.int64)
+            spans = list(zip(edges, edges[1:], strict=False))
+            low, many = (cells & ((1 << BLOCK_BITS) - 1)).astype("<u2"), np.minimum(counts, 2**31 - 1).astype("<i4")
+            return pa.RecordBatch.from_arrays([pa.array([int(cells[a] >> BLOCK_BITS) for a, _ in spans], pa.int32()), pa.array([low[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([many[a:b].tobytes() for a, b in spans], pa.binary())], names=["block", "low", "many"])
+
+        held = np.empty(0, np.int64), np.empty(0, np.int64)
+        for batch in batches:
+            for data in batch.column(0):
+                words = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, 4)
+                if len(words) < 3:
+                    continue
+                goes_on = _goes_on(words, pairs.value)
+                at = np.flatnonzero(goes_on)
+                alive = _alive(goes_on, at, max_words)
+                new, n = np.unique(np.concatenate([c[alive[:, k]] for k, c in _cells(words, at, max_words, bits)]), return_counts=True)
+                cells, order = np.unique(np.r_[held[0], new], return_inverse=True)
+                held = cells, np.bincount(order, np.r_[held[1], n], len(cells)).astype(np.int64)
+                if len(cells) > PAIRS_COUNTED:
+                    yield rows(*held)
+                    held = cells[:0], cells[:0]
+        yield rows(*held)
+
+    def summed(group: pa.Table) -> pa.Table:
+        counts = np.zeros(1 << BLOCK_BITS, np.int64)
+        for low, many in zip(group["low"].to_pylist(), group["many"].to_pylist(), strict=True):
+            counts[np.frombuffer(low, "<u2")] += np.frombuffer(many, "<i4")
+        return pa.table([pa.array([group["block"][0].as_py()], pa.int32()), pa.array([np.packbits(counts >= least).tobytes()], pa.binary())], names=["block", "bits"])
+
+    marks = np.zeros((1 << bits) >> 3, np.uint8).reshape(-1, (1 << BLOCK_BITS) >> 3)
+    found = save(coded.mapInArrow(work, "block int, low binary, many binary").groupBy("block").applyInArrow(summed, "block int, bits binary"), "cells")
+    for r in found.toLocalIterator():
+        marks[r.block] = np.frombuffer(bytes(r.bits), np.uint8)
+    drop_saved(found)
+    return marks.reshape(-1)
+
+
+def suffixes(coded: DataFrame, width: int, max_words: int = MAX_WORDS, pairs=None, marks=None, bits: int = 0) -> DataFrame:
     """(key, n): the suffixes of two words and more, cut after ``max_words``; a task gives equal ones as one row, as far as it can hold them.
 
     A zero ends a suffix, and so does a pair of words that is not in ``pairs``, a
-    broadcast sorted array, if that is given.
+    broadcast sorted array, if that is given. With ``marks``, a broadcast of
+    ``marked_cells``, so does a phrase whose cell is not marked, and suffixes of
+    two words are left out, since ``pair_counts`` has them.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,17 +251,18 @@ def suffixes(coded: DataFrame, width: int, max_words: int = MAX_WORDS, pairs=Non
                 words = np.frombuffer(data.as_buffer(), np.uint8).reshape(-1, width)
                 if len(words) < 2:
                     continue
-                there = words.any(1)
-                goes_on = there[:-1] & there[1:]  # from a word to the next one
-                if pairs is not None and len(pairs.value):
-                    own = _pairs(words.view(">u4")[:, 0])
-                    at = np.minimum(np.searchsorted(pairs.value, own), len(pairs.value) - 1)
-                    goes_on &= pairs.value[at] == own
+                goes_on = _goes_on(words, None if pairs is None else pairs.value)
                 at = np.flatnonzero(goes_on)
                 if not len(at) or pairs is not None and not len(pairs.value):
                     continue
-                goes_on = np.r_[True, goes_on, np.zeros(max_words, bool)]  # at k: into the word k
-                alive = np.logical_and.accumulate(np.stack([np.ones(len(at), bool), *(goes_on[at + k] for k in range(1, max_words))], 1), 1)
+                alive = _alive(goes_on, at, max_words)
+                if marks is not None:
+                    for k, cells in _cells(words, at, max_words, bits):
+                        alive[:, k] &= (marks.value[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
+                    alive = np.logical_and.accumulate(alive, 1)
+                    at, alive = at[alive[:, 2]], alive[alive[:, 2]]
+                    if not len(at):
+                        continue
                 words = np.concatenate([words, np.zeros((max_words, width), np.uint8)])
                 rows = np.stack([words[at + k] for k in range(max_words)], 1) * alive[:, :, None]
                 held = _combined(np.concatenate([held[0], rows.reshape(len(at), -1)]), np.r_[held[1], np.ones(len(at), np.int64)])
@@ -290,16 +367,24 @@ def mine_phrases(docs: DataFrame, least: int = LEAST_COUNT, max_words: int = MAX
             numbers.setdefault(bytes(x.lang), {})[bytes(x.word)] = k + 1
     own = Codes(numbers)
     codes, width = spark.sparkContext.broadcast(own), own.width
-    coded, pairs = save(sequences(docs, codes), "sequences"), None
+    coded, pairs, marks, bits = save(sequences(docs, codes), "sequences"), None, None, 0
     if numbers is not None:
-        common = save(pair_counts(coded).where(F.col("n") >= least).select("pair"), "pairs")
+        common = save(pair_counts(coded).where(F.col("n") >= least), "pairs")
         if common.limit(max_pairs + 1).count() <= max_pairs:
-            pairs = spark.sparkContext.broadcast(np.sort(common.toPandas()["pair"].to_numpy(np.int64)).astype(np.uint64))
-        drop_saved(common)
-    rows = save(suffixes(coded, width, max_words, pairs), "suffixes")
+            pairs = spark.sparkContext.broadcast(np.sort(common.select("pair").toPandas()["pair"].to_numpy(np.int64)).astype(np.uint64))
+            if max_words > 2 and len(pairs.value):
+                phrases_at_most = (max_words - 2) * common.agg(F.sum("n")).first()[0]
+                bits = min(CELL_BITS, max(BLOCK_BITS, int(phrases_at_most).bit_length()))
+                marks = spark.sparkContext.broadcast(marked_cells(coded, max_words, least, pairs, bits))
+    rows = save(suffixes(coded, width, max_words, pairs, marks, bits), "suffixes")
     drop_saved(coded)
     before = batches_of(spark, SUFFIX_ROWS)
-    phrases = save(prefix_counts(rows, width, max_words, least), "phrases")
+    phrases = prefix_counts(rows, width, max_words, least)
+    if marks is not None:
+        phrases = phrases.where(F.length("key") > 2 * width).unionByName(common.select(F.unhex(F.lpad(F.hex("pair"), 16, "0")).alias("key"), F.col("n").alias("f")))
+    phrases = save(phrases, "phrases")
+    if numbers is not None:
+        drop_saved(common)
 
     def with_code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
