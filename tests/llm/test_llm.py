@@ -486,6 +486,23 @@ def test_substring_crowd_joined_by_first(spark):
     assert len(links) < 80 * 79 / 4
 
 
+def test_substring_candidates():
+    """Pairs come from keys in common alone: as all pairs would give them, and none of texts that share their seed's line only."""
+    rng = np.random.default_rng(23)
+    keys, use = rng.integers(0, 60, (40, 6)), rng.random((40, 6)) < 0.8
+    for n_others in (0, 17):
+        known = rng.random(40) < 0.3
+        known = np.concatenate([np.sort(known[:n_others]), np.sort(known[n_others:])])
+        got = {frozenset((int(p), int(q))): int(t) for x in substring._candidates(keys, use, n_others, known) for p, q, t in zip(*x, strict=True)}
+        held = [keys[k][use[k]].tolist() for k in range(40)]
+        pairs = [(p, q) for p in range(40) for q in range(p) if (not n_others or q < n_others <= p) and not (known[p] and known[q])]
+        common = {frozenset((p, q)): set(held[p]) & set(held[q]) for p, q in pairs}
+        assert got == {x: max(sum(held[k].count(g) for g in both) for k in x) for x, both in common.items() if both}
+    line = np.tile(np.arange(11), (3000, 1))
+    keys = np.concatenate([line, 11 + np.arange(3000 * 50).reshape(3000, 50)], 1)
+    assert not sum(len(p) for p, *_ in substring._candidates(keys, keys > 10, 0, np.zeros(3000, bool)))
+
+
 def test_quality(spark, none):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
