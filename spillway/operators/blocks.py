@@ -62,17 +62,3 @@ def numbered(rows: DataFrame, keys: list[str], flag: str | dict[str, str], width
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     found = rows.select("*", *[F.sum(c).over(upto).alias(f"_in_{k}") for k, c in enumerate(flags.values())]).join(sums, [*keys, "_block"], "left")
     return found.withColumns({name: F.col(f"_in_{k}") + F.coalesce(f"_upto_{k}", F.lit(0)) for k, name in enumerate(flags)}).drop("_block", *[f"_{x}_{k}" for k in range(len(flags)) for x in ("in", "upto")])
-
-
-def next_after(rows: DataFrame, keys: list[str], delta: int) -> DataFrame:
-    """(keys, row, next): the first row whose _t is over ``delta`` more than each row's; rows without one are left out."""
-    points = rows.select(*keys, "row", "_t", F.lit(0).alias("_probe"), F.col("row").alias("_place"))
-    probes = rows.select(*keys, "row", (F.col("_t") + delta).alias("_t"), F.lit(1).alias("_probe"), F.lit(None).cast("long").alias("_place"))
-    both = points.unionByName(probes).withColumn("_block", F.floor(F.col("_t") / delta))
-    later = Window.partitionBy(*keys, "_block").orderBy("_t", "_probe", "row").rowsBetween(1, Window.unboundedFollowing)
-    firsts = points.groupBy(*keys, F.floor(F.col("_t") / delta).alias("_block")).agg(F.min(F.struct("_t", "row")).alias("_first"))
-    blocks = both.select(*keys, "_block").distinct().join(firsts, [*keys, "_block"], "left")
-    after = Window.partitionBy(*keys).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
-    blocks = blocks.select(*keys, "_block", F.first(F.col("_first")["row"], True).over(after).alias("_next_block"))
-    near = both.withColumn("_near", F.first("_place", True).over(later)).where("_probe = 1")
-    return near.join(blocks, [*keys, "_block"]).select(*keys, "row", F.coalesce("_near", "_next_block").alias("next")).where("next IS NOT NULL")

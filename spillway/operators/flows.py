@@ -2,20 +2,27 @@
 
 A flow ends before a packet that comes more than ``idle`` seconds after the one
 before it, more than ``active`` seconds after the flow's first, or after a
-packet with FIN or RST. What the packet before says is found in blocks of time;
-where the active limit cuts a run depends on where it cut before, and is
-followed in doubled steps over all cuts that could be.
+packet with FIN or RST. Where the active limit cuts depends on where it cut
+before: packets are taken by chunks of time, each of which tells how it goes on
+from any cut that it may begin with.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from spillway.operators.blocks import next_after, numbered, saved, with_previous
+from spillway.operators.blocks import saved
 from spillway.operators.ordered import running_sums
 
 IDLE, ACTIVE, TRAILING = 120.0, 600.0, 100
+#: So many active limits of a pair's packets are one chunk.
+SPANS = 32
 #: Bits of the flags.
 FIN, SYN, RST, ACK = 1, 2, 4, 16
 #: What needs the payload or whole sequence numbers and is 0 (``service``: a dash), not guessed.
@@ -31,25 +38,20 @@ def endpoints(packets: DataFrame) -> DataFrame:
     return known.withColumns({"_a": F.least(own, other), "_b": F.greatest(own, other), "_d": (own > other).cast("int"), "_t": F.unix_micros(F.col("ts").cast("timestamp"))})
 
 
-def active_cuts(runs: DataFrame, active: int) -> DataFrame:
-    """(row): the rows at which the active limit begins a new flow, of runs (``_run``, with _t and row) that no other limit cuts.
+def _starts(t: np.ndarray, cuts: np.ndarray, first: np.ndarray, active: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, last, n): the rows that begin flows if the rows ``first`` do, until the next of ``cuts`` (sorted), and for each of ``first`` the last of them and how many they are.
 
-    ``next_after`` says where a flow that begins at a row would be cut. From
-    each run's first row on, the rows reached in 1, 2, 4, ... such steps are
-    added until there are no new ones: as many rounds as the logarithm of the
-    cuts of a run.
+    ``t`` are the sorted times of a chunk's rows. All are followed at once, a flow in each step.
     """
-    keys = [*PAIR, "_run"]
-    jumps = saved(next_after(runs, keys, active).select("row", "next"))
-    reached = saved(runs.groupBy(*keys).agg(F.min(F.struct("_t", "row")).alias("f")).select(F.col("f.row").alias("row")))
-    roots, n = reached, reached.count()
-    while True:
-        more = reached.join(jumps, "row").select(F.col("next").alias("row"))
-        reached = saved(reached.unionByName(more).distinct())
-        if (now := reached.count()) == n:
-            return reached.join(roots, "row", "left_anti")
-        n, far = now, jumps.select(F.col("row").alias("next"), F.col("next").alias("far"))
-        jumps = saved(jumps.join(far, "next").select("row", F.col("far").alias("next")))
+    end = np.append(cuts, len(t))[np.searchsorted(cuts, first, "right")]
+    last, n, here, found = first.copy(), np.ones(len(first), np.int64), np.arange(len(first)), [first]
+    while len(here):
+        then = np.searchsorted(t, t[last[here]] + active, "right")
+        here, then = here[then < end[here]], then[then < end[here]]
+        last[here] = then
+        n[here] += 1
+        found.append(then)
+    return np.concatenate(found), last, n
 
 
 def flow_numbers(packets: DataFrame, idle: float = IDLE, active: float = ACTIVE) -> DataFrame:
@@ -57,20 +59,69 @@ def flow_numbers(packets: DataFrame, idle: float = IDLE, active: float = ACTIVE)
 
     Packets are put in order of ``ts``, those of one time in that of ``row``
     (distinct). Packets without a time, address, port or protocol are left out.
+    A pair's packets are taken by chunks of SPANS active limits. Of a chunk goes
+    on how the flow that it begins in, whose first packet is not known yet, cuts
+    it: one step for each first cut that makes a difference. A pair's chunks are
+    gone through in order, and then each chunk's packets get their numbers.
     """
     us = lambda seconds: round(seconds * 1e6)
-    width = max(us(idle), us(active), 1)
+    idle, active = us(idle), us(active)
+    width = SPANS * max(active, 1)
+    flat = {f"{c}_{x}": F.col(c)[x] for c in ("_a", "_b") for x in ("ip", "port")}
+    pair, key = [*flat, "proto"], [*flat, "proto", "_chunk"]
     ended = F.when(F.col("proto") == "tcp", F.col("flags").bitwiseAND(FIN | RST) > 0).otherwise(F.lit(False))
-    rows = with_previous(endpoints(packets), PAIR, F.struct("_t", F.coalesce(ended, F.lit(False)).alias("ended")), width, "_last", dense=True)
-    new = F.col("_last").isNull() | F.col("_last.ended") | (F.col("_t") - F.col("_last._t") > us(idle))
-    rows = saved(numbered(rows.withColumn("_new", new.cast("int")).drop("_last"), PAIR, "_new", width, "_run", dense=True))
-    long = rows.groupBy(*PAIR, "_run").agg((F.max("_t") - F.min("_t")).alias("_lasts")).where(F.col("_lasts") > us(active)).drop("_lasts")
-    inside = saved(rows.join(long, [*PAIR, "_run"]).select(*PAIR, "_run", "_t", "row"))
-    if inside.isEmpty():
-        return rows.withColumnRenamed("_run", "flow").drop("_new")
-    cuts = active_cuts(inside, us(active)).withColumn("_cut", F.lit(1))
-    marked = rows.join(cuts, "row", "left").withColumn("_new", F.greatest("_new", F.coalesce("_cut", F.lit(0)))).drop("_run", "_cut")
-    return numbered(marked, PAIR, "_new", width, "flow", dense=True).drop("_new")
+    rows = endpoints(packets).withColumns({"_ended": F.coalesce(ended, F.lit(False)), "_chunk": F.floor(F.col("_t") / width), **flat}).drop("_a", "_b")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.select(*pair).schema}
+    of_key = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", _chunk long"
+
+    def ordered(group: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        """The chunk's rows in order, their times, and the rows after the first that the idle limit or an ending cuts."""
+        group = group.take(pa.array(np.lexsort([group["row"].to_numpy(), group["_t"].to_numpy()])))
+        t = group["_t"].to_numpy()
+        return group, t, np.flatnonzero((np.diff(t) > idle) | group["_ended"].to_numpy()[:-1]) + 1
+
+    def summed(group: pa.Table) -> pa.Table:
+        group, t, cuts = ordered(group)
+        head = t[: cuts[0] if len(cuts) else len(t)]
+        first = np.flatnonzero(np.diff(head, prepend=head[0] - 1))  # of packets of one time the first
+        first = first[: np.searchsorted(head[first], group["_chunk"][0].as_py() * width + active, "right") + 1]
+        _, last, n = _starts(t, cuts, first, active)
+        tail, tail_last, _ = _starts(t, cuts, cuts, active)
+        same = np.flatnonzero(np.append((np.diff(last) != 0) | (np.diff(n) != 0), True))  # the last first cut of those that go on alike
+        made = {"first": t[0], "last": t[-1], "ended": bool(group["_ended"][-1].as_py()), "n": len(tail), "start": t[tail_last[-1]] if len(cuts) else None}
+        steps = {"step": t[first[same]], "step_start": t[last[same]], "step_n": n[same]}
+        out = group.select(key).slice(0, 1)
+        for c, x in (made | {c: x.tolist() for c, x in steps.items()}).items():
+            out = out.append_column(c, pa.array([x], pa.list_(pa.int64()) if c in steps else pa.bool_() if c == "ended" else pa.int64()))
+        return out
+
+    def entered(group: pa.Table) -> pa.Table:
+        group = group.sort_by("_chunk")
+        flows, start, made = 0, None, []
+        before = None
+        for x in group.drop_columns(pair).to_pylist():
+            new = before is None or before["ended"] or x["first"] - before["last"] > idle
+            made.append((flows, start, new))
+            at = 0 if new else bisect_right(x["step"], start + active)
+            if at < len(x["step"]):
+                start, flows = x["step_start"][at], flows + x["step_n"][at]
+            start, flows, before = start if x["start"] is None else x["start"], flows + x["n"], x
+        flows, starts, new = zip(*made, strict=True)
+        return group.select(key).append_column("_flows", pa.array(flows, pa.int64())).append_column("_start", pa.array(starts, pa.int64())).append_column("_new", pa.array(new, pa.bool_()))
+
+    def told(group: pa.Table) -> pa.Table:
+        group, t, cuts = ordered(group)
+        first = np.array([0]) if group["_new"][0].as_py() else np.searchsorted(t, [group["_start"][0].as_py() + active], "right")
+        first = first[first < (cuts[0] if len(cuts) else len(t))]
+        new = np.zeros(len(t), np.int64)
+        new[_starts(t, cuts, np.concatenate([first, cuts]), active)[0]] = 1
+        return group.drop_columns(["_ended", "_chunk", "_flows", "_start", "_new"]).append_column("flow", pa.array(np.cumsum(new) + group["_flows"][0].as_py(), pa.int64()))
+
+    chunks = rows.select(*key, "_t", "row", "_ended").groupBy(*key).applyInArrow(summed, f"{of_key}, first long, last long, ended boolean, n long, start long, step array<long>, step_start array<long>, step_n array<long>")
+    entries = saved(chunks.groupBy(*pair).applyInArrow(entered, f"{of_key}, _flows long, _start long, _new boolean"))
+    plain = rows.drop("_ended", "_chunk")
+    numbered = rows.join(entries, key).groupBy(*key).applyInArrow(told, StructType([*plain.schema.fields, StructField("flow", LongType())]))
+    return numbered.withColumns({c: F.struct(*[F.col(f"{c}_{x}").alias(x) for x in ("ip", "port")]) for c in ("_a", "_b")}).drop(*flat)
 
 
 def assemble(packets: DataFrame, idle: float = IDLE, active: float = ACTIVE, trailing: int = TRAILING) -> DataFrame:

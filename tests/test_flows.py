@@ -205,6 +205,20 @@ def test_assembly_equals_the_loop(spark, seed, idle, active):
         assert any(f["dur"] > 500 for f in want)
 
 
+def test_long_runs_take_no_more_rounds(spark, monkeypatch):
+    """A run that the active limit cuts a thousand times, over many chunks, is gone through in as many steps as a short one."""
+    saves = []
+    monkeypatch.setattr(flows, "saved", lambda df, saved=flows.saved: saves.append(1) or saved(df))
+    rounds = []
+    for n in (12, 3000):
+        rows = [{"row": k, "t": 10**15 + (k * 7 // 5) * 10**6, "src": "10.0.0.1", "dst": "10.0.0.2", "sport": 1, "dport": 2, "proto": "udp", "size": 1, "ttl": 1, "window": 1, "seq": 1, "flags": 0} for k in range(n)]
+        saves.clear()
+        got = sorted((r["n"], r["first"]) for r in flows.flow_numbers(frame_of(spark, rows), 10.0, 2.5).groupBy("flow").agg(flows.F.count("*").alias("n"), flows.F.min("row").alias("first")).collect())
+        assert got == sorted((len(f), f[0][0]["row"]) for f in loop(rows, 10.0, 2.5))
+        rounds.append(len(saves))
+    assert rounds[0] == rounds[1]
+
+
 def test_trailing_counts_and_state(spark):
     rows = packets_of(random.Random(8), 900, 0.3)
     got = sorted((r.asDict() for r in flows.assemble(frame_of(spark, rows), trailing=10).collect()), key=lambda r: (r["start"], r["src"], r["sport"], r["dst"], r["dport"], r["proto"]))
