@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -503,6 +504,61 @@ def test_substring_candidates():
     assert not sum(len(p) for p, *_ in substring._candidates(keys, keys > 10, 0, np.zeros(3000, bool)))
 
 
+def word_pairs(n):
+    """Made-up words of two texts that share passages, with words changed, put in and left out; some are runs of few words."""
+    rng = np.random.default_rng(24)
+    for k in range(n):
+        few = rng.choice([3, 40, 4000])
+        draw = lambda size: (few * rng.random(size) ** 2).astype("<u4")  # noqa: B023, E731
+        a = np.repeat(draw(rng.integers(0, 30)), rng.integers(5, 30)) if k % 5 == 0 else draw(rng.integers(0, 500))
+        b = a[rng.integers(0, len(a) // 3 + 1) :].copy()
+        changed = np.flatnonzero(rng.random(len(b)) < rng.choice([0, 0.05, 0.2]))
+        b[changed] = draw(len(changed))
+        b = np.delete(b, rng.integers(0, len(b), rng.integers(0, 4))) if len(b) else b
+        yield a, np.r_[draw(rng.integers(0, 90)), np.insert(b, rng.integers(0, len(b) + 1, 3), draw(3)), draw(rng.integers(0, 40))]
+
+
+def test_substring_aligned_together(monkeypatch):
+    """Many pairs aligned at once give what each gives alone, run by run."""
+    pairs = list(word_pairs(300))
+    want = [substring.passages_of(np.array(substring.matching_blocks(a.tolist(), b.tolist()), np.int64).reshape(-1, 3)) for a, b in pairs]
+    assert sum(map(bool, want)) > 100 and sum(len(x) > 1 for x in want)
+    assert list(substring.align_all(*zip(*pairs, strict=True))) == want
+    assert [substring.align(a, b) for a, b in pairs[:40]] == want[:40]
+    monkeypatch.setattr(substring, "AT_ONCE", 2000)  # halved again and again, some searched on their own
+    assert list(substring.align_all(*zip(*pairs, strict=True))) == want
+    assert list(substring.align_all([], [])) == []
+
+
+def test_substring_sieve():
+    """Chains whose words' single bytes rule a passage out are left out, and none that has one."""
+    pairs = list(word_pairs(300))
+    low = [pa.array([x.astype(np.uint8).tobytes() for x in side], pa.binary()) for side in zip(*pairs, strict=True)]
+    may = substring.may_share(*low)
+    assert all(may[k] for k, found in enumerate(substring.align_all(*zip(*pairs, strict=True))) if found)
+    rng = np.random.default_rng(25)
+    apart = [pa.array([rng.bytes(60) + b"a seed" + rng.bytes(60) for _ in range(200)], pa.binary()) for _ in range(2)]
+    assert not substring.may_share(*apart).any()
+
+
+def test_substring_tile_of_runs():
+    """Places in runs of one word, most of which are near each other: the pairs are those that all pairs give."""
+    rng, reach = np.random.default_rng(26), 64
+    runs = [np.r_[np.repeat(rng.integers(1, 4), rng.integers(20, 64)), np.full(rng.integers(6, 60), 9), np.repeat(rng.integers(1, 4), 64)] for _ in range(60)]
+    at = [int(np.flatnonzero(x == 9)[0]) for x in runs]
+    words = [x[: p + reach + substring.SEED].astype("<u4").tobytes() for x, p in zip(runs, at, strict=True)]
+    zeros = [0] * 60
+    group = pa.table({"x": zeros, "y": zeros, "tile": zeros, "id": list(range(60)), "at": at, "start": zeros, "words": words, "low": zeros, "high": zeros, "before": zeros, "after": zeros})
+    found = {(r["id"], r["ref"]) for r in substring._tile_pairs(group, reach, 50, 20.0).to_pylist()}
+    for i in range(60):
+        for j in range(i):
+            a, b = (np.frombuffer(words[k], "<u4") for k in (i, j))
+            run = substring.SEED + sum(x[0] for x in substring._equal_run(*(substring._padded([words[k]], [reach - at[k]], reach) for k in (i, j)), reach))
+            if substring.align(a, b) and run < 50 + substring.WINDOW - 1:
+                assert (i, j) in found
+    assert 0 < len(found) < 60 * 59 / 2
+
+
 def test_quality(spark, none):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
